@@ -53,7 +53,7 @@ def write_whole(uri: str, write) -> None:
     files, path = storage(uri)
     part = f"{path}.{uuid.uuid4().hex}.part"
     files.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with files.open_output_stream(part) as out:
+    with files.open_output_stream(part, compression=None) as out:
         write(out)
     files.move(part, path)
 

@@ -147,22 +147,22 @@ def plan(facts: DataFrame) -> tuple[DataFrame, dict, dict]:
     goals = targets(sizes, sum(n for _, n in patterns.values()))
     given = route({p: n for p, n in sorted(patterns.values(), key=lambda x: [order(s) for s in x[0]])}, goals)
     parts = [(k, given[p] // n if n else 0, given[p] % n if n else 0) for k, (p, n) in patterns.items()]
-    rests = small(spark.createDataFrame(parts, "_pattern string, rounds long, rest long"))
+    rests = small(spark.createDataFrame(parts, "_pattern string, _rounds long, _rest long"))
     by = Window.partitionBy("_pattern").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = facts.groupBy("_pattern", F.expr(_BUCKET).alias("_b")).agg(F.sum("_size").alias("n")).withColumn("upto", F.sum("n").over(by))
-    edge = hist.join(rests, "_pattern").where("upto - n <= rest AND rest < upto").select("_pattern", "_b", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))
+    edge = hist.join(rests, "_pattern").where("upto - n <= _rest AND _rest < upto").select("_pattern", "_b", (F.col("_rest") - F.col("upto") + F.col("n")).alias("left"))
     edge = small(cut(edge, "edge"))
     inside = facts.withColumn("_b", F.expr(_BUCKET)).join(edge, ["_pattern", "_b"]).groupBy("_pattern", "_b", "_key", "_id").agg(F.sum("_size").alias("n"), F.first("left").alias("left"))
     by = Window.partitionBy("_pattern", "_b").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = inside.withColumn("upto", F.sum("n").over(by)).where("upto - n <= left AND left < upto")
-    found = found.select("_pattern", F.col("_b").alias("eb"), F.col("_key").alias("ek"), F.col("_id").alias("ei"), (F.col("left") - F.col("upto") + F.col("n")).alias("part"), F.col("n").alias("edge_size"))
-    return cut(rests.join(found, "_pattern", "left").drop("rest"), "plan"), sizes, goals
+    found = found.select("_pattern", F.col("_b").alias("_eb"), F.col("_key").alias("_ek"), F.col("_id").alias("_ei"), (F.col("left") - F.col("upto") + F.col("n")).alias("_part"), F.col("n").alias("_edge_size"))
+    return cut(rests.join(found, "_pattern", "left").drop("_rest"), "plan"), sizes, goals
 
 
 def _taken() -> Column:
     b = f"({_BUCKET})"
-    before = f"({b} < eb OR ({b} = eb AND (_key < ek OR (_key = ek AND _id < ei))))"
-    return F.expr(f"rounds * _size + CASE WHEN eb IS NULL THEN 0 WHEN {before} THEN _size WHEN _key = ek AND _id = ei THEN (part * _size) DIV edge_size ELSE 0 END")
+    before = f"({b} < _eb OR ({b} = _eb AND (_key < _ek OR (_key = _ek AND _id < _ei))))"
+    return F.expr(f"_rounds * _size + CASE WHEN _eb IS NULL THEN 0 WHEN {before} THEN _size WHEN _key = _ek AND _id = _ei THEN (_part * _size) DIV _edge_size ELSE 0 END")
 
 
 def mix(docs: DataFrame, sources: Column | None = None) -> DataFrame:

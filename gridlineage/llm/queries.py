@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlineage.llm import mixing, packing, quality_model, secret_scan, simhash, token_files
+from gridlineage.llm import edit_prints, mixing, packing, quality_model, secret_scan, simhash, text_rules, token_files, url_filter, warc_files
 from gridlineage.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return edit_prints.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_groups(table(spark, sf_dir, "documents"))
@@ -27,6 +32,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url; a page's outcome is the label of its id, bad if of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), outcomes)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in its window."""
     return packing.sequences(table(spark, sf_dir, "documents"))
@@ -37,6 +49,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of every page, written to archives and read back."""
+    return warc_files.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
+    return text_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     return secret_scan.scan(table(spark, sf_dir, "documents"))
@@ -50,9 +72,20 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_files, op3_simhash, op4_mixing, op6_packing, op7_quality, op10_secrets, pipeline]
+    own = [op1_token_files, op2_edit_prints, op3_simhash, op4_mixing, op5_url_filter, op6_packing, op7_quality, op8_warc, op9_text_rules, op10_secrets, pipeline]
     return {f.__name__: f for f in own}
 
 
+#: SQL of what doesn't need a hash, model or file format that SQL lacks; the rest is tested against brute force.
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+b AS (SELECT html, max(page_id) AS best FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+SELECT p.page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN b.best > p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN b.best > p.page_id THEN b.best END AS refers_to
+FROM p LEFT JOIN b ON p.html = b.html
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": OP8_SQL}
