@@ -1,0 +1,137 @@
+"""Comparing two versions of a workbook: matching, keyed comparison, ordering, verification."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+# Kinds of change in the order of their tiers.
+TIERS = ("SHEET", "ROW", "COLUMN", "NAME", "TABLE", "BINDING", "CELL", "EDGE", "LABEL", "TIME", "FAMILY", "METRIC")
+
+
+def keyed(a: DataFrame, b: DataFrame, keys: list[str], value: str, same: Column | None = None) -> DataFrame:
+    """(keys, old, new, change) of what was added, removed or changed; same: own equality of _a and _b."""
+    x = a.select(*keys, F.col(value).alias("_a"), F.lit(True).alias("_ina"))
+    y = b.select(*keys, F.col(value).alias("_b"), F.lit(True).alias("_inb"))
+    d = x.join(y, keys, "full")
+    equal = F.col("_a").eqNullSafe(F.col("_b")) if same is None else F.coalesce(same, F.lit(False)) | F.col("_a").eqNullSafe(F.col("_b"))
+    change = F.when(F.col("_ina").isNull(), "ADDED").when(F.col("_inb").isNull(), "REMOVED").when(~equal, "CHANGED")
+    return d.select(*keys, F.col("_a").alias("old"), F.col("_b").alias("new"), change.alias("change")).where("change IS NOT NULL")
+
+
+def edges(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Set difference both ways; a weight is part of an edge's identity."""
+    a, b = a.distinct(), b.distinct()
+    return a.join(b, a.columns, "left_anti").withColumn("change", F.lit("REMOVED")).unionByName(b.join(a, a.columns, "left_anti").withColumn("change", F.lit("ADDED")))
+
+
+def rename_scores(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(sheet_a, sheet_b, score): shared multiset of fingerprints over the larger one; a and b: sheet, fp."""
+    ca = a.groupBy("sheet", "fp").agg(F.count("*").alias("na")).withColumnRenamed("sheet", "sheet_a")
+    cb = b.groupBy("sheet", "fp").agg(F.count("*").alias("nb")).withColumnRenamed("sheet", "sheet_b")
+    ta = a.groupBy(F.col("sheet").alias("sheet_a")).agg(F.count("*").alias("ta"))
+    tb = b.groupBy(F.col("sheet").alias("sheet_b")).agg(F.count("*").alias("tb"))
+    shared = ca.join(cb, "fp").groupBy("sheet_a", "sheet_b").agg(F.sum(F.least("na", "nb")).alias("s"))
+    return shared.join(ta, "sheet_a").join(tb, "sheet_b").select("sheet_a", "sheet_b", (F.col("s") / F.greatest("ta", "tb")).alias("score"))
+
+
+def mutual_best(scores: DataFrame, least: float = 0.8, margin: float = 0.1) -> DataFrame:
+    """Pairs that are each other's best by the margin, at the least score."""
+    def gap(own: str, other: str) -> Column:
+        w = Window.partitionBy(own).orderBy(F.desc("score"), other)
+        return F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0))
+
+    def first(own: str, other: str) -> Column:
+        return F.row_number().over(Window.partitionBy(own).orderBy(F.desc("score"), other))
+
+    s = scores.withColumns({"_fa": first("sheet_a", "sheet_b"), "_fb": first("sheet_b", "sheet_a"), "_ga": gap("sheet_a", "sheet_b"), "_gb": gap("sheet_b", "sheet_a")})
+    return s.where((F.col("_fa") == 1) & (F.col("_fb") == 1) & (F.col("score") >= least) & (F.col("_ga") >= margin) & (F.col("_gb") >= margin)).select("sheet_a", "sheet_b", "score")
+
+
+def unique_matches(a: DataFrame, b: DataFrame, fp: str, key: str) -> DataFrame:
+    """(key_a, key_b) of fingerprints that come once on both sides."""
+    once = lambda d, name: d.groupBy(fp).agg(F.count("*").alias("_n"), F.min(key).alias(name)).where("_n = 1").drop("_n")
+    return once(a, f"{key}_a").join(once(b, f"{key}_b"), fp).select(f"{key}_a", f"{key}_b")
+
+
+def moved_by_offset(cells: DataFrame, anchors: DataFrame, others: DataFrame) -> DataFrame:
+    """(cell_a, cell_b): cells (binding_a, cell_a, at) of matched bindings (binding_a, binding_b, shift) at the same offset in others (binding_b, cell_b, at)."""
+    moved = cells.join(anchors, "binding_a").withColumn("at", F.col("at") + F.col("shift"))
+    return moved.join(others, ["binding_b", "at"]).select("cell_a", "cell_b")
+
+
+def align(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """Longest common subsequence as index pairs; of several, that of the earliest left then right places."""
+    n, m = len(left), len(right)
+    head = 0
+    while head < min(n, m) and left[head] == right[head]:
+        head += 1
+    tail = 0
+    while tail < min(n, m) - head and left[n - 1 - tail] == right[m - 1 - tail]:
+        tail += 1
+    a, b = left[head : n - tail], right[head : m - tail]
+    rows = [[0] * (len(b) + 1)]
+    for x in reversed(a):
+        below, row = rows[-1], [0] * (len(b) + 1)
+        for j in range(len(b) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if x == b[j] else max(below[j], row[j + 1])
+        rows.append(row)
+    rows.reverse()
+    out, i, j = [(k, k) for k in range(head)], 0, 0
+    while i < len(a) and j < len(b):
+        if rows[i][j] == rows[i + 1][j + 1] + 1 and a[i] == b[j]:
+            out.append((head + i, head + j))
+            i, j = i + 1, j + 1
+        elif rows[i][j + 1] == rows[i][j]:
+            j += 1
+        else:
+            i += 1
+    return out + [(n - tail + k, m - tail + k) for k in range(tail)]
+
+
+def axis_edits(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of each sheet (sheet, at, sig) aligned by longest common subsequence: (sheet, kind, at).
+
+    kind: matched (at of b), inserted or deleted; an unmatched row that both sides have at one place is an edit, not an insertion.
+    A sheet is one group, bounded by the rows of a sheet.
+    """
+    both = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
+
+    def one(sheet: pd.DataFrame) -> pd.DataFrame:
+        sheet = sheet.sort_values("at")
+        x, y = sheet[sheet.side == "a"], sheet[sheet.side == "b"]
+        pairs = align(x.sig.tolist(), y.sig.tolist())
+        xs, ys = x["at"].tolist(), y["at"].tolist()
+        lost = set(xs) - {xs[i] for i, _ in pairs}
+        new = set(ys) - {ys[j] for _, j in pairs}
+        rows = [("matched", ys[j]) for _, j in pairs] + [("edited", k) for k in lost & new] + [("deleted", k) for k in lost - new] + [("inserted", k) for k in new - lost]
+        return pd.DataFrame({"sheet": sheet["sheet"].iloc[0], "kind": [r[0] for r in rows], "at": [r[1] for r in rows]})
+
+    kinds = dict(a.dtypes)
+    return both.groupBy("sheet").applyInPandas(one, f"sheet {kinds['sheet']}, kind string, at {kinds['at']}")
+
+
+def in_order(changes: DataFrame) -> DataFrame:
+    """Changes in their total order: tier, type, key, details."""
+    tier = F.array_position(F.array(*map(F.lit, TIERS)), F.split("type", "_")[0])
+    return changes.withColumn("tier", tier).orderBy("tier", "type", "key", "details")
+
+
+def summary(changes: DataFrame) -> DataFrame:
+    """Counts by type, with the total (null)."""
+    return changes.rollup("type").agg(F.count("*").alias("n"))
+
+
+def uncovered(keys_a: DataFrame, keys_b: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Keys that only one side has and no change names: empty where a comparison is whole."""
+    lone = keys_a.join(keys_b, key, "left_anti").unionByName(keys_b.join(keys_a, key, "left_anti"))
+    return lone.join(changes.select(key).distinct(), key, "left_anti")
+
+
+def binding_map(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, status): unchanged, modified, moved, removed or added of bindings (id, at, fp)."""
+    d = a.select("id", F.col("at").alias("aa"), F.col("fp").alias("fa")).join(b.select("id", F.col("at").alias("ab"), F.col("fp").alias("fb")), "id", "full")
+    status = F.when(F.col("aa").isNull(), "added").when(F.col("ab").isNull(), "removed").when(F.col("fa") != F.col("fb"), "modified").when(F.col("aa") != F.col("ab"), "moved").otherwise("unchanged")
+    return d.select("id", status.alias("status"))
