@@ -80,12 +80,24 @@ def id_bounds(df: DataFrame, n: int, col: str = "doc_id") -> list[int]:
 
 
 def range_of(col, bounds: list[int]):
-    """Column: which of the ranges an id is in; equal ids share one, null is in the first."""
+    """Column: which of the ranges an id is in; equal ids share one, null is in the first.
+
+    Two steps of about the root of the number of ranges each: the block of bounds, then the place in it.
+    """
     if not bounds:
         return F.lit(0)
-    ids = F.array(*[F.lit(b).cast("long") for b in bounds])
-    # binary search by Spark's own ordered-array function would need a UDF; width is at most a few thousand
-    return F.coalesce(F.size(F.filter(ids, lambda b: b <= col)), F.lit(0))
+    width = max(1, round(len(bounds) ** 0.5))
+    blocks = [bounds[k : k + width] for k in range(0, len(bounds), width)]
+    ids = lambda some: F.array(*[F.lit(b).cast("long") for b in some])
+    block = F.size(F.filter(ids([b[0] for b in blocks]), lambda b: b <= col))
+    place = F.transform(F.array(block), lambda k: F.when(k > 0, (k - 1) * width + F.size(F.filter(F.get(F.array(*map(ids, blocks)), k - 1), lambda b: b <= col))).otherwise(0))
+    return F.when(col.isNull(), 0).otherwise(place[0]).cast("int")
+
+
+def sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About so many rows, at most twice as many, by a hash of their key: the same rows however they're stored."""
+    n = df.count()
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 40)) < int((1 << 40) * rows / n)).limit(2 * rows)
 
 
 def components(edges: DataFrame, name: str = "edges", rounds: int = 60) -> DataFrame:

@@ -106,11 +106,11 @@ def fit(docs: DataFrame, good: list[int], bits: int = BUCKET_BITS, prior: float
         for b in batches:
             doc = b.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
             known = np.isin(doc, ids) & ~np.array(b.column("doc_id").is_null())
-            for k, t in zip(known, b.column("text")):
-                n = np.bincount(ngrams(t.as_py(), bits), minlength=size)
-                got[0] += n
-                if k:
-                    got[1] += n
+            for at in range(0, b.num_rows, 512):
+                some = [ngrams(t.as_py(), bits) for t in b.column("text").slice(at, 512)]
+                got[0] += np.bincount(np.concatenate(some), minlength=size)
+                if known[at : at + 512].any():
+                    got[1] += np.bincount(np.concatenate([x for x, k in zip(some, known[at : at + 512]) if k]), minlength=size)
         at = np.flatnonzero(got[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(got[0][at]), pa.array(got[1][at])], names=["bucket", "raw", "target"])
 

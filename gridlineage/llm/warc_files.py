@@ -2,8 +2,8 @@
 
 The layout is the public one for WARC in zstandard: the file starts with a skippable frame
 (magic 0x184D2A5D) that holds the dictionary, and each record is a frame of its own, so that
-a record is read by seeking to it.  The dictionary is trained on at most SAMPLE records
-(pages of smallest hash, none above SAMPLE_BYTES).
+a record is read by seeking to it.  The dictionary is trained on about SAMPLE records,
+drawn by a hash of page_id and none above SAMPLE_BYTES.
 
 Each page is a response record, or a revisit record where an equal payload of at least
 REVISIT_BYTES has a larger page_id; a revisit keeps the HTTP header, with the full length,
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlineage.llm.common import NULL_ID, cut, new_path, small, storage, write_whole
+from gridlineage.llm.common import NULL_ID, cut, new_path, sample, small, storage, write_whole
 
 SKIPPABLE = 0x184D2A5D
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 200, 1 << 19, 64 << 10, 3
@@ -116,8 +116,8 @@ def train(samples: list[bytes]) -> bytes:
 def write(pages: DataFrame, path: str) -> list[str]:
     """Archives of pages (page_id, url, html) under path; the names of the files."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    sample = pages.where(F.octet_length("html") < SAMPLE_BYTES).orderBy(F.xxhash64("page_id", F.lit(1)), "html").limit(SAMPLE).collect()
-    dictionary = train([record(r["page_id"], r["url"], r["html"].encode(), None, False) for r in sample])
+    some = sample(pages, "page_id", SAMPLE).where(F.octet_length("html") < SAMPLE_BYTES).collect()
+    dictionary = train([record(r["page_id"], r["url"], r["html"].encode(), None, False) for r in sorted(some, key=str)])
     pages = pages.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).withColumn("bytes", F.octet_length("html"))
     order = F.coalesce("page_id", F.lit(NULL_ID))
     # a row for each payload that several pages share; copies are counted before they are shuffled
