@@ -130,7 +130,7 @@ def match_descending(t):
     return lookup.match_approximate(t.lineitem.select(F.col("l_quantity").alias("value")).distinct(), _array(t), -1)
 
 
-_CALLS = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, 5 AS r1, 2 AS c1, 40 AS r2, 9 AS c2, CASE WHEN l_linenumber > 5 THEN NULL ELSE l_suppkey % 45 END AS y, CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE l_linenumber END AS x FROM lineitem"""
+_CALLS = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, 5 AS r1, 2 AS c1, 40 AS r2, 9 AS c2, CAST(CASE WHEN l_linenumber > 5 THEN NULL ELSE l_suppkey % 45 END AS INT) AS y, CAST(CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE l_linenumber END AS INT) AS x FROM lineitem"""
 
 
 def _calls(t):
