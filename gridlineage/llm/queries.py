@@ -86,6 +86,57 @@ SELECT p.page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS paylo
 FROM p LEFT JOIN b ON p.html = b.html
 """
 
+_SHRINK = """least(greatest(m * (1 - m) / greatest(s - m * m - m * (1 - m) * k, 1e-9) - 1, 2.0), 1000.0)"""
+
+
+def _level(table: str, key: str, up: str | None, parents: str | None) -> str:
+    """SQL of one level's posteriors: counts in table, prior means from parents."""
+    moments = f"SELECT {f'{up}, ' if up else ''}sum(bad) / sum(n) AS m, count(*) / sum(n) AS k, sum(bad * bad / n) / sum(n) AS s FROM {table}{f' GROUP BY {up}' if up else ''}"
+    prior = f"SELECT *, {_SHRINK} AS st FROM ({moments})"
+    if not up:
+        return f"SELECT c.{key}, st * m + bad AS a, st * (1 - m) + n - bad AS b FROM {table} c, ({prior})"
+    return f"SELECT c.{key}, c.{up}, st * (p.a / (p.a + p.b)) + bad AS a, st * (1 - p.a / (p.a + p.b)) + n - bad AS b FROM {table} c JOIN ({prior}) g USING ({up}) JOIN {parents} p USING ({up})"
+
+
+_LOW = "a / (a + b) - 2.0 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))"
+OP5_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+v AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+w AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM v),
+x AS (SELECT *, regexp_extract(bare, '(?:^|.*\\.)([^.]*\\.[^.]*)$', 1) AS two, regexp_extract(bare, '([^.]*)$', 1) AS suffix FROM w),
+y AS (SELECT page_id, host, path, CASE WHEN two = '' THEN bare ELSE two END AS domain, suffix FROM x),
+o AS (SELECT doc_id AS page_id, greatest(1 - quality, toxic) AS bad FROM labels),
+hc AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM y JOIN o USING (page_id) WHERE bad IS NOT NULL GROUP BY ALL),
+dc AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hc GROUP BY ALL), sc AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM dc GROUP BY ALL),
+sp AS ({_level('sc', 'suffix', None, None)}), dp AS ({_level('dc', 'domain', 'suffix', 'sp')}), hp AS ({_level('hc', 'host', 'domain', 'dp')}),
+j AS (SELECT y.*, hp.host IS NOT NULL AS seen, coalesce((SELECT {_LOW} FROM hp h WHERE h.host = y.host) > 0.5, false) AS bh, coalesce((SELECT {_LOW} FROM dp d WHERE d.domain = y.domain) > 0.5, false) AS bd, coalesce((SELECT {_LOW} FROM sp s WHERE s.suffix = y.suffix) > 0.5, false) AS bs FROM y LEFT JOIN hp ON hp.host = y.host),
+r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM j)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN CASE WHEN seen THEN bh ELSE bd OR bs END THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""
+
+_JSD = """sqrt(greatest(0.0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: (CASE WHEN {p}[i] > 0 THEN {p}[i] / list_sum({p}) * log2(2 * ({p}[i] / list_sum({p})) / ({p}[i] / list_sum({p}) + {q}[i] / list_sum({q}))) ELSE 0 END
+ + CASE WHEN {q}[i] > 0 THEN {q}[i] / list_sum({q}) * log2(2 * ({q}[i] / list_sum({q})) / ({p}[i] / list_sum({p}) + {q}[i] / list_sum({q}))) ELSE 0 END) / 2))))"""
+_COUNTS = ", ".join(f"(length(t) - length(regexp_replace(t, '{p}+', '', 'g')))::DOUBLE AS k{i}" for i, p in enumerate([r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[.,;:!?''\"()-]", "[#*$%&|<>]", r"[ \t\n\x0b\f\r]"]))
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[^ \\t\\n\\x0b\\f\\r]+') AS w FROM d),
+g AS (SELECT *, list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: list_slice(w, i, i + 4)) AS g FROM w),
+gx AS (SELECT doc_id, unnest(g) AS gram, unnest(range(1, len(g) + 1)) AS i FROM g),
+gh AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM gx) WHERE n > 1),
+gr AS (SELECT doc_id, count(DISTINCT i + o)::BIGINT AS n FROM gh, (SELECT unnest(range(5)) AS o) GROUP BY doc_id),
+c AS (SELECT w.doc_id, lang, w, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0b\\f\\r]')) AS ls, coalesce(gr.n, 0) AS n_repeat_words, length(t)::DOUBLE AS len, {_COUNTS} FROM w LEFT JOIN gr USING (doc_id)),
+k AS (SELECT *, [k0, k1, k2, k3, k4, k5, len - k0 - k1 - k2 - k3 - k4 - k5] AS ks FROM c),
+lr AS (SELECT lang, [sum(k0), sum(k1), sum(k2), sum(k3), sum(k4), sum(k5), sum(ks[7])] AS rc FROM k GROUP BY lang HAVING count(*) >= 20),
+wc AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(t), '[^ \\t\\n\\x0b\\f\\r]+')) AS x FROM w) WHERE length(x) <= 8 GROUP BY ALL),
+top AS (SELECT lang, list(x ORDER BY n DESC, x) AS rw, list(n::DOUBLE ORDER BY n DESC, x) AS rs FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS r FROM wc) WHERE r <= 16 GROUP BY lang),
+j AS (SELECT k.*, rc, rw, rs, list_transform(rw, lambda x: len(list_filter(w, lambda y: lower(y) = x))::DOUBLE) AS ps FROM k LEFT JOIN lr ON lr.lang IS NOT DISTINCT FROM k.lang LEFT JOIN top ON top.lang IS NOT DISTINCT FROM lr.lang AND lr.rc IS NOT NULL),
+v AS (SELECT *, CASE WHEN rc IS NULL OR list_sum(ks) = 0 OR list_sum(rc) = 0 THEN 0.0 ELSE {_JSD.format(p='ks', q='rc')} END AS cd, CASE WHEN rw IS NULL OR list_sum(ps) = 0 THEN 0.0 ELSE {_JSD.format(p='ps', q='rs')} END AS wd, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_repeat_words, base_failed, round(cd, 6)::DOUBLE AS class_distance, round(wd, 6)::DOUBLE AS word_distance,
+  NOT base_failed AND NOT (word_chars >= 200 AND cd > 0.25 OR n_words >= 80 AND wd > 0.75) AS kept FROM v
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL}
+    return {"op5_url_filter": OP5_SQL, "op8_warc": OP8_SQL, "op9_text_rules": OP9_SQL}
