@@ -413,3 +413,51 @@ def udf(function: Callable, kind: str):
 
 
 EDGE = "array<struct<kind:string,target:string,r1:int,c1:int,r2:int,c2:int>>"
+
+
+def masked(formula: str) -> str:
+    """The formula with string literals, and names bound by LET and LAMBDA, blanked out; its length stays."""
+    out = re.sub(r'"(?:[^"]|"")*"', lambda m: '"' + " " * (len(m[0]) - 2) + '"', formula)
+    bound: set[str] = set()
+    try:
+        for node in walk(parse(formula)):
+            if node.kind == "call" and node.text in ("LET", "LAMBDA", "_XLFN.LET", "_XLFN.LAMBDA"):
+                names = node.args[:-1:2] if node.text.endswith("LET") else node.args[:-1]
+                bound |= {a.text for a in names if a.kind == "ref"}
+    except ValueError:
+        return out
+    for name in bound:
+        out = re.sub(rf"(?<![A-Za-z0-9_.]){re.escape(name)}(?![A-Za-z0-9_.(])", " " * len(name), out, flags=re.I)
+    return out
+
+
+def pivots(formula: str) -> list[tuple[str, list[str]]]:
+    """(function, arguments as text) of pivot and cube calls."""
+    return [(n.text, [write(a) for a in n.args]) for n in walk(parse(formula)) if n.kind == "call" and (n.text == "GETPIVOTDATA" or n.text.startswith("CUBE"))]
+
+
+def offsets(formula: str, sheet: str) -> list[tuple[str, str, int, int, int, int]]:
+    """(kind, sheet, r1, c1, r2, c2) of each OFFSET call on a cell or range: static with the exact rectangle where all numbers are
+    literal, else volatile with the base's top left; a base that isn't a reference is left out."""
+    out = []
+    for n in walk(parse(formula)):
+        if n.kind != "call" or n.text != "OFFSET" or len(n.args) < 3 or n.args[0].kind != "ref":
+            continue
+        base = [e for e in edges("=" + n.args[0].text, 1, 1, sheet) if e[0] in ("cell", "range")]
+        if not base:
+            continue
+        _, where, r1, c1, r2, c2 = base[0]
+        numbers = []
+        for a in n.args[1:]:
+            sign = -1 if a.kind == "unary" and a.text == "-" else 1
+            a = a.args[0] if a.kind == "unary" and a.text in "+-" else a
+            numbers.append(sign * int(float(a.text)) if a.kind == "const" and re.fullmatch(r"[0-9]+(\.0*)?", a.text) else (0 if a.kind == "const" and not a.text else None))
+        if None in numbers:
+            out.append(("via_offset_volatile", where, r1, c1, r1, c1))
+            continue
+        y, x = r1 + numbers[0], c1 + numbers[1]
+        high = numbers[2] if len(numbers) > 2 and numbers[2] else r2 - r1 + 1
+        wide = numbers[3] if len(numbers) > 3 and numbers[3] else c2 - c1 + 1
+        if y >= 1 and x >= 1 and y + high - 1 <= MAX_ROW and x + wide - 1 <= MAX_COL:
+            out.append(("via_offset_static", where, y, x, y + high - 1, x + wide - 1))
+    return out

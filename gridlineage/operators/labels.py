@@ -141,3 +141,22 @@ def entity_type(rows: Column, cols: Column, has_formula: Column) -> Column:
 def replay(events: DataFrame, key: str, order: str, action: str, value: str) -> DataFrame:
     """Overlay state of last-write-wins actions: (key, action, value, n) of the event of the largest order."""
     return events.groupBy(key, action).agg(F.max(F.struct(order, value))[value].alias(value), F.count("*").alias("n"))
+
+
+def header_context(candidates: DataFrame, by: str) -> DataFrame:
+    """(by, layers): labels by role (primary, group, axis, title, sheet) in order, each (role, text without case) once."""
+    roles = F.array(*map(F.lit, ("primary", "group", "axis", "title", "sheet")))
+    once = candidates.groupBy(by, "role", F.lower("text").alias("_t")).agg(F.min(F.struct("place", "text")).alias("_best"))
+    item = F.struct(F.array_position(roles, F.col("role")).alias("r"), F.col("_best.place").alias("p"), F.col("_best.text").alias("t"))
+    return once.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("l")).select(by, F.transform("l", lambda s: s["t"]).alias("layers"))
+
+
+def regions(cells: DataFrame, sheet: str, margin: int = 7) -> DataFrame:
+    """(sheet, r1, c1, r2, c2): bounds of a sheet's cells widened by a margin, from 1."""
+    box = cells.groupBy(sheet).agg(F.min("row").alias("a"), F.min("col").alias("b"), F.max("row").alias("c"), F.max("col").alias("d"))
+    return box.select(sheet, F.greatest(F.lit(1), F.col("a") - margin).alias("r1"), F.greatest(F.lit(1), F.col("b") - margin).alias("c1"), (F.col("c") + margin).alias("r2"), (F.col("d") + margin).alias("c2"))
+
+
+def review(cases: DataFrame, confidence: str, least: float = 0.7) -> DataFrame:
+    """Cases below the least confidence."""
+    return cases.where(F.col(confidence) < least)

@@ -113,3 +113,64 @@ def canonical_body(source: str) -> str:
         if text and not re.match(r"rem\b", text):
             out += [x.strip() for x in text.split("\n") if x.strip()]
     return "\n".join(out)
+
+
+_REF = re.compile(r"""(?:(?:Work)?Sheets\s*\(\s*"(?P<sheet>[^"]+)"\s*\)\s*\.\s*)?(?:Range\s*\(\s*"(?P<range>[^"]+)"\s*\)|Cells\s*\(\s*(?P<row>\d+)\s*,\s*(?P<col>\d+)\s*\)|\[(?P<short>\$?[A-Z]{1,3}\$?\d+(?::\$?[A-Z]{1,3}\$?\d+)?)\]|(?P<dynamic>(?:Range|Cells)\s*\())(?=(?P<rest>[^\r\n:]*))""", re.I)
+_FORMAT = re.compile(r"^\s*\.\s*(?:Interior|Font|Borders|NumberFormat|ColumnWidth|RowHeight|HorizontalAlignment|Select|Activate)\b", re.I)
+
+
+def static_refs(body: str) -> list[tuple[str | None, str, str, str]]:
+    """(sheet, address, access, precision) of the cells that macro text names: access is read, write or read_write, precision exact or dynamic.
+
+    Strings that aren't addresses and comments don't count; formatting alone is left out.
+    """
+    from gridlineage.functions.formula import column_letters
+
+    out: dict[tuple, None] = {}
+    for line in re.sub(r" _\r?\n", " ", body).splitlines():
+        line = re.sub(r"'(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$).*", "", line)
+        assign = re.search(r"(?<![<>=:])=(?!=)", line) if not re.match(r"\s*(?:If|ElseIf|While|Until|Loop|Do|Case|Select)\b", line, re.I) else None
+        for m in _REF.finditer(line):
+            if _FORMAT.match(m["rest"]):
+                continue
+            at = m["range"] or m["short"] or (f"{column_letters(int(m['col']))}{m['row']}" if m["row"] else "")
+            left = assign is not None and m.start() < assign.start()
+            access = "write" if left else "read"
+            if left and at and re.search(rf"(?<![A-Z0-9]){re.escape(at)}(?![0-9])", line[assign.end() :]):
+                access = "read_write"
+            out.setdefault((m["sheet"], at.replace("$", "").upper(), access, "exact" if at else "dynamic"))
+    return list(out)
+
+
+def value_pastes(body: str) -> list[tuple[str, str]]:
+    """(to, from) addresses of lines that assign one range's .Value to another's; error handlers are left out."""
+    out, handler = [], False
+    for line in re.sub(r" _\r?\n", " ", body).splitlines():
+        if re.match(r"\s*(?:err\w*|\w*error\w*|\w*handler\w*)\s*:\s*$", line, re.I):
+            handler = True
+        m = re.match(r"""\s*(?:.*?\.)?Range\s*\(\s*"([^"]+)"\s*\)\s*\.\s*Value2?\s*=\s*(?:.*?\.)?Range\s*\(\s*"([^"]+)"\s*\)\s*\.\s*Value2?\s*$""", line, re.I)
+        if m and not handler:
+            out.append((m[1].replace("$", "").upper(), m[2].replace("$", "").upper()))
+    return out
+
+
+def match_procedures(a: DataFrame, b: DataFrame, same: float = 0.5, renamed: float = 0.7, floor: int = 20) -> DataFrame:
+    """(module_a, name_a, module_b, name_b, step): procedures (module, name, kind, tokens) of two versions.
+
+    Step 1 takes equal module, name and kind; 2 the one best body of the same name in another module; 3 the one best body in
+    the same module under another name, both of at least `floor` tokens.  A match must be unique on both sides.
+    """
+    x = a.select(F.col("module").alias("module_a"), F.col("name").alias("name_a"), F.col("kind").alias("kind"), F.col("tokens").alias("ta"))
+    y = b.select(F.col("module").alias("module_b"), F.col("name").alias("name_b"), F.col("kind").alias("kind_b"), F.col("tokens").alias("tb"))
+    ka, kb = ["module_a", "name_a", "kind"], ["module_b", "name_b", "kind_b"]
+    out = x.join(y, (F.col("module_a") == F.col("module_b")) & (F.col("name_a") == F.col("name_b")) & (F.col("kind") == F.col("kind_b"))).select(*ka, *kb, F.lit(1).alias("step"))
+    for step, key, least in ((2, ("name_a", "name_b"), same), (3, ("module_a", "module_b"), renamed)):
+        free_a = x.join(out, ka, "left_anti")
+        free_b = y.join(out, kb, "left_anti")
+        pairs = free_a.join(free_b, (F.col(key[0]) == F.col(key[1])) & (F.col("kind") == F.col("kind_b"))).withColumn("s", jaccard(F.col("ta"), F.col("tb"))).where(F.col("s") >= least)
+        if step == 3:
+            pairs = pairs.where(F.least(F.size("ta"), F.size("tb")) >= floor)
+        once = lambda keys: F.count("*").over(Window.partitionBy(*keys))
+        found = pairs.withColumn("_a", once(ka)).withColumn("_b", once(kb)).where("_a = 1 AND _b = 1").select(*ka, *kb, F.lit(step).alias("step"))
+        out = out.unionByName(found)
+    return out.select("module_a", "name_a", "module_b", "name_b", "step")

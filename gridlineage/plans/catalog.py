@@ -37,7 +37,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from gridlineage.plans import binding_queries, diff_queries, formula_queries, graph_queries, grid_queries, label_queries, series_queries  # noqa: F401
+    from gridlineage.plans import binding_queries, diff_queries, formula_queries, graph_queries, grid_queries, label_queries, macro_queries, series_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
