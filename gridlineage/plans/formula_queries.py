@@ -6,7 +6,7 @@ from gridlineage.functions import formula, text
 from gridlineage.operators import lookup
 from gridlineage.plans.catalog import query
 
-_MADE = """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '=SUM($A$' || o_custkey || ':B' || o_orderkey || ')+''My Sheet''!C' || (o_orderkey % 90 + 1)
+_MADE = """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '=SUM($A$' || (o_custkey + 1) || ':B' || (o_orderkey + 1) || ')+''My Sheet''!C' || (o_orderkey % 90 + 1)
 WHEN 1 THEN replace('=IF(A1=~x ~~A2~~~, Data!$B', '~', chr(34)) || (o_custkey + 1) || ', C:C)' WHEN 2 THEN '=index(3:' || (o_orderkey % 50 + 4) || ',1)*2' WHEN 3 THEN '=D' || (o_orderkey + 1) || '*2'
 WHEN 4 THEN '=OFFSET(E' || (o_orderkey + 1) || ',1,0)+now()' ELSE '=VLOOKUP(A' || (o_orderkey + 1) || ',''Calc''!$D:$F,2,FALSE)' END AS f FROM orders"""
 
@@ -15,7 +15,7 @@ def made(t):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     s = lambda *a: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in a))
     f = (
-        F.when(k % 6 == 0, s("=SUM($A$", c, ":B", k, ")+'My Sheet'!C", k % 90 + 1))
+        F.when(k % 6 == 0, s("=SUM($A$", c + 1, ":B", k + 1, ")+'My Sheet'!C", k % 90 + 1))
         .when(k % 6 == 1, s('=IF(A1="x ""A2""", Data!$B', c + 1, ", C:C)"))
         .when(k % 6 == 2, s("=index(3:", k % 50 + 4, ",1)*2"))
         .when(k % 6 == 3, s("=D", k + 1, "*2"))
@@ -46,12 +46,16 @@ def sheet_quoting_normalize(t):
     return made(t).select("o_orderkey", text.plain_sheet_quotes(F.col("f")).alias("plain"))
 
 
-@query("""WITH m AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 6 = 3)
-SELECT o_orderkey, '=R' || CASE WHEN o_orderkey + 1 = o_custkey + 1 THEN '' ELSE '[' || (o_orderkey - o_custkey) || ']' END || 'C[2]*2' AS r1c1 FROM m""")
+_OFF = "CASE WHEN {0} = 0 THEN '' ELSE '[' || ({0}) || ']' END"
+_DOWN = _OFF.format("o_orderkey - o_custkey")
+
+
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '=SUM(R' || (o_custkey + 1) || 'C1:R' || {_DOWN} || 'C)+''My Sheet''!R' || {_OFF.format('o_orderkey % 90 - o_custkey')} || 'C[1]'
+WHEN 1 THEN '=IF(R' || {_OFF.format('-o_custkey')} || replace('C[-1]=~x ~~A2~~~, Data!RC2, C[1]:C[1])', '~', chr(34)) WHEN 2 THEN '=index(R' || {_OFF.format('2 - o_custkey')} || ':R' || {_OFF.format('o_orderkey % 50 + 3 - o_custkey')} || ',1)*2'
+WHEN 3 THEN '=R' || {_DOWN} || 'C[2]*2' WHEN 4 THEN '=OFFSET(R' || {_DOWN} || 'C[3],1,0)+now()' ELSE '=VLOOKUP(R' || {_DOWN} || 'C[-1],''Calc''!C4:C6,2,FALSE)' END AS r1c1 FROM orders""")
 def formula_r1c1(t):
     r1c1 = formula.udf(formula.to_r1c1, "string")
-    m = made(t).where("o_orderkey % 6 = 3")
-    return m.select("o_orderkey", r1c1("f", (F.col("o_custkey") + 1).cast("int"), F.lit(2)).alias("r1c1"))
+    return made(t).select("o_orderkey", r1c1("f", (F.col("o_custkey") + 1).cast("int"), F.lit(2)).alias("r1c1"))
 
 
 @query(f"SELECT o_orderkey, f FROM ({_MADE})")
@@ -60,25 +64,28 @@ def formula_r1c1_round_trip(t):
     return made(t).select("o_orderkey", back("f", F.col("o_custkey").cast("int") + 1, F.lit(7)).alias("f"))
 
 
-@query("""SELECT o_orderkey, '=D' || (o_orderkey + 4) || '*2' AS moved FROM orders WHERE o_orderkey % 6 = 3
-UNION ALL SELECT o_orderkey, '=SUM($A$' || o_custkey || ':C' || (o_orderkey + 3) || ')+''My Sheet''!D' || (o_orderkey % 90 + 4) FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey > 0 AND o_custkey > 0""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '=SUM($A$' || (o_custkey + 1) || ':C' || (o_orderkey + 4) || ')+''My Sheet''!D' || (o_orderkey % 90 + 4)
+WHEN 1 THEN replace('=IF(B4=~x ~~A2~~~, Data!$B', '~', chr(34)) || (o_custkey + 4) || ', D:D)' WHEN 2 THEN '=index(6:' || (o_orderkey % 50 + 7) || ',1)*2' WHEN 3 THEN '=E' || (o_orderkey + 4) || '*2'
+WHEN 4 THEN '=OFFSET(F' || (o_orderkey + 4) || ',1,0)+now()' ELSE '=VLOOKUP(B' || (o_orderkey + 4) || ',''Calc''!$D:$F,2,FALSE)' END AS moved FROM orders""")
 def shared_formula_shift(t):
-    # columns move by one only where the formula has a range
-    move = formula.udf(lambda f, k: formula.shift(f, 3, 0 if k % 6 == 3 else 1), "string")
-    return made(t).where("o_orderkey % 6 IN (0, 3) AND (o_orderkey % 6 = 3 OR o_orderkey > 0 AND o_custkey > 0)").select("o_orderkey", move("f", "o_orderkey").alias("moved"))
+    move = formula.udf(lambda f: formula.shift(f, 3, 1), "string")
+    return made(t).select("o_orderkey", move("f").alias("moved"))
 
 
 @query("""SELECT o_orderkey, 'cell' AS kind, 'S' AS target, CAST(o_orderkey + 1 AS INT) AS r1, 4 AS c1, CAST(o_orderkey + 1 AS INT) AS r2, 4 AS c2 FROM orders WHERE o_orderkey % 6 = 3
-UNION ALL SELECT o_orderkey, 'range', 'S', CAST(least(o_custkey, o_orderkey) AS INT), 1, CAST(greatest(o_custkey, o_orderkey) AS INT), 2 FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey > 0 AND o_custkey > 0
-UNION ALL SELECT o_orderkey, 'cell', 'My Sheet', CAST(o_orderkey % 90 + 1 AS INT), 3, CAST(o_orderkey % 90 + 1 AS INT), 3 FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey > 0 AND o_custkey > 0
+UNION ALL SELECT o_orderkey, 'range', 'S', CAST(least(o_custkey, o_orderkey) + 1 AS INT), 1, CAST(greatest(o_custkey, o_orderkey) + 1 AS INT), 2 FROM orders WHERE o_orderkey % 6 = 0
+UNION ALL SELECT o_orderkey, 'cell', 'My Sheet', CAST(o_orderkey % 90 + 1 AS INT), 3, CAST(o_orderkey % 90 + 1 AS INT), 3 FROM orders WHERE o_orderkey % 6 = 0
 UNION ALL SELECT o_orderkey, 'dynamic', 'DYNAMIC:OFFSET', 0, 0, 0, 0 FROM orders WHERE o_orderkey % 6 = 4
 UNION ALL SELECT o_orderkey, 'cell', 'S', CAST(o_orderkey + 1 AS INT), 1, CAST(o_orderkey + 1 AS INT), 1 FROM orders WHERE o_orderkey % 6 = 5
 UNION ALL SELECT o_orderkey, 'range', 'Calc', 1, 4, 1048576, 6 FROM orders WHERE o_orderkey % 6 = 5
 UNION ALL SELECT o_orderkey, 'dynamic', 'DYNAMIC:INDEX', 0, 0, 0, 0 FROM orders WHERE o_orderkey % 6 = 2
-UNION ALL SELECT o_orderkey, 'range', 'S', 3, 1, CAST(o_orderkey % 50 + 4 AS INT), 16384 FROM orders WHERE o_orderkey % 6 = 2""")
+UNION ALL SELECT o_orderkey, 'range', 'S', 3, 1, CAST(o_orderkey % 50 + 4 AS INT), 16384 FROM orders WHERE o_orderkey % 6 = 2
+UNION ALL SELECT o_orderkey, 'cell', 'S', 1, 1, 1, 1 FROM orders WHERE o_orderkey % 6 = 1
+UNION ALL SELECT o_orderkey, 'cell', 'Data', CAST(o_custkey + 1 AS INT), 2, CAST(o_custkey + 1 AS INT), 2 FROM orders WHERE o_orderkey % 6 = 1
+UNION ALL SELECT o_orderkey, 'range', 'S', 1, 3, 1048576, 3 FROM orders WHERE o_orderkey % 6 = 1""")
 def formula_edges(t):
     read = formula.udf(lambda f: formula.edges(f, 1, 1, "S"), formula.EDGE)
-    return made(t).where("o_orderkey % 6 <> 1 AND o_orderkey > 0 AND (o_orderkey % 6 <> 0 OR o_custkey > 0)").select("o_orderkey", F.inline(read("f")))
+    return made(t).select("o_orderkey", F.inline(read("f")))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 'reference_shift' ELSE 'logic_change' END AS change FROM orders""")
@@ -106,11 +113,11 @@ def formula_words(t):
 
 # --- lookups on the snapshot ---
 
-_ARRAY = "SELECT p_partkey AS pos, CAST(p_size AS DOUBLE) AS v FROM part WHERE p_partkey <= 200"
+_ARRAY = "SELECT p_partkey AS pos, CAST(p_size AS DOUBLE) AS v FROM part"
 
 
 def _array(t):
-    return t.part.where("p_partkey <= 200").select(F.col("p_partkey").alias("pos"), F.col("p_size").cast("double").alias("v"))
+    return t.part.select(F.col("p_partkey").alias("pos"), F.col("p_size").cast("double").alias("v"))
 
 
 @query(f"""WITH a AS ({_ARRAY}), q AS (SELECT DISTINCT l_quantity AS v FROM lineitem) SELECT q.v AS value, min(pos) AS pos FROM q LEFT JOIN a ON a.v = q.v GROUP BY q.v""")
@@ -118,13 +125,13 @@ def match_exact(t):
     return lookup.match_exact(t.lineitem.select(F.col("l_quantity").alias("value")).distinct(), _array(t))
 
 
-@query(f"""WITH a AS ({_ARRAY}), q AS (SELECT DISTINCT l_quantity AS v FROM lineitem), s AS (SELECT q.v, coalesce(min(pos), 1000000) AS stop FROM q LEFT JOIN a ON a.v > q.v GROUP BY q.v)
+@query(f"""WITH a AS ({_ARRAY}), q AS (SELECT DISTINCT l_quantity AS v FROM lineitem), s AS (SELECT q.v, coalesce(min(pos), 1000000000) AS stop FROM q LEFT JOIN a ON a.v > q.v GROUP BY q.v)
 SELECT s.v AS value, max(pos) AS pos FROM s LEFT JOIN a ON a.pos < stop GROUP BY s.v""")
 def match_ascending(t):
     return lookup.match_approximate(t.lineitem.select(F.col("l_quantity").alias("value")).distinct(), _array(t), 1)
 
 
-@query(f"""WITH a AS ({_ARRAY}), q AS (SELECT DISTINCT l_quantity AS v FROM lineitem), s AS (SELECT q.v, coalesce(min(pos), 1000000) AS stop FROM q LEFT JOIN a ON a.v < q.v GROUP BY q.v)
+@query(f"""WITH a AS ({_ARRAY}), q AS (SELECT DISTINCT l_quantity AS v FROM lineitem), s AS (SELECT q.v, coalesce(min(pos), 1000000000) AS stop FROM q LEFT JOIN a ON a.v < q.v GROUP BY q.v)
 SELECT s.v AS value, max(pos) AS pos FROM s LEFT JOIN a ON a.pos < stop GROUP BY s.v""")
 def match_descending(t):
     return lookup.match_approximate(t.lineitem.select(F.col("l_quantity").alias("value")).distinct(), _array(t), -1)

@@ -41,10 +41,10 @@ def a1_address(t):
     return t.orders.select("o_orderkey", address.number(address.letters(c)).cast("int").alias("back"), address.a1(F.col("o_orderkey"), c).alias("a1"))
 
 
-@query("""SELECT o_orderkey, 'Sheet ' || o_orderstatus AS sheet, least(o_orderkey % 1000 + 1, o_custkey) AS r1, greatest(o_orderkey % 1000 + 1, o_custkey) AS r2, 2 AS c1, 28 AS c2 FROM orders WHERE o_custkey > 0""")
+@query("""SELECT o_orderkey, 'Sheet ' || o_orderstatus AS sheet, least(o_orderkey % 1000 + 1, o_custkey + 1) AS r1, greatest(o_orderkey % 1000 + 1, o_custkey + 1) AS r2, 2 AS c1, 28 AS c2 FROM orders""")
 def a1_range_parse(t):
-    ref = F.concat(F.lit("'Sheet "), "o_orderstatus", F.lit("'!$B$"), (F.col("o_orderkey") % 1000 + 1).cast("string"), F.lit(":AB"), F.col("o_custkey").cast("string"))
-    p = t.orders.where("o_custkey > 0").select("o_orderkey", address.parse_a1(ref).alias("p"))
+    ref = F.concat(F.lit("'Sheet "), "o_orderstatus", F.lit("'!$B$"), (F.col("o_orderkey") % 1000 + 1).cast("string"), F.lit(":AB"), (F.col("o_custkey") + 1).cast("string"))
+    p = t.orders.select("o_orderkey", address.parse_a1(ref).alias("p"))
     return p.select("o_orderkey", "p.sheet", F.col("p.r1").cast("long").alias("r1"), F.col("p.r2").cast("long").alias("r2"), "p.c1", "p.c2")
 
 
@@ -290,9 +290,10 @@ def nearest_header(t):
     return grid.nearest(o.where("k = 1").select("line", "at").distinct(), texts, ["line"], "at")
 
 
-@query("""WITH b AS (SELECT p_partkey AS id, p_partkey % 50 AS r1, p_size AS c1, p_partkey % 50 + p_size % 4 AS r2, p_size + p_partkey % 3 AS c2 FROM part WHERE p_partkey <= 400)
+@query("""WITH b AS (SELECT p_partkey AS id, p_partkey // 4 AS r1, p_size AS c1, p_partkey // 4 + p_size % 9 AS r2, p_size + p_partkey % 3 AS c2 FROM part)
 SELECT x.id AS a, y.id AS b, CAST((least(x.r2, y.r2) - greatest(x.r1, y.r1) + 1) * (least(x.c2, y.c2) - greatest(x.c1, y.c1) + 1) AS BIGINT) AS cells FROM b x JOIN b y ON x.id < y.id AND x.r1 <= y.r2 AND y.r1 <= x.r2 AND x.c1 <= y.c2 AND y.c1 <= x.c2""")
 def overlap_report(t):
     k, s = F.col("p_partkey"), F.col("p_size")
-    b = t.part.where("p_partkey <= 400").select(k.alias("id"), F.lit(1).alias("sheet_id"), (k % 50).alias("r1"), s.alias("c1"), (k % 50 + s % 4).alias("r2"), (s + k % 3).alias("c2"))
+    r = F.floor(k / 4)
+    b = t.part.select(k.alias("id"), F.lit(1).alias("sheet_id"), r.alias("r1"), s.alias("c1"), (r + s % 9).alias("r2"), (s + k % 3).alias("c2"))
     return grid.overlaps(b)

@@ -36,11 +36,11 @@ def duplicate_disambiguation(t):
     return labels.disambiguate(t.part, "p_type", "p_brand", "p_partkey").select("p_partkey", "unique_label")
 
 
-@query("""WITH w AS (SELECT user_id % 50 AS sheet, split_part(event_type || CASE WHEN user_id % 5 = 0 AND event_type <> 'click' THEN '' ELSE '' END, '_', 1) AS prefix, count(*) AS n FROM events WHERE user_id % 3 > 0 OR event_type = 'click' GROUP BY 1, 2),
+@query("""WITH w AS (SELECT user_id % 50 AS sheet, CASE WHEN user_id % 3 = 0 THEN 'click' ELSE split_part(event_type, '_', 1) END AS prefix, count(*) AS n FROM events GROUP BY 1, 2),
 b AS (SELECT sheet, arg_min(prefix, (-n, prefix)) AS prefix, max(n) / sum(n) AS share FROM w GROUP BY sheet) SELECT sheet, prefix, round(share, 6)::DOUBLE AS share FROM b WHERE round(share, 6) >= 0.3""")
 def sheet_prefix(t):
-    e = t.events.where("user_id % 3 > 0 OR event_type = 'click'").select((F.col("user_id") % 50).alias("sheet"), F.replace(F.col("event_type"), F.lit("_"), F.lit(" ")).alias("label"))
-    return labels.sheet_prefix(e, "sheet", "label", 0.3)
+    name = F.when(F.col("user_id") % 3 == 0, "click").otherwise(F.replace(F.col("event_type"), F.lit("_"), F.lit(" ")))
+    return labels.sheet_prefix(t.events.select((F.col("user_id") % 50).alias("sheet"), name.alias("label")), "sheet", "label", 0.3)
 
 
 @query("""SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name || p_type), 'calc|projection|model') THEN 'calculation' WHEN regexp_matches(lower(p_name || p_type), 'assum|param|rate') THEN 'assumption' WHEN regexp_matches(lower(p_name || p_type), 'policy|member|input|data') THEN 'policyholder' ELSE 'unknown' END AS kind FROM part""")
@@ -48,7 +48,7 @@ def sheet_type(t):
     return t.part.select("p_partkey", labels.sheet_type(F.concat("p_name", "p_type")).alias("kind"))
 
 
-_CLASS = """SELECT doc_id, lower(substr(text, 1, 200)) AS t, doc_id % 2 = 0 AS f, doc_id % 4 AS d, doc_id % 3 AS p FROM documents"""
+_CLASS = """SELECT doc_id, lower(text) AS t, doc_id % 2 = 0 AS f, doc_id % 4 AS d, doc_id % 3 AS p FROM documents"""
 _SCORES = """SELECT doc_id, least(1.0, CASE WHEN regexp_matches(t, 'rate|assum|factor|loading|discount') THEN 0.5 ELSE 0 END + CASE WHEN NOT f THEN 0.3 ELSE 0 END + CASE WHEN d > 1 THEN 0.2 ELSE 0 END) AS assumption,
 least(1.0, CASE WHEN regexp_matches(t, 'age|sex|name|date|policy|id') THEN 0.5 ELSE 0 END + CASE WHEN NOT f THEN 0.3 ELSE 0 END + CASE WHEN p = 0 THEN 0.1 ELSE 0 END) AS policyholder,
 least(1.0, CASE WHEN f THEN 0.4 ELSE 0 END + CASE WHEN p > 0 THEN 0.2 ELSE 0 END + CASE WHEN d > 0 THEN 0.2 ELSE 0 END) AS calculation,
@@ -57,7 +57,7 @@ least(1.0, CASE WHEN regexp_matches(t, 'total|reserve|premium|result|summary') T
 
 def _class(t):
     k = F.col("doc_id")
-    return t.documents.select("doc_id", F.substring("text", 1, 200).alias("t"), (k % 2 == 0).alias("f"), (k % 4).alias("d"), (k % 3).alias("p"))
+    return t.documents.select("doc_id", F.col("text").alias("t"), (k % 2 == 0).alias("f"), (k % 4).alias("d"), (k % 3).alias("p"))
 
 
 def _class_scores():
