@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from gridlineage.llm.common import NULL_ID, components, cut, id_bounds, partitions, range_of, small
 
 SLOTS, GRAM, SEED = 128, 4, 5
-PERIOD, CLASSES = 1 << 12, 64
+#: The walk's random bits repeat after PERIOD steps; characters fall in CLASSES classes.
+PERIOD, CLASSES = 1 << 8, 64
+ODD = np.arange(1, 2 * GRAM, 2, dtype=np.uint64)
 BANDS = 32
 #: Verified neighbours that one bucket compares at once; a larger one is banded again by more slots.
 BUCKET = 4096
@@ -49,68 +51,98 @@ class Walk:
         steps = _mix(np.arange(PERIOD * CLASSES, dtype=np.uint64) + np.uint64(seed << 32))
         bits = (steps & np.uint64(1)).astype(bool).reshape(PERIOD, CLASSES)
         # from step j on class c the walk leaves after the first step whose bit is set; rows repeat after PERIOD
-        dwell = np.zeros((PERIOD, CLASSES), dtype=np.int64)
+        self.dwell = np.zeros((PERIOD, CLASSES), dtype=np.int64)
         wait = np.zeros(CLASSES, dtype=np.int64)
         for j in range(2 * PERIOD - 1, -1, -1):
             wait = np.where(bits[j % PERIOD], 1, wait + 1)
             if j < PERIOD:
-                dwell[j] = wait
-        self.dwell = dwell.ravel().tolist()
-        self.seed = seed
-        self.upto = 0
-        self.records: list[tuple[np.ndarray, np.ndarray]] = []
+                self.dwell[j] = wait
+        # two characters at once: the sum of both dwells by step and pair of classes
+        second = (np.arange(PERIOD)[:, None] + self.dwell) % PERIOD
+        pairs = self.dwell[:, :, None] + self.dwell[second]
+        if pairs.max() > 255:
+            raise ValueError("choose another seed")
+        self.pairs = pairs.astype(np.uint8).tobytes()
+        self.mixed = _mix(np.arange(1, 65_537, dtype=np.uint64))
+        self.seed, self.upto = seed, 0
+        self.low = np.full(SLOTS, 2**64 - 1, dtype=np.uint64)
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def _grow(self, n: int) -> None:
-        """Each slot's running least step hash over the first n steps: few records a slot."""
-        start, self.upto = self.upto, max(1 << 14, 1 << (n - 1).bit_length())
-        steps = np.arange(start, self.upto, dtype=np.uint64)
-        records = []
-        for s in range(SLOTS):
-            h = _mix(steps + np.uint64((self.seed << 48) + (s << 36)))
-            low = np.minimum.accumulate(h)
-            at = np.flatnonzero(np.concatenate([[True], low[1:] < low[:-1]]))
-            if start:
-                old_at, old_low = self.records[s]
-                at = at[low[at] < old_low[-1]]
-                records.append((np.concatenate([old_at, at + start]), np.concatenate([old_low, low[at]])))
-            else:
-                records.append((at, low[at]))
-        self.records = records
+        """Each slot's records, the steps that have the least slot hash so far, over the first n steps."""
+        upto = max(1 << 14, 1 << (n - 1).bit_length())
+        for start in range(self.upto, upto, 1 << 14):
+            steps = np.arange(start, start + (1 << 14), dtype=np.uint64)
+            for s in range(SLOTS):
+                h = np.minimum.accumulate(_mix(steps + np.uint64((self.seed << 48) + (s << 36))))
+                before = np.concatenate([self.low[s : s + 1], h[:-1]])
+                at = np.flatnonzero((h < before) & (h < self.low[s]))
+                if len(at):
+                    self.found.append((np.full(len(at), s, dtype=np.int64), at + start))
+                    self.low[s] = min(self.low[s], h[-1])
+        self.upto = upto
+        slot, step = (np.concatenate(x) for x in zip(*self.found))
+        order = np.lexsort((step, slot))
+        self.steps = step[order]
+        self.keys = (slot[order] << 44) + self.steps
 
     def sampled(self, n: int) -> np.ndarray:
         """The step that each slot samples of a walk of n >= 1 steps."""
         if n > self.upto:
             self._grow(n)
-        return np.array([at[np.searchsorted(at, n) - 1] for at, _ in self.records], dtype=np.int64)
-
-    def fingerprint(self, text: str | None) -> bytes:
-        points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-        if not len(points):
+        return self.steps[np.searchsorted(self.keys, (np.arange(SLOTS) << 44) + n) - 1]
+
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(mixed code points, classes) of a text."""
+        points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        if len(points) and points.max() > 65_535:
+            mixed = _mix(points.astype(np.uint64) + np.uint64(1))
+        else:
+            mixed = self.mixed[points]
+        return mixed, (mixed >> np.uint64(58)).astype(np.uint8)
+
+    def walk(self, codes: np.ndarray, j: int = 0) -> np.ndarray:
+        """The step at which each character is left, starting at step j."""
+        first, table, start = codes[: len(codes) // 2 * 2 : 2], self.pairs, j
+        both = (first.astype(np.uint16) << 6 | codes[1::2]).tolist()
+        even = np.array([j := j + table[(j & 255) << 12 | c] for c in both], dtype=np.int64)
+        begins = np.concatenate([[start], even[:-1]]) if len(even) else even
+        out = np.empty(len(codes), dtype=np.int64)
+        out[1::2] = even
+        out[: 2 * len(even) : 2] = begins + self.dwell[begins & 255, first]
+        if len(codes) % 2:
+            out[-1] = j + self.dwell[j & 255, codes[-1]]
+        return out
+
+    def sample(self, mixed: np.ndarray, left: np.ndarray) -> bytes:
+        if not len(left):
             return bytes(SLOTS)
-        mixed = _mix(points + np.uint64(1))
-        codes = (mixed >> np.uint64(58)).astype(np.uint8).tobytes()
-        dwell, j = self.dwell, 0
-        left = [j := j + dwell[(j & 4095) << 6 | c] for c in codes]  # the step at which each character is left
-        at = np.searchsorted(np.array(left, dtype=np.int64), self.sampled(j), side="right")
+        at = np.searchsorted(left, self.sampled(int(left[-1])), side="right")
         padded = np.concatenate([mixed, np.arange(1, GRAM, dtype=np.uint64)])
-        gram = np.zeros(len(at), dtype=np.uint64)
-        for k in range(GRAM):
-            gram = _mix(gram + padded[at + k])
+        gram = _mix((padded[at[:, None] + np.arange(GRAM)] * ODD).sum(axis=1, dtype=np.uint64))
         return (gram >> np.uint64(56)).astype(np.uint8).tobytes()
 
+    def fingerprint(self, text: str | None) -> bytes:
+        mixed, codes = self.read(text)
+        return self.sample(mixed, self.walk(codes))
+
 
 _WALKS: list[Walk] = []
 
 
-def fingerprint(text: str | None) -> bytes:
+def shared_walk() -> Walk:
     if not _WALKS:
         _WALKS.append(Walk())
-    return _WALKS[0].fingerprint(text)
+    return _WALKS[0]
+
+
+def fingerprint(text: str | None) -> bytes:
+    return shared_walk().fingerprint(text)
 
 
 def likeness(a: bytes, b: bytes) -> float:
     """Share of equal slots."""
-    return sum(x == y for x, y in zip(a, b)) / SLOTS
+    return int((np.frombuffer(a, dtype=np.uint8) == np.frombuffer(b, dtype=np.uint8)).sum()) / SLOTS
 
 
 def edited(text: str, following: str) -> str:
@@ -149,14 +181,23 @@ def compare_edits(docs: DataFrame) -> DataFrame:
                     held = None if guest else now
             # every range ends with a guest, so nothing is left over
 
-        own = None
+        walk, own = shared_walk(), None
+
+        def walked(text: str):
+            mixed, codes = walk.read(text)
+            left = walk.walk(codes)
+            return text, mixed, codes, left, walk.sample(mixed, left)
+
         for (doc, text, _, _), following in pairs():
-            own = own if own is not None and own[0] == text else (text, fingerprint(text))
-            mine, other = own[1], fingerprint(following)
-            new = edited(text, following)
-            changed = fingerprint(new)
-            rows.append((doc, len(text), hashlib.sha256(new.encode()).hexdigest(), mine.hex(), changed.hex(), likeness(mine, changed), likeness(mine, other)))
-            own = (following, other)
+            own = own if own is not None and own[0] == text else walked(text)
+            next_ = walked(following)
+            # the edited text's walk is the text's own up to the edit
+            kept, put = len(text) - len(text) // 4, min(len(text) // 4, len(following))
+            left = np.concatenate([own[3][:kept], walk.walk(next_[2][:put], int(own[3][kept - 1]) if kept else 0)])
+            changed = walk.sample(np.concatenate([own[1][:kept], next_[1][:put]]), left)
+            digest = hashlib.sha256(edited(text, following).encode()).hexdigest()
+            rows.append((doc, len(text), digest, own[4].hex(), changed.hex(), likeness(own[4], changed), likeness(own[4], next_[4])))
+            own = next_
             if len(rows) == 512:
                 yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), schema=ARROW())
                 rows = []

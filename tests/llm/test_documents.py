@@ -290,24 +290,31 @@ def test_edit_prints(spark, docs, odd, none):
     assert np.mean([r["near_edited"] for r in long]) > 0.6 and np.mean([r["near_next"] for r in long]) < 0.15
 
 
-def test_the_walk_is_step_by_step_the_same():
+@pytest.mark.parametrize("cut", [0, 1, 2, 7])
+def test_the_walk_is_step_by_step_the_same(cut):
     w = edit_prints.Walk()
     steps = edit_prints._mix(np.arange(edit_prints.PERIOD * 64, dtype=np.uint64) + np.uint64(w.seed << 32)) & np.uint64(1)
-    text = "The quick brown fox, né 1999 😀. " * 40
-    codes = (edit_prints._mix(np.array([ord(c) for c in text], dtype=np.uint64) + np.uint64(1)) >> np.uint64(58)).tolist()
+    text = ("The quick brown fox, né 1999 😀. " * 60)[cut:]
+    mixed, codes = w.read(text)
+    assert (mixed == edit_prints._mix(np.array([ord(c) for c in text], dtype=np.uint64) + np.uint64(1))).all()
     j, left = 0, []
-    for c in codes:
+    for c in codes.tolist():
         while True:
-            moved = steps[(j % edit_prints.PERIOD) * 64 + c]
+            moved = steps[j % edit_prints.PERIOD * 64 + c]
             j += 1
             if moved:
                 break
         left.append(j)
-    k, quick = 0, []
-    for c in codes:
-        k += w.dwell[(k & 4095) << 6 | c]
-        quick.append(k)
-    assert quick == left
+    assert w.walk(codes).tolist() == left
+    assert w.walk(codes[100:], left[99]).tolist() == left[100:]
+    assert w.walk(codes[:0]).tolist() == [] and w.walk(codes[:1]).tolist() == left[:1]
+
+
+def test_each_slot_samples_its_step_of_least_hash():
+    w = edit_prints.Walk()
+    for n in (1, 3, 500, 40_000):
+        hashes = [edit_prints._mix(np.arange(n, dtype=np.uint64) + np.uint64((w.seed << 48) + (s << 36))) for s in range(edit_prints.SLOTS)]
+        assert w.sampled(n).tolist() == [int(h.argmin()) for h in hashes]
 
 
 def test_small_edits_keep_likeness_and_groups(spark):
