@@ -134,7 +134,7 @@ top AS (SELECT lang, list(x ORDER BY n DESC, x) AS rw, list(n::DOUBLE ORDER BY n
 j AS (SELECT k.*, rc, rw, rs, list_transform(rw, lambda x: len(list_filter(w, lambda y: lower(y) = x))::DOUBLE) AS ps FROM k LEFT JOIN lr ON lr.lang IS NOT DISTINCT FROM k.lang LEFT JOIN top ON top.lang IS NOT DISTINCT FROM lr.lang AND lr.rc IS NOT NULL),
 v AS (SELECT *, CASE WHEN rc IS NULL OR list_sum(ks) = 0 OR list_sum(rc) = 0 THEN 0.0 ELSE {_JSD.format(p='ks', q='rc')} END AS cd, CASE WHEN rw IS NULL OR list_sum(ps) = 0 THEN 0.0 ELSE {_JSD.format(p='ps', q='rs')} END AS wd, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM j)
 SELECT doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_repeat_words, base_failed, round(cd, 6)::DOUBLE AS class_distance, round(wd, 6)::DOUBLE AS word_distance,
-  NOT base_failed AND NOT (word_chars >= 200 AND cd > 0.25 OR n_words >= 80 AND wd > 0.75) AS kept FROM v
+  NOT base_failed AND NOT (word_chars >= 200 AND cd > 0.28 OR n_words >= 80 AND wd > 0.75) AS kept FROM v
 """
 
 

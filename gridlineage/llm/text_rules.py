@@ -22,7 +22,7 @@ SYMBOLS = "#*$%&|<>"
 #: Common words are sought among those of at most COMMON_LENGTH characters.
 COMMON, COMMON_LENGTH, LANG_DOCS = 16, 8, 20
 MIN_CHARS, MIN_WORDS = 200, 80
-CLASS_LIMIT, WORD_LIMIT = 0.25, 0.75
+CLASS_LIMIT, WORD_LIMIT = 0.28, 0.75
 SPLIT = r"[\x20\x09-\x0D]+"
 #: Character classes, beside white space and the rest.
 CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "point": r"[.,;:!?'\"()-]", "symbol": r"[#*$%&|<>]"}
@@ -33,9 +33,23 @@ def word_array(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT))
 
 
+def with_classes(d: DataFrame) -> DataFrame:
+    """d (_text) with _classes: characters of each class, white space, and the rest.
+
+    Each class's runs are removed from what the ones before it left, so that texts shrink from step to step.
+    """
+    left, counts = "_text", []
+    for k, p in enumerate([*CLASSES.values(), r"[\x20\x09-\x0D]"]):
+        d = d.withColumn(f"_left{k}", F.regexp_replace(left, p + "+", ""))
+        counts.append((F.length(left) - F.length(f"_left{k}")).cast("double"))
+        left = f"_left{k}"
+    return d.withColumn("_classes", F.array(*counts, F.length(left).cast("double"))).drop(*(f"_left{k}" for k in range(len(counts))))
+
+
 def _repeats(w: str = "_words") -> tuple[str, str, str]:
     """SQL of: window hashes, positions of windows found twice or more, words that those cover."""
-    windows = f"CASE WHEN size({w}) >= 5 THEN transform(sequence(1, size({w}) - 4), i -> xxhash64(slice({w}, i, 5))) ELSE array() END"
+    five = ", ".join(f"_hashes[i + {k}]" for k in range(5))
+    windows = f"CASE WHEN size({w}) >= 5 THEN transform(sequence(0, size({w}) - 5), i -> xxhash64({five})) ELSE array() END"
     again = (
         "CASE WHEN size(array_distinct(_windows)) = size(_windows) THEN array() ELSE "
         "transform(array(array_sort(transform(_windows, (h, i) -> struct(h AS h, i AS i)))), "
@@ -69,12 +83,10 @@ def facts(docs: DataFrame) -> DataFrame:
     })
     d = d.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     windows, again, covered = _repeats()
+    d = d.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     d = d.withColumn("_windows", F.expr(windows)).withColumn("_again", F.expr(again)).withColumn("n_repeat_words", F.expr(covered))
-    known = [F.regexp_count("_text", F.lit(p)).cast("double") for p in CLASSES.values()]
-    space = (F.length("_text") - F.col("word_chars")).cast("double")
-    d = d.withColumn("_known", F.array(*known, space))
-    d = d.withColumn("_classes", F.concat("_known", F.array(F.greatest(F.lit(0.0), F.length("_text") - F.aggregate("_known", F.lit(0.0), lambda s, x: s + x)))))
-    return d.drop("_lines", "_windows", "_again", "_known")
+    d = with_classes(d)
+    return d.drop("_lines", "_hashes", "_windows", "_again")
 
 
 def references(docs: DataFrame) -> DataFrame:
@@ -84,14 +96,9 @@ def references(docs: DataFrame) -> DataFrame:
     word = d.select("lang", F.explode(word_array(F.lower("_text"))).alias("w")).where(F.length("w") <= COMMON_LENGTH)
     counts = word.groupBy("lang", "w").agg(F.count("*").alias("n"))
     best = _top(counts)
-    n = F.length("_text").cast("double")
-    space = n - F.length(F.translate("_text", SPACE, ""))
-    known = [F.regexp_count("_text", F.lit(p)).cast("double") for p in CLASSES.values()]
-    sums = d.select("lang", n.alias("n"), *(k.alias(f"c{i}") for i, k in enumerate([*known, space])))
-    m = len(CLASSES) + 1
-    by_lang = sums.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), *(F.sum(f"c{i}").alias(f"c{i}") for i in range(m)))
-    rest = F.greatest(F.lit(0.0), F.col("n") - sum((F.col(f"c{i}") for i in range(m)), F.lit(0.0)))
-    by_lang = by_lang.where(F.col("docs") >= LANG_DOCS).select("lang", F.array(*(F.col(f"c{i}") for i in range(m)), rest).alias("ref_classes"))
+    m = len(CLASSES) + 2
+    sums = with_classes(d).groupBy("lang").agg(F.count("*").alias("docs"), *(F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(m)))
+    by_lang = sums.where(F.col("docs") >= LANG_DOCS).select("lang", F.array(*(F.col(f"c{i}") for i in range(m))).alias("ref_classes"))
     same = by_lang["lang"].eqNullSafe(best["lang"])
     return by_lang.join(best, same, "left").select(by_lang["lang"], "ref_words", "ref_shares", "ref_classes")
 
