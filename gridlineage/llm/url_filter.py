@@ -62,8 +62,8 @@ def _shrunk(children: DataFrame, parents: DataFrame | None, key: str, up: str |
     spread = F.greatest(F.col("_s") / F.col("_n") - mean * mean - mean * (1 - mean) * F.col("_k") / F.col("_n"), F.lit(1e-9))
     strength = F.least(F.greatest(mean * (1 - mean) / spread - 1, F.lit(STRENGTH[0])), F.lit(STRENGTH[1]))
     moments = moments.select(*group, strength.alias("_strength"), mean.alias("_mean"))
-    if parents is None:
-        joined = children.crossJoin(F.broadcast(moments)) if not group else children.join(moments, up)
+    if parents is None:  # one row, joined by a constant key
+        joined = children.withColumn("_all", F.lit(1)).join(F.broadcast(moments.withColumn("_all", F.lit(1))), "_all")
         prior = F.col("_mean")
     else:
         joined = children.join(moments, up).join(parents.select(up, (F.col("a") / (F.col("a") + F.col("b"))).alias("_up")), up)
