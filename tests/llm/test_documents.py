@@ -367,3 +367,36 @@ def test_divergence_by_hand(spark):
     got = spark.createDataFrame([(p, q), ([0.0], [1.0])], "p array<double>, q array<double>").select(F.expr(text_rules._distance("p", "q"))).collect()
     assert got[0][0] == pytest.approx(want) and got[1][0] == 0
     assert json.loads("[]") == []
+
+
+def test_log_weights_against_plain_counts(spark, docs):
+    import math
+    from collections import Counter
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = set(quality_model.good_ids(labels))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    grams = {d: Counter(quality_model.ngrams(t).tolist()) for d, t in texts.items()}
+    raw, target = Counter(), Counter()
+    for d, n in grams.items():
+        raw.update(n)
+        if d in good:
+            target.update(n)
+    share, a = sum(target.values()) / sum(raw.values()), quality_model.PRIOR
+    for r in quality_model.classify(docs, labels).collect():
+        d = r["doc_id"]
+        own = grams[d] if d in good else Counter()
+        want = sum(n * (math.log(target[g] - own[g] + a) - math.log(raw[g] * share + a)) for g, n in grams[d].items())
+        assert r["log_weight"] == pytest.approx(want, abs=0.02 + 1e-4 * sum(grams[d].values()))
+    assert sum(sum(n.values()) for n in grams.values()) == sum(max(0, 2 * k - 1) for k in (sum(len(quality_model._HASHES[0][w]) // 4 for w in t.lower().encode().split()) for t in texts.values()))
+
+
+def test_edit_groups_in_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    texts = [base[: 40 * k] + "#" * (k % 5) + base[40 * k :] for k in range(14)] + ["".join(rng.choice("ijklmnop ") for _ in range(900)) for _ in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r["doc_id"]: r["component_id"] for r in edit_prints.near_groups(df, least=0.6).collect()}
+    monkeypatch.setattr(edit_prints, "BUCKET", 3)
+    assert {r["doc_id"]: r["component_id"] for r in edit_prints.near_groups(df, least=0.6).collect()} == whole
+    assert len(set(whole.values())) < len(texts)
