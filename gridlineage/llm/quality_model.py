@@ -31,7 +31,7 @@ LABELLED, BUCKET_BITS, PRIOR, KEEP, SEED = 20_000, 17, 20.0, 0.001, 11
 class _Hashes(dict):
     """Word -> the 32-bit hashes of its parts (runs of word characters, single symbols) as bytes."""
 
-    MOST = 400_000
+    MOST = 120_000
 
     def __init__(self):
         import re
@@ -111,6 +111,7 @@ def fit(docs: DataFrame, good: list[int], bits: int = BUCKET_BITS, prior: float
                 got[0] += np.bincount(np.concatenate(some), minlength=size)
                 if known[at : at + 512].any():
                     got[1] += np.bincount(np.concatenate([x for x, k in zip(some, known[at : at + 512]) if k]), minlength=size)
+        _HASHES.clear()  # the next stage's caches need the room
         at = np.flatnonzero(got[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(got[0][at]), pa.array(got[1][at])], names=["bucket", "raw", "target"])
 
@@ -138,6 +139,7 @@ def scores(docs: DataFrame, fitted: Fitted, seed: int = SEED) -> DataFrame:
         for b in batches:
             weight, key = _keys(fitted, b.column("doc_id"), b.column("text"), seed)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(weight), pa.array(key)], names=["doc_id", "log_weight", "gumbel_key"])
+        _HASHES.clear()
 
     return _texts(docs).mapInArrow(run, "doc_id long, log_weight double, gumbel_key double")
 
@@ -193,6 +195,7 @@ def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = S
         for b in batches:
             _, key = _keys(fitted, b.column(len(names)), b.column(len(names) + 1), seed)
             yield b.select(list(range(len(names)))).filter(pa.array(key >= least))
+        _HASHES.clear()
 
     both = docs.select("*", F.col("doc_id").cast("long").alias("_id_"), F.col("text").cast("string").alias("_text_"))
     return both.mapInArrow(run, docs.schema)

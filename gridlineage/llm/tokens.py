@@ -53,7 +53,7 @@ class WordEncoder:
     ``cache_words`` bounds each of the two generations of the word cache, and with it the memory.
     """
 
-    def __init__(self, vocabulary: str | None = None, cache_words: int = 150_000):
+    def __init__(self, vocabulary: str | None = None, cache_words: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
