@@ -4,8 +4,8 @@ A file holds, in ascending doc_id order: the magic, one zstandard frame per docu
 ids as little-endian unsigned 32-bit integers, compressed with the shared dictionary), the
 index (doc_id, frame offset, frame length, ids; 28 bytes a document), and a footer with the
 index's place and the dictionary's SHA-256.  A document is read by one seek and one small
-frame.  The dictionary is trained once, on the serialized ids of at most SAMPLE documents
-(those of smallest hash, none above SAMPLE_BYTES), and stored beside the files.
+frame.  The dictionary is trained once, on the serialized ids of about SAMPLE documents
+(drawn by a hash of doc_id, none above SAMPLE_BYTES), and stored beside the files.
 
 Defined cases: a null or empty text has the end id alone; a null doc_id sorts first and is
 kept as null; rows that repeat a doc_id are ordered by their text; an empty table gives no
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlineage.llm.common import NULL_ID, id_bounds, new_path, partitions, range_of, storage, write_whole
+from gridlineage.llm.common import NULL_ID, id_bounds, new_path, partitions, range_of, sample, storage, write_whole
 from gridlineage.llm.tokens import END_ID, encoder
 
 MAGIC = b"TOKZ0001"
@@ -56,9 +56,9 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, files: int
     """Encodes docs (doc_id, text) into token files under path; gives the manifest, which is also stored there."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = docs.where(F.length("text") * 4 < SAMPLE_BYTES).orderBy(F.xxhash64("doc_id", F.lit(1)), "text").limit(SAMPLE).select("text").collect()
+    some = sample(docs, "doc_id", SAMPLE).where(F.length("text") * 4 < SAMPLE_BYTES).select("text").collect()
     own = encoder(vocabulary)
-    dictionary = train([own.encode(r["text"]) + END for r in sample])
+    dictionary = train([own.encode(t) + END for t in sorted(r["text"] for r in some)])
     digest = hashlib.sha256(dictionary).digest()
     write_whole(f"{path}/dictionary.zdict", lambda out: out.write(dictionary))
     n = files or partitions(spark)
