@@ -4,7 +4,9 @@ Labelled page outcomes are counted by host, registered domain and suffix.  Each
 children get a beta prior whose mean is the parent's posterior mean and whose strength is
 fitted by moments to how much siblings differ beyond binomial noise.  A page is blocked
 where the lower bound of its host's posterior bad rate is above LIMIT.  Unseen hosts fall
-back on their domain, then their suffix, then all outcomes.
+back on their domain, then their suffix, then all outcomes: the first of these that has
+outcomes decides.  The registered domain is the last two labels of the host, without a list
+of public suffixes, so that a name under co.uk is placed under co.uk itself.
 
 Defined cases: a null url or one without :// has empty host and path, fits no rule and gets
 the overall posterior; without outcomes nothing is blocked; outcomes of unknown pages and
@@ -94,15 +96,16 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
     placed = pages.select("page_id", host.alias("host"), path.alias("path"))
     known = outcomes.select("page_id", F.col("bad").cast("long").alias("bad")).where("bad IS NOT NULL")
     hosts, domains, suffixes = reputation(placed.select("page_id", "host").join(known, "page_id").select("host", "bad"))
-    # verdicts by host; only those of bad standing are joined to the pages
-    worst = hosts.select("host", lower_bound(F.col("a"), F.col("b")).alias("low")).where(F.col("low") > LIMIT).select("host", F.lit(True).alias("_host"))
-    seen = hosts.select("host", F.lit(True).alias("_seen"))
-    marks = seen.join(worst, "host", "left")
-    domain_marks = domains.where(lower_bound(F.col("a"), F.col("b")) > LIMIT).select("domain", F.lit(True).alias("_domain"))
-    suffix_marks = suffixes.where(lower_bound(F.col("a"), F.col("b")) > LIMIT).select("suffix", F.lit(True).alias("_suffix"))
+    # a verdict for each level's names that have outcomes; the first level that was seen decides
+    marks = [level.select(key, (lower_bound(F.col("a"), F.col("b")) > LIMIT).alias(f"_{key}")) for key, level in (("host", hosts), ("domain", domains), ("suffix", suffixes))]
+    # all outcomes under a uniform prior: without any, the bound is below LIMIT
+    overall = placed.select("page_id").join(known, "page_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    overall = overall.select(F.lit(1).alias("_all"), (lower_bound(F.col("bad") + 1.0, F.col("n") - F.col("bad") + 1.0) > LIMIT).alias("_overall"))
     domain, suffix = _levels(F.col("host"))
     joined = placed.withColumn("domain", domain).withColumn("suffix", suffix)
-    joined = joined.join(small(marks), "host", "left").join(small(domain_marks), "domain", "left").join(small(suffix_marks), "suffix", "left")
+    for key, mark in zip(("host", "domain", "suffix"), marks):
+        joined = joined.join(small(mark), key, "left")
+    joined = joined.withColumn("_all", F.lit(1)).join(F.broadcast(overall), "_all", "left")
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    bad = F.when(F.col("_seen"), F.col("_host")).otherwise(F.coalesce("_domain", "_suffix"))
+    bad = F.coalesce("_host", "_domain", "_suffix", "_overall")
     return joined.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, F.when(bad, "block").otherwise("allow")).alias("verdict"))

@@ -73,6 +73,15 @@ def test_reputation_shrinks_hosts(spark):
     assert got[1002] == "allow"  # one bad page weighs little against its domain
 
 
+def test_first_level_with_outcomes_decides(spark):
+    urls = [(k, f"http://h{k}.bad{k % 40}.zz/", "") for k in range(400)] + [(k, f"http://w{k % 5}.clean.zz/", "") for k in range(400, 500)]
+    bads = [(k, int(k < 400)) for k in range(500)]
+    urls += [(1000, "http://new.clean.zz/", ""), (1001, "http://new.unseen.zz/", ""), (1002, "http://a.b.yy/", ""), (1003, None, "")]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(urls, PAGES), spark.createDataFrame(bads, "page_id long, bad int"), rules=()).collect()}
+    assert got[1000] == "allow"  # its domain was seen, and is clean
+    assert got[1001] == got[1002] == got[1003] == "block"  # by the suffix, and by all outcomes
+
+
 def plain_warc(rows):
     last = {}
     for page, _, html in rows:
