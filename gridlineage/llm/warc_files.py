@@ -164,14 +164,15 @@ def records(f, block: int = 1 << 20) -> Iterator[bytes]:
     if len(dictionary) != size:
         raise ValueError("the dictionary is cut short")
     plain = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
-    left, frame, got = b"", plain.decompressobj(), []
+    left, frame, got, fed = b"", plain.decompressobj(), [], False
     while data := left or f.read(block):
         left = b""
         got.append(frame.decompress(data))
+        fed = not frame.eof  # a short record gives no bytes before its frame is whole
         if frame.eof:
             yield b"".join(got)
             left, frame, got = frame.unused_data, plain.decompressobj(), []
-    if any(got):
+    if fed:
         raise ValueError("the last frame is cut short")
 
 

@@ -122,3 +122,19 @@ def test_warc_damage_is_found(spark, pages):
     for bad in (good[:-1], good.replace(b"payload", b"paylaod"), good.replace(b"WARC/1.1", b"WARC/9"), good.replace(b"WARC-Date", b"WARC-Daze"), good + b"x", good.replace(b"Content-Length: 7", b"Content-Length: 8")):
         with pytest.raises(ValueError):
             warc_files.parse(bad)
+
+
+def test_a_short_last_record_cut_anywhere_is_found(spark):
+    from gridlineage.llm.common import storage
+
+    small = spark.createDataFrame([(k, f"http://a/{k}", "".join(chr(97 + (i * i * (k + 3) + i) % 26) for i in range(3000))) for k in range(4)], PAGES)
+    path = new_path(spark, "w")
+    names = warc_files.write(small.coalesce(1), path)
+    files, at = storage(f"{path}/{names[0]}")
+    data = files.open_input_stream(at, compression=None).read()
+    assert len(list(warc_files.records(io.BytesIO(data)))) == 4
+    last = data.rindex(b"\x28\xb5\x2f\xfd")
+    assert len(list(warc_files.records(io.BytesIO(data[:last])))) == 3
+    for end in range(last + 1, len(data)):
+        with pytest.raises(ValueError):
+            list(warc_files.records(io.BytesIO(data[:end])))
