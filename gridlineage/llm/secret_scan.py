@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,12 +28,12 @@ WINDOW = 20
 KINDS = ("assign", "access", "hex", "entropy")
 #: Class: candidates, least entropy of a window in bits.
 CLASSES = (("hex", r"(?<![0-9A-Za-z])[0-9a-fA-F]{20,}(?![0-9A-Za-z])", 2.9), ("base64", r"[A-Za-z0-9+/_=-]{20,}", 3.8))
-#: Fixed patterns of what is no secret.
+#: Fixed patterns of what is no secret; possessive, so that a long run of separators is read once.
 ALLOW = (
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",
-    r"[A-Za-z]{0,40}(?:[-_/+=]+[A-Za-z]{0,40})*",
+    r"(?:[-_/+=]++|[A-Za-z]{1,40}(?![A-Za-z]))*+",
     r"[0-9+/_=-]+",
-    r"(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/=]+(?:[A-Za-z]+|[0-9]{1,4}))*",
+    r"(?:[A-Za-z]++|[0-9]{1,4})(?:[-_/=]++(?:[A-Za-z]++|[0-9]{1,4}))*+",
     r".*(?i:example|sample|dummy|xxxx).*",
 )
 MASK = "<SECRET>"
@@ -99,13 +101,15 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
     found = base_spans(text)
     if not text:
         return found
-    known = [(s, e) for s, _, e in found]
+    # the furthest end of the spans that start here or before: a window is known if it ends no later
+    starts, ends = [s for s, _, _ in found], list(accumulate((e for _, _, e in found), max))
+    known = lambda s, e: (k := bisect_right(starts, s)) and ends[k - 1] >= e
     more: list[tuple[int, int]] = []
     _, _, _, classes, allow = _READY[0]
     for _, candidates, least in classes:
         for m in candidates.finditer(text):
             if not allow.fullmatch(m[0]):
-                more += [w for w in windows(text, m.start(), m.end(), least) if not any(s <= w[0] and w[1] <= e for s, e in known)]
+                more += [w for w in windows(text, m.start(), m.end(), least) if not known(*w)]
     joined: list[tuple[int, int]] = []
     for s, e in sorted(more):
         if joined and s <= joined[-1][1]:
