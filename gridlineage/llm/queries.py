@@ -86,33 +86,32 @@ SELECT p.page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS paylo
 FROM p LEFT JOIN b ON p.html = b.html
 """
 
-_SHRINK = """least(greatest(m * (1 - m) / greatest(s - m * m - m * (1 - m) * k, 1e-9) - 1, 2.0), 1000.0)"""
-
-
-def _level(table: str, key: str, up: str | None, parents: str | None) -> str:
-    """SQL of one level's posteriors: counts in table, prior means from parents."""
-    moments = f"SELECT {f'{up}, ' if up else ''}sum(bad) / sum(n) AS m, count(*) / sum(n) AS k, sum(bad * bad / n) / sum(n) AS s FROM {table}{f' GROUP BY {up}' if up else ''}"
-    prior = f"SELECT *, {_SHRINK} AS st FROM ({moments})"
-    if not up:
-        return f"SELECT c.{key}, st * m + bad AS a, st * (1 - m) + n - bad AS b FROM {table} c, ({prior})"
-    return f"SELECT c.{key}, c.{up}, st * (p.a / (p.a + p.b)) + bad AS a, st * (1 - p.a / (p.a + p.b)) + n - bad AS b FROM {table} c JOIN ({prior}) g USING ({up}) JOIN {parents} p USING ({up})"
-
-
-_LOW = "a / (a + b) - 2.0 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))"
+_STRENGTH = "least(greatest(m * (1 - m) / greatest(s - m * m - m * (1 - m) * k, 1e-9) - 1, 2.0), 1000.0)"
+_MOMENTS = "sum(bad) / sum(n) AS m, count(*) / sum(n) AS k, sum(bad * bad / n) / sum(n) AS s"
+_BAD = "{0}.a / ({0}.a + {0}.b) - 2.0 * sqrt({0}.a * {0}.b / (({0}.a + {0}.b) * ({0}.a + {0}.b) * ({0}.a + {0}.b + 1))) > 0.5"
 OP5_SQL = f"""
-WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-v AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-w AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM v),
-x AS (SELECT *, regexp_extract(bare, '(?:^|.*\\.)([^.]*\\.[^.]*)$', 1) AS two, regexp_extract(bare, '([^.]*)$', 1) AS suffix FROM w),
-y AS (SELECT page_id, host, path, CASE WHEN two = '' THEN bare ELSE two END AS domain, suffix FROM x),
-o AS (SELECT doc_id AS page_id, greatest(1 - quality, toxic) AS bad FROM labels),
-hc AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM y JOIN o USING (page_id) WHERE bad IS NOT NULL GROUP BY ALL),
-dc AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hc GROUP BY ALL), sc AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM dc GROUP BY ALL),
-sp AS ({_level('sc', 'suffix', None, None)}), dp AS ({_level('dc', 'domain', 'suffix', 'sp')}), hp AS ({_level('hc', 'host', 'domain', 'dp')}),
-j AS (SELECT y.*, hp.host IS NOT NULL AS seen, coalesce((SELECT {_LOW} FROM hp h WHERE h.host = y.host) > 0.5, false) AS bh, coalesce((SELECT {_LOW} FROM dp d WHERE d.domain = y.domain) > 0.5, false) AS bd, coalesce((SELECT {_LOW} FROM sp s WHERE s.suffix = y.suffix) > 0.5, false) AS bs FROM y LEFT JOIN hp ON hp.host = y.host),
-r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
-  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM j)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN CASE WHEN seen THEN bh ELSE bd OR bs END THEN 'block' ELSE 'allow' END AS verdict FROM r
+WITH url_parts AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+page AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM url_parts),
+bare AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS l FROM page),
+depth AS (SELECT *, CASE WHEN regexp_matches(array_to_string(l, '.'), '^[0-9]+([.][0-9]+){{3}}$') OR starts_with(l[1], '[') THEN 0
+  WHEN len(l) > 1 AND list_contains(['ac', 'co', 'com', 'edu', 'gov', 'mil', 'net', 'org'], l[-2]) AND regexp_matches(l[-1], '^[a-z]{{2}}$') THEN 2 ELSE 1 END AS deep FROM bare),
+place AS (SELECT page_id, host, path, CASE WHEN deep = 0 THEN array_to_string(l, '.') ELSE array_to_string(l[-least(deep + 1, len(l)):], '.') END AS domain, CASE WHEN deep = 0 THEN '[]' ELSE array_to_string(l[-deep:], '.') END AS suffix FROM depth),
+outcome AS (SELECT page_id, host, domain, suffix, greatest(1 - quality, toxic)::DOUBLE AS bad FROM place JOIN labels ON page_id = doc_id WHERE greatest(1 - quality, toxic) IS NOT NULL),
+every AS (SELECT coalesce(sum(bad), 0) + 1.0 AS a, count(*) - coalesce(sum(bad), 0) + 1.0 AS b FROM outcome),
+hosts AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad) AS bad FROM outcome WHERE host <> '' GROUP BY ALL),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+top AS (SELECT m, {_STRENGTH} AS t FROM (SELECT {_MOMENTS} FROM suffixes)),
+of_suffix AS (SELECT suffix, {_STRENGTH} AS t FROM (SELECT suffix, {_MOMENTS} FROM domains GROUP BY suffix)),
+of_domain AS (SELECT domain, {_STRENGTH} AS t FROM (SELECT domain, {_MOMENTS} FROM hosts GROUP BY domain)),
+by_suffix AS (SELECT suffix, t * m + bad AS a, t * (1 - m) + n - bad AS b FROM suffixes, top),
+by_domain AS (SELECT domain, t * (p.a / (p.a + p.b)) + bad AS a, t * (1 - p.a / (p.a + p.b)) + n - bad AS b FROM domains JOIN of_suffix USING (suffix) JOIN by_suffix p USING (suffix)),
+by_host AS (SELECT host, t * (p.a / (p.a + p.b)) + bad AS a, t * (1 - p.a / (p.a + p.b)) + n - bad AS b FROM hosts JOIN of_domain USING (domain) JOIN by_domain p USING (domain)),
+verdict AS (SELECT page_id, place.host, path, CASE WHEN h.host IS NOT NULL THEN {_BAD.format("h")} WHEN d.domain IS NOT NULL THEN {_BAD.format("d")} WHEN s.suffix IS NOT NULL THEN {_BAD.format("s")} ELSE {_BAD.format("every")} END AS bad
+  FROM every, place LEFT JOIN by_host h ON h.host = place.host LEFT JOIN by_domain d ON d.domain = place.domain AND place.host <> '' LEFT JOIN by_suffix s ON s.suffix = place.suffix AND place.host <> ''),
+ruled AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM verdict)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bad THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """
 
 _JSD = """sqrt(greatest(0.0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: (CASE WHEN {p}[i] > 0 THEN {p}[i] / list_sum({p}) * log2(2 * ({p}[i] / list_sum({p})) / ({p}[i] / list_sum({p}) + {q}[i] / list_sum({q}))) ELSE 0 END

@@ -82,6 +82,42 @@ def test_first_level_with_outcomes_decides(spark):
     assert got[1001] == got[1002] == got[1003] == "block"  # by the suffix, and by all outcomes
 
 
+def test_new_hosts_of_a_good_domain_under_a_bad_suffix_stay(spark):
+    urls = [(k, f"http://h{k % 3}.fine.com/", "") for k in range(60)] + [(k, f"http://w{k}.bad{k % 20}.com/", "") for k in range(100, 500)]
+    bads = [(k, int(k >= 100)) for k in range(500) if k < 60 or k >= 100]
+    urls += [(1000, "http://new.fine.com/", ""), (1001, "http://new.unseen.com/", "")]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(urls, PAGES), spark.createDataFrame(bads, "page_id long, bad int"), rules=()).collect()}
+    assert got[1000] == "allow" and got[1001] == "block"
+
+
+def test_levels_of_hosts(spark):
+    from pyspark.sql import functions as F
+
+    want = {
+        "a.b.example.com": ("example.com", "com"), "example.co.uk": ("example.co.uk", "co.uk"), "x.y.example.co.uk": ("example.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+        "a.net.xy": ("a.net.xy", "net.xy"), "a.shop.uk": ("shop.uk", "uk"), "127.0.0.1:80": ("127.0.0.1", "[]"), "[::1]": ("[::1]", "[]"), "u@w.org:8080": ("w.org", "org"), "localhost": ("localhost", "localhost"), "": ("", ""),
+    }
+    got = spark.createDataFrame([(h,) for h in want], "h string").select("h", *url_filter.levels(F.col("h"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == want
+
+
+def test_many_rules_are_joined_alike(spark, pages, monkeypatch):
+    rules = (*url_filter.RULES, ("allow", "example.net/en/1"), ("block", "example.net/en/1"), ("block", "x.example.net/"), ("allow", "com/"))
+    none = spark.createDataFrame([], "page_id long, bad int")
+    one = sorted(map(str, url_filter.judge(pages, none, rules).collect()))
+    monkeypatch.setattr(url_filter, "MOST_RULES", 2)
+    assert sorted(map(str, url_filter.judge(pages, none, rules).collect())) == one
+
+
+def test_clashing_columns_of_pages(spark, pages):
+    from pyspark.sql import functions as F
+
+    none = spark.createDataFrame([(1, 1), (9, 0)], "page_id long, bad int")
+    clash = pages.withColumns({c: F.lit("x") for c in ("host", "path", "domain", "suffix", "rule", "n", "a", "b", "bad", "digest", "bytes", "best", "refers_to", "_rule", "_host")})
+    assert sorted(map(str, url_filter.judge(clash, none.withColumn("host", F.lit(1))).collect())) == sorted(map(str, url_filter.judge(pages, none).collect()))
+    assert sorted(map(str, warc_files.round_trip(clash).collect())) == sorted(map(str, warc_files.round_trip(pages).collect()))
+
+
 def plain_warc(rows):
     last = {}
     for page, _, html in rows:
