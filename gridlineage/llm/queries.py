@@ -127,13 +127,15 @@ gr AS (SELECT doc_id, count(DISTINCT i + o)::BIGINT AS n FROM gh, (SELECT unnest
 c AS (SELECT w.doc_id, lang, w, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0b\\f\\r]')) AS ls, coalesce(gr.n, 0) AS n_repeat_words, length(t)::DOUBLE AS len, {_COUNTS} FROM w LEFT JOIN gr USING (doc_id)),
 k AS (SELECT *, [k0, k1, k2, k3, k4, k5, len - k0 - k1 - k2 - k3 - k4 - k5] AS ks FROM c),
-lr AS (SELECT lang, [sum(k0), sum(k1), sum(k2), sum(k3), sum(k4), sum(k5), sum(ks[7])] AS rc FROM k GROUP BY lang HAVING count(*) >= 20),
-wc AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(t), '[^ \\t\\n\\x0b\\f\\r]+')) AS x FROM w) WHERE length(x) <= 8 GROUP BY ALL),
-top AS (SELECT lang, list(x ORDER BY n DESC, x) AS rw, list(n::DOUBLE ORDER BY n DESC, x) AS rs FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS r FROM wc) WHERE r <= 16 GROUP BY lang),
-j AS (SELECT k.*, rc, rw, rs, list_transform(rw, lambda x: len(list_filter(w, lambda y: lower(y) = x))::DOUBLE) AS ps FROM k LEFT JOIN lr ON lr.lang IS NOT DISTINCT FROM k.lang LEFT JOIN top ON top.lang IS NOT DISTINCT FROM lr.lang AND lr.rc IS NOT NULL),
-v AS (SELECT *, CASE WHEN rc IS NULL OR list_sum(ks) = 0 OR list_sum(rc) = 0 THEN 0.0 ELSE {_JSD.format(p='ks', q='rc')} END AS cd, CASE WHEN rw IS NULL OR list_sum(ps) = 0 THEN 0.0 ELSE {_JSD.format(p='ps', q='rs')} END AS wd, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM j)
+lr AS (SELECT lang, [sum(k0), sum(k1), sum(k2), sum(k3), sum(k4), sum(k5), sum(ks[7])] AS rc FROM k GROUP BY lang),
+wc AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY ALL),
+wt AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS r, sum(n) OVER (PARTITION BY lang) AS total FROM wc),
+top AS (SELECT lang, list(x ORDER BY n DESC, x) AS rw, list(n::DOUBLE ORDER BY n DESC, x) || [(any_value(total) - sum(n))::DOUBLE] AS rs FROM wt WHERE r <= 16 GROUP BY lang),
+i AS (SELECT k.*, rc, rw, rs, list_transform(rw, lambda x: len(list_filter(w, lambda y: y = x))::DOUBLE) AS pc FROM k LEFT JOIN lr ON lr.lang IS NOT DISTINCT FROM k.lang LEFT JOIN top ON top.lang IS NOT DISTINCT FROM k.lang),
+j AS (SELECT *, pc || [n_words - list_sum(pc)] AS ps FROM i),
+v AS (SELECT *, CASE WHEN list_sum(ks) = 0 OR list_sum(rc) = 0 THEN 0.0 ELSE {_JSD.format(p='ks', q='rc')} END AS cd, CASE WHEN rw IS NULL OR n_words = 0 THEN 0.0 ELSE {_JSD.format(p='ps', q='rs')} END AS wd, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM j)
 SELECT doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_repeat_words, base_failed, round(cd, 6)::DOUBLE AS class_distance, round(wd, 6)::DOUBLE AS word_distance,
-  NOT base_failed AND NOT (word_chars >= 200 AND cd > 0.28 OR n_words >= 80 AND wd > 0.75) AS kept FROM v
+  NOT base_failed AND NOT (word_chars >= 200 AND cd > 0.3 OR n_words >= 80 AND wd > 0.3) AS kept FROM v
 """
 
 

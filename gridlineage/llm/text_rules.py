@@ -1,10 +1,10 @@
 """Quality rules by distribution divergence; DataFrame functions only.
 
-Two histograms of each document, its character classes and its share of each of the
-language's COMMON most common words, are compared to references of its language, which are
-counted over the whole corpus.  The measure is the Jensen-Shannon distance (base 2, so 0 to
-1).  A document fails where a distance is above its limit; documents below the minimum
-length are not judged by that histogram, nor are languages of fewer than LANG_DOCS documents.
+Two histograms of each document, its character classes and its words as each of the
+language's COMMON most common words and the rest, are compared to references of its language,
+which are counted over the whole corpus; words are compared as they're written.  The measure
+is the Jensen-Shannon distance (base 2, so 0 to 1).  A document fails where a distance is
+above its limit; documents below the minimum length are not judged by that histogram.
 
 Defined cases: a null or empty text has no words, counts of 0, and fails the base rule of
 ten words; a null language is a language of its own; equal rows get equal results; a table
@@ -19,13 +19,16 @@ from pyspark.sql import functions as F
 from gridlineage.llm.common import SPACE, cut, small
 
 SYMBOLS = "#*$%&|<>"
-#: Common words are sought among those of at most COMMON_LENGTH characters.
-COMMON, COMMON_LENGTH, LANG_DOCS = 16, 8, 20
+COMMON = 16
 MIN_CHARS, MIN_WORDS = 200, 80
-CLASS_LIMIT, WORD_LIMIT = 0.28, 0.75
+#: The 0.999 quantiles of labelled good documents, 0.23 and 0.26 at scale 0.1, rounded up to tenths.
+CLASS_LIMIT, WORD_LIMIT = 0.3, 0.3
 SPLIT = r"[\x20\x09-\x0D]+"
-#: Character classes, beside white space and the rest.
+#: Character classes, beside white space and the rest; no character is in two.
 CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "point": r"[.,;:!?'\"()-]", "symbol": r"[#*$%&|<>]"}
+N_CLASSES = len(CLASSES) + 2
+#: Repeated hashes of one text that are sought by value; more are found by a sort, with the same result.
+FEW = 64
 
 
 def word_array(text: Column) -> Column:
@@ -33,74 +36,45 @@ def word_array(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT))
 
 
-def with_classes(d: DataFrame) -> DataFrame:
-    """d (_text) with _classes: characters of each class, white space, and the rest.
-
-    Each class's runs are removed from what the ones before it left, so that texts shrink from step to step.
-    """
-    left, counts = "_text", []
-    for k, p in enumerate([*CLASSES.values(), r"[\x20\x09-\x0D]"]):
-        d = d.withColumn(f"_left{k}", F.regexp_replace(left, p + "+", ""))
-        counts.append((F.length(left) - F.length(f"_left{k}")).cast("double"))
-        left = f"_left{k}"
-    return d.withColumn("_classes", F.array(*counts, F.length(left).cast("double"))).drop(*(f"_left{k}" for k in range(len(counts))))
-
-
-def _repeats(w: str = "_words") -> tuple[str, str, str]:
-    """SQL of: window hashes, positions of windows found twice or more, words that those cover."""
-    five = ", ".join(f"_hashes[i + {k}]" for k in range(5))
-    windows = f"CASE WHEN size({w}) >= 5 THEN transform(sequence(0, size({w}) - 5), i -> xxhash64({five})) ELSE array() END"
-    again = (
-        "CASE WHEN size(array_distinct(_windows)) = size(_windows) THEN array() ELSE "
-        "transform(array(array_sort(transform(_windows, (h, i) -> struct(h AS h, i AS i)))), "
-        "s -> sort_array(transform(filter(s, (x, i) -> (i > 0 AND s[i - 1].h = x.h) OR (i < size(s) - 1 AND s[i + 1].h = x.h)), x -> x.i)))[0] END"
+def _repeats() -> tuple[str, str, str, str]:
+    """SQL of: window hashes, those found twice or more, positions of windows found twice or more, words that those cover."""
+    five = "_hashes"
+    for k in range(2, 6):
+        five = f"zip_with({five}, slice(_hashes, {k}, size(_hashes)), (x, y) -> xxhash64(x, y))"
+    windows = f"CASE WHEN size(_hashes) >= 5 THEN slice({five}, 1, size(_hashes) - 4) ELSE array() END"
+    # few repeated hashes are sought by value, many by sorting (hash, position)
+    some = "transform(filter(transform(_windows, (h, i) -> IF(array_contains(_twice, h), i, -1)), i -> i >= 0), i -> i)"
+    many = (
+        "transform(array(sort_array(transform(_windows, (h, i) -> struct(h AS h, i AS i)))), "
+        "s -> sort_array(transform(filter(s, (x, i) -> (i > 0 AND s[i - 1].h = x.h) OR (i < size(s) - 1 AND s[i + 1].h = x.h)), x -> x.i)))[0]"
     )
+    again = f"CASE WHEN size(_twice) = 0 THEN array() WHEN size(_twice) <= {FEW} THEN {some} ELSE {many} END"
     covered = (
         "CAST(CASE WHEN size(_again) = 0 THEN 0 ELSE 5 + aggregate(sequence(1, size(_again)), 0, "
         "(n, k) -> n + CASE WHEN k < size(_again) THEN least(5, _again[k] - _again[k - 1]) ELSE 0 END) END AS BIGINT)"
     )
-    return windows, again, covered
+    twice = "CASE WHEN size(array_distinct(_windows)) = size(_windows) THEN array() ELSE transform(array(sort_array(_windows)), s -> array_distinct(filter(s, (h, i) -> i > 0 AND s[i - 1] = h)))[0] END"
+    return windows, twice, again, covered
 
 
-def _distance(p: str, q: str) -> str:
-    """Jensen-Shannon distance of two arrays of counts or shares, each scaled to sum 1; 0 where one is empty."""
-    total = "aggregate({0}, CAST(0 AS DOUBLE), (s, x) -> s + x)"
-    scaled = f"zip_with(transform({p}, x -> x / {total.format(p)}), transform({q}, x -> x / {total.format(q)}), (x, y) -> struct(x AS x, y AS y))"
+def _distance(p: str, n: str, q: str, m: str) -> str:
+    """Jensen-Shannon distance of two arrays of counts of sums n and m; 0 where one is empty."""
     term = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / (d.x + d.y)) ELSE 0 END"
-    return f"CASE WHEN {total.format(p)} > 0 AND {total.format(q)} > 0 THEN sqrt(greatest(CAST(0 AS DOUBLE), aggregate({scaled}, CAST(0 AS DOUBLE), (s, d) -> s + ({term.format('d.x')} + {term.format('d.y')}) / 2))) ELSE CAST(0 AS DOUBLE) END"
+    scaled = f"zip_with({p}, {q}, (x, y) -> struct(x / {n} AS x, y / {m} AS y))"
+    return f"CASE WHEN {n} > 0 AND {m} > 0 THEN sqrt(greatest(CAST(0 AS DOUBLE), aggregate({scaled}, CAST(0 AS DOUBLE), (s, d) -> s + ({term.format('d.x')} + {term.format('d.y')}) / 2))) ELSE CAST(0 AS DOUBLE) END"
 
 
-def facts(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang) -> doc_id, lang, base counts, _words and _classes; null text is empty."""
-    d = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    d = d.withColumn("_words", word_array(F.col("_text")))
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    d = d.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.translate("_text", SPACE, "")).cast("long"),
-        "n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
-        "_lines": lines,
-    })
-    d = d.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    windows, again, covered = _repeats()
-    d = d.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    d = d.withColumn("_windows", F.expr(windows)).withColumn("_again", F.expr(again)).withColumn("n_repeat_words", F.expr(covered))
-    d = with_classes(d)
-    return d.drop("_lines", "_hashes", "_windows", "_again")
-
-
-def references(docs: DataFrame) -> DataFrame:
-    """(lang, ref_words, ref_shares, ref_classes): a row for each language of enough documents, counted over all of them."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(F.col("lang").cast("string").alias("lang"), text.alias("_text"))
-    word = d.select("lang", F.explode(word_array(F.lower("_text"))).alias("w")).where(F.length("w") <= COMMON_LENGTH)
-    counts = word.groupBy("lang", "w").agg(F.count("*").alias("n"))
-    best = _top(counts)
-    m = len(CLASSES) + 2
-    sums = with_classes(d).groupBy("lang").agg(F.count("*").alias("docs"), *(F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(m)))
-    by_lang = sums.where(F.col("docs") >= LANG_DOCS).select("lang", F.array(*(F.col(f"c{i}") for i in range(m))).alias("ref_classes"))
-    same = by_lang["lang"].eqNullSafe(best["lang"])
-    return by_lang.join(best, same, "left").select(by_lang["lang"], "ref_words", "ref_shares", "ref_classes")
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("lang").cast("string").alias("_lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+
+
+def common_words(docs: DataFrame) -> DataFrame:
+    """(_lang, ref_words, ref_counts, ref_hashes, ref_total): each language's COMMON words, their counts, and that of all words."""
+    words = _plain(docs).select("_lang", F.explode(word_array(F.col("_text"))).alias("w"))
+    counts = cut(words.groupBy("_lang", "w").agg(F.count("*").alias("n")), "word-counts")
+    total = counts.groupBy("_lang").agg(F.sum("n").cast("double").alias("ref_total"))
+    best = _top(counts).withColumnRenamed("_lang", "_of")
+    return total.join(best, F.col("_lang").eqNullSafe(F.col("_of"))).drop("_of")
 
 
 def _top(counts: DataFrame) -> DataFrame:
@@ -108,23 +82,64 @@ def _top(counts: DataFrame) -> DataFrame:
 
     # two steps: the best of each of 64 parts of a language, then the best of those
     part = counts.withColumn("_part", F.pmod(F.hash("w"), F.lit(64)))
-    for by in (["lang", "_part"], ["lang"]):
+    for by in (["_lang", "_part"], ["_lang"]):
         ranked = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "w"))
         part = part.withColumn("_r", ranked).where(F.col("_r") <= COMMON)
-    return part.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "w"))).alias("top")).select("lang", F.expr("transform(top, t -> t.w)").alias("ref_words"), F.expr("transform(top, t -> CAST(-t.m AS DOUBLE))").alias("ref_shares"))
+    return part.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "w"))).alias("top")).select("_lang", F.expr("transform(top, t -> t.w)").alias("ref_words"), F.expr("transform(top, t -> CAST(-t.m AS DOUBLE))").alias("ref_counts"), F.expr("transform(top, t -> xxhash64(t.w))").alias("ref_hashes"))
+
+
+def facts(docs: DataFrame, refs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lang), refs of common_words -> doc_id, _lang, base counts, _classes, _shares, ref_counts, ref_total.
+
+    One pass over the texts.  Few steps, each of which drops what the next one needn't carry.
+    """
+    d = _plain(docs)
+    d = d.join(refs.withColumnRenamed("_lang", "_of"), d["_lang"].eqNullSafe(F.col("_of")), "left")
+    keep = ["doc_id", "_lang", "ref_counts", "ref_total"]
+    lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    d = d.select(*keep, "ref_hashes", F.length("_text").alias("_chars"), word_array(F.col("_text")).alias("_words"), lines.alias("_lines"))
+    d = d.select(
+        *keep, "_chars",
+        F.size("_words").cast("long").alias("n_words"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.array_join("_words", "").alias("_joined"),
+        F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
+        "ref_hashes",
+    )
+    # each common word's count is by how many hashes its removal takes
+    shares = ", ".join(f"CASE WHEN {k} < size(ref_hashes) THEN CAST(size(_hashes) - size(array_remove(_hashes, ref_hashes[{k}])) AS DOUBLE) END" for k in range(COMMON))
+    windows, twice, again, covered = _repeats()
+    first, *others = CLASSES.values()
+    d = d.select(*keep, "_chars", "n_words", "n_dup_lines", F.expr(f"slice(array({shares}), 1, size(ref_hashes))").alias("_shares"), F.length("_joined").alias("_held"), F.regexp_replace("_joined", first + "+", "").alias("_left"), F.expr(windows).alias("_windows"))
+    d = d.select("*", F.expr(twice).alias("_twice"))
+    # lengths of what is left without the first class, without the first two, and so on
+    left = [F.length("_left")]
+    for k in range(len(others)):
+        left.append(F.length(F.regexp_replace("_left", "[" + "".join(others[: k + 1]) + "]+", "")))
+    d = d.select(*keep, "_chars", "n_words", "n_dup_lines", "_shares", "_held", F.array(F.col("_held"), *left).alias("_steps"), F.expr(again).alias("_again"))
+    counts = [(F.col("_steps")[k] - F.col("_steps")[k + 1]).cast("double") for k in range(len(CLASSES))]
+    classes = F.array(*counts, (F.col("_chars") - F.col("_held")).cast("double"), F.col("_steps")[len(CLASSES)].cast("double"))
+    symbols = F.col("_steps")[len(CLASSES) - 1] - F.col("_steps")[len(CLASSES)]
+    return d.select(*keep, "n_words", F.col("_held").cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), "n_dup_lines", F.expr(covered).alias("n_repeat_words"), F.col("_chars").cast("double").alias("_chars"), classes.alias("_classes"), "_shares")
+
+
+def class_sums(d: DataFrame) -> DataFrame:
+    """(_of, ref_classes, ref_chars): the characters of each class over all of a language's documents."""
+    sums = d.groupBy("_lang").agg(*(F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(N_CLASSES)), F.sum("_chars").alias("ref_chars"))
+    return sums.select(F.col("_lang").alias("_of"), F.array(*(F.col(f"c{i}") for i in range(N_CLASSES))).alias("ref_classes"), "ref_chars")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """docs -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept."""
-    refs = cut(references(docs), "references")
-    refs = small(refs).select(F.col("lang").alias("_lang"), "ref_words", "ref_shares", "ref_classes")
-    d = facts(docs)
-    d = d.join(refs, d["lang"].eqNullSafe(refs["_lang"]), "left")
-    # the place of each word among the common ones (0: none), then how often each place comes
-    d = d.withColumn("_places", F.expr("CASE WHEN ref_words IS NULL THEN array() ELSE array_remove(transform(_words, w -> array_position(ref_words, lower(w))), 0) END"))
-    d = d.withColumn("_shares", F.expr("transform(sequence(1, size(ref_words)), k -> CAST(size(_places) - size(array_remove(_places, CAST(k AS BIGINT))) AS DOUBLE))"))
-    d = d.withColumn("class_distance", F.expr(f"CASE WHEN ref_classes IS NULL THEN CAST(0 AS DOUBLE) ELSE {_distance('_classes', 'ref_classes')} END"))
-    d = d.withColumn("word_distance", F.expr(f"CASE WHEN ref_words IS NULL THEN CAST(0 AS DOUBLE) ELSE {_distance('_shares', 'ref_shares')} END"))
+    refs = small(cut(common_words(docs), "common-words"))
+    d = cut(facts(docs, refs), "text-facts")
+    sums = small(cut(class_sums(d), "class-sums"))
+    d = d.join(sums, d["_lang"].eqNullSafe(sums["_of"]), "left")
+    d = d.withColumn("_n", F.col("n_words").cast("double"))
+    shares = "concat(_shares, array(_n - aggregate(_shares, CAST(0 AS DOUBLE), (s, x) -> s + x)))"
+    words = "concat(ref_counts, array(ref_total - aggregate(ref_counts, CAST(0 AS DOUBLE), (s, x) -> s + x)))"
+    d = d.withColumn("_class", F.expr(_distance("_classes", "_chars", "ref_classes", "ref_chars")))
+    d = d.withColumn("_word", F.expr(f"CASE WHEN ref_total IS NULL THEN CAST(0 AS DOUBLE) ELSE {_distance(shares, '_n', words, 'ref_total')} END"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    far = ((F.col("word_chars") >= MIN_CHARS) & (F.col("class_distance") > CLASS_LIMIT)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > WORD_LIMIT))
-    return d.withColumn("base_failed", failed).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"), (~failed & ~far).alias("kept"))
+    far = ((F.col("word_chars") >= MIN_CHARS) & (F.col("_class") > CLASS_LIMIT)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("_word") > WORD_LIMIT))
+    return d.withColumn("base_failed", failed).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("_class", 6).alias("class_distance"), F.round("_word", 6).alias("word_distance"), (~failed & ~far).alias("kept"))
