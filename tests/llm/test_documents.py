@@ -1,7 +1,6 @@
 """Operators on documents against brute force, and their defined cases."""
 
 import hashlib
-import json
 import random
 import re
 import zlib
@@ -250,6 +249,31 @@ def test_secret_spans(spark, docs, odd, none):
     assert secret_scan.mask(odd).columns == odd.columns
 
 
+def test_long_runs_of_separators_are_read_once():
+    import time
+
+    began = time.time()
+    for c in "_=-/+":
+        assert secret_scan.spans("Fill in " + c * 1_000_000 + "1 now") == []
+        assert secret_scan.spans("Fill in " + ("abc" + c) * 10_000 + "1 now") == []
+    assert secret_scan.spans("y" * 41 + "-" * 30 + "z") == []  # no digits
+    assert time.time() - began < 10
+    many = 'token = "abcdef0123456789abcdef01" ' * 3000
+    began = time.time()
+    assert [k for _, k, _ in secret_scan.spans(many)] == [0] * 3000
+    assert time.time() - began < 10
+
+
+def test_the_allow_list_by_plain_rules():
+    seps, letters = set("-_/+="), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    allow = re.compile(secret_scan.ALLOW[1])
+    rng = random.Random(12)
+    for _ in range(3000):
+        t = "".join(rng.choice(["a", "Z" * 39, "x" * 40, "y" * 41, "-", "_=", "/", "+", "7"][: rng.choice([6, 8, 9])]) for _ in range(rng.randint(0, 8)))
+        runs = re.findall("[A-Za-z]+", t)
+        assert bool(allow.fullmatch(t)) == (all(c in seps or c in letters for c in t) and all(len(r) <= 40 for r in runs))
+
+
 def test_entropy_windows():
     import math
 
@@ -364,9 +388,29 @@ def test_divergence_by_hand(spark):
     p, q = [3.0, 1.0, 0.0], [1.0, 1.0, 2.0]
     a, b = [x / sum(p) for x in p], [x / sum(q) for x in q]
     want = math.sqrt(sum((x * math.log2(2 * x / (x + y)) if x else 0) + (y * math.log2(2 * y / (x + y)) if y else 0) for x, y in zip(a, b)) / 2)
-    got = spark.createDataFrame([(p, q), ([0.0], [1.0])], "p array<double>, q array<double>").select(F.expr(text_rules._distance("p", "q"))).collect()
+    got = spark.createDataFrame([(p, 4.0, q, 4.0), ([0.0], 0.0, [1.0], 1.0)], "p array<double>, n double, q array<double>, m double").select(F.expr(text_rules._distance("p", "n", "q", "m"))).collect()
     assert got[0][0] == pytest.approx(want) and got[1][0] == 0
-    assert json.loads("[]") == []
+
+
+def test_words_of_another_language_diverge_most(spark):
+    rng = random.Random(8)
+    common, other = ["the", "of", "and", "to"], [f"{a}{b}u" for a in "bcdfgklm" for b in "aeio"]
+    rows = [(k, " ".join(rng.choice(common) if rng.random() < 0.6 else rng.choice(other) for _ in range(120)), "en") for k in range(60)]
+    rows += [(100, " ".join(f"{a}{b}{c}" for a in "pqrstvwx" for b in "aei" for c in "nmlrs"), "en"), (101, " ".join(f"q{k}" for k in range(30)), "en"), (102, "x " * 100, "zz")]
+    got = {r["doc_id"]: r for r in text_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100]["word_distance"] > 0.5 and not got[100]["kept"]  # none of the common words
+    assert all(got[k]["kept"] for k in range(60))
+    assert got[101]["kept"]  # too short for this histogram
+    assert got[102]["word_distance"] == 0  # the only text of its language
+
+
+@pytest.mark.parametrize("few", [0, 1, 64])
+def test_repeats_are_found_by_value_and_by_sorting_alike(spark, monkeypatch, few):
+    monkeypatch.setattr(text_rules, "FEW", few)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in (3, 5, 9, 40, 300)] + ["one two three four five six " * 3, " ".join(map(str, range(500)))]
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert sorted(tuple(r[:7]) for r in text_rules.judge(df).collect()) == [(k, *plain_counts(t)) for k, t in enumerate(texts)]
 
 
 def test_log_weights_against_plain_counts(spark, docs):
