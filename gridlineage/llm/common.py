@@ -55,7 +55,14 @@ def write_whole(uri: str, write) -> None:
     files.create_dir(path.rsplit("/", 1)[0], recursive=True)
     with files.open_output_stream(part, compression=None) as out:
         write(out)
-    files.move(part, path)
+    try:
+        files.move(part, path)
+    except OSError:  # a store that doesn't replace: another attempt has written equal bytes
+        if files.get_file_info(path).size != files.get_file_info(part).size:
+            files.delete_file(path)
+            files.move(part, path)
+        else:
+            files.delete_file(part)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -68,6 +75,21 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the rows (doc_id, mark). Columns as given."""
+    id_, mark = fresh(docs, "gone_id"), fresh(docs, "gone_mark")
+    gone = small(cut(rows.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark)).distinct(), "gone"))
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone[id_]) & (F.xxhash64(docs["text"].cast("string")) == gone[mark]), "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,6 +106,11 @@ def id_bounds(df: DataFrame, n: int, col: str = "doc_id") -> list[int]:
     return sorted(set(got or []))
 
 
+def ranges(df: DataFrame, rows: int = 20_000, most: int = 10_000) -> int:
+    """Into how many ranges of ids df is cut: as many as shuffle partitions, more where they'd hold more rows than that."""
+    return max(partitions(df.sparkSession), min(most, -(-df.count() // rows)))
+
+
 def range_of(col, bounds: list[int]):
     """Column: which of the ranges an id is in; equal ids share one, null is in the first.
 
@@ -100,12 +127,12 @@ def range_of(col, bounds: list[int]):
 
 
 def sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About so many rows, at most twice as many, by a hash of their key: the same rows however they're stored."""
+    """About so many rows, by a hash of their key: the same rows however they're stored; all rows of a key, however many."""
     n = df.count()
-    return df if n <= rows else df.where(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 40)) < int((1 << 40) * rows / n)).limit(2 * rows)
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 40)) < int((1 << 40) * rows / n))
 
 
-def components(edges: DataFrame, name: str = "edges", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """(node, root) of every node in edges (a, b) but the roots: root is the smallest node reachable.
 
     Large-star and small-star steps alternate until nothing changes; each round is a written table.
@@ -113,7 +140,7 @@ def components(edges: DataFrame, name: str = "edges", rounds: int = 60) -> DataF
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     seen = None
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: every larger neighbour links to the least of the neighbourhood
@@ -127,6 +154,4 @@ def components(edges: DataFrame, name: str = "edges", rounds: int = 60) -> DataF
         if seen == state:
             break
         seen = state
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -13,7 +13,7 @@ cut again, by one-wildcard variants of the other segment's halves: there at most
 are free, so distinct values bound the bucket, and all neighbours are looked up by mask.
 
 Defined cases: null, empty and white-space texts have fingerprint zero and are linked as
-any other; equal texts share a component; rows that repeat a doc_id are one document; a
+any other; equal texts share a component; rows that repeat a doc_id are told apart by text; a
 null doc_id never names a component unless all its documents have null.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlineage.llm.common import components, cut, small
+from gridlineage.llm.common import components, cut, small, without
 
 BITS = 3
 SHINGLE = 3
@@ -55,14 +55,15 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def with_fingerprints(docs: DataFrame, column: str = "simhash") -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, column): the fingerprint as a long of the same bits."""
+    """docs (doc_id, text) -> (doc_id, mark, column): XXH64 of the text, the fingerprint as a long of the same bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got.view(np.int64))], names=["doc_id", column])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(got.view(np.int64))], names=["doc_id", "mark", column])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {column} long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, f"doc_id long, mark long, {column} long")
 
 
 def forest(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -203,7 +204,7 @@ def links(prints: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFram
 
 
 def near_groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, simhash long, component_id long), a row each; see the module."""
+    """docs (doc_id, text, ...) -> (doc_id, mark, simhash long, component_id long), a row each; see the module."""
     prints = cut(with_fingerprints(docs), "prints")
     distinct = prints.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("least"))
     distinct = cut(distinct, "distinct")
@@ -212,11 +213,9 @@ def near_groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
     rooted = cut(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(least, "root").select(F.col("fp").alias("simhash"), "component_id"), "named")
-    return prints.join(small(named), "simhash").select("doc_id", "simhash", "component_id")
+    return prints.join(small(named), "simhash").select("doc_id", "mark", "simhash", "component_id")
 
 
 def one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """docs without those that are in another document's component; rows with a null doc_id stay. Columns as given."""
-    gone = cut(near_groups(docs, bits).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    gone = small(gone)
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return without(docs, near_groups(docs, bits).where("doc_id <> component_id"))

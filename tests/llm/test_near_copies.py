@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from gridlineage.llm import near_copies
+from gridlineage.llm import near_copies, simhash
 from gridlineage.llm.common import cut, table
 
 SF = "/root/testdata/sf0.001"
@@ -28,7 +28,9 @@ def plain_kept(texts):
     return set(label.values())
 
 
-def test_near_copies_of_many_degrees(spark):
+@pytest.mark.parametrize("block", [400, near_copies.BLOCK])
+def test_near_copies_of_many_degrees(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     random.seed(7)
     texts = {}
     for k in range(12):
@@ -62,12 +64,28 @@ def test_prefixes_meet_in_any_order(share):
     import numpy as np
 
     rng = np.random.default_rng(2)
-    for n in (1, 4, 5, 9, 10, 100):
+    for n in (1, 4, 5, 9, 10, 100, 199, 201, 3000, 12_900, 60_000):
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         b = np.unique(np.concatenate([a[: -(-8 * n // 9)], rng.integers(0, 2**63, n - -(-8 * n // 9)).astype(np.uint64)]))
         common = a[:share]
         both = len(np.intersect1d(a, b))
         if 9 * both >= 4 * (len(a) + len(b)):
             assert len(np.intersect1d(*(near_copies.prefix(x, common, np.arange(1, len(common) + 1)) for x in (a, b))))
-            assert near_copies.candidates(np.array([len(a), len(b)]), np.stack([near_copies.slots(a), near_copies.slots(b)]))
+            assert near_copies.candidates(np.array([len(a), len(b)]), np.stack([near_copies.sketch(a), near_copies.sketch(b)]))
             assert near_copies.true_links([a, b], common, np.arange(1, len(common) + 1)) == [(0, 1)]
+
+
+def test_sketches_rule_out_what_shares_little():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (400, 3400, 13_000):
+        sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for _ in range(30)]
+        assert len(near_copies.candidates(np.array([len(s) for s in sets]), np.stack([near_copies.sketch(s) for s in sets]))) < 10
+
+
+def test_texts_under_a_repeated_id_are_kept_or_dropped_each(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    for keep in (near_copies.one_of_each, simhash.one_of_each):
+        got = keep(spark.createDataFrame([(1, a), (5, a), (5, b), (7, c), (7, c)], "doc_id long, text string"))
+        assert sorted(map(tuple, got.collect())) == [(1, a), (5, b), (7, c), (7, c)]
