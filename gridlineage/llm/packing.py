@@ -5,8 +5,9 @@ GROUP_TOKENS tokens as it streams.  In a group every piece starts as a partial p
 of k windows, one of them filled.  The two partial partitions of the largest imbalance
 are merged with opposing imbalances (the fullest window with the emptiest), until one is
 left with near-equal windows.  k starts at the fewest windows that could hold the group;
-what a window holds above its capacity is cut off and moved into the room of others, and
-where there is no such room the count rises.  Documents of a window or more give full
+what a window holds above its capacity is cut off and moved into the room of others, for
+which that many windows always have room.  Where pieces aren't to be cut, the count rises
+until no window is above its capacity.  Documents of a window or more give full
 windows first; what is left of them is a piece like any other.
 
 Defined cases: a null or empty text is the end id alone; null and repeated doc_ids are
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from gridlineage.llm.tokens import END_ID, encoder
 
 WINDOW = 4096
-#: Tokens of a group that is packed at once: bounds memory, and one not quite full window a group.
-GROUP_TOKENS = 512 * WINDOW
+#: Tokens, and documents, of a group that is packed at once: bounds memory, and one not quite full window a group.
+GROUP_TOKENS, GROUP_DOCS = 512 * WINDOW, 1 << 17
 #: Characters that one partition packs.
 PARTITION_CHARS = 16_000_000
 
@@ -41,15 +42,20 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     items = len(sizes)
     heap = []
     for i, s in enumerate(sizes):
-        sums = np.zeros(k, dtype=np.int64)
-        nodes = np.full(k, -1, dtype=np.int64)
-        sums[0], nodes[0] = s, i  # fullest first
-        heap.append((-(s if k > 1 else 0), i, sums, nodes))
+        heap.append((-(s if k > 1 else 0), i, None, None))
     heapq.heapify(heap)
+
+    def whole(entry):
+        """(sums, nodes) of the windows, fullest first; an item takes no room for them until it's merged."""
+        _, i, sums, nodes = entry
+        if sums is None:
+            sums, nodes = np.zeros(k, dtype=np.int64), np.full(k, -1, dtype=np.int64)
+            sums[0], nodes[0] = sizes[i], i
+        return sums, nodes
+
     serial = items
     while len(heap) > 1:
-        _, _, a, an = heapq.heappop(heap)
-        _, _, b, bn = heapq.heappop(heap)
+        (a, an), (b, bn) = whole(heapq.heappop(heap)), whole(heapq.heappop(heap))
         b, bn = b[::-1], bn[::-1]
         both = np.flatnonzero((an >= 0) & (bn >= 0))
         nodes = np.where(an >= 0, an, bn)
@@ -63,7 +69,7 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
         heapq.heappush(heap, (-int(sums[0] - sums[-1]), serial, sums, nodes))
         serial += 1
     parts = []
-    for node in heap[0][3].tolist():
+    for node in whole(heap[0])[1].tolist():
         part, todo = [], [node]
         while todo:
             n = todo.pop()
@@ -75,8 +81,8 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return parts
 
 
-def pack(sizes: list[int], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Windows of (document, start, length): each token of each size lies in one of them once."""
+def pack(sizes: list[int], window: int = WINDOW, cuts: bool = True) -> list[list[tuple[int, int, int]]]:
+    """Windows of (document, start, length): each token of each size lies in one of them once; without cuts, pieces below a window stay whole."""
     out, rest, starts = [], [], []
     for d, n in enumerate(sizes):
         full = n // window * window
@@ -90,8 +96,7 @@ def pack(sizes: list[int], window: int = WINDOW) -> list[list[tuple[int, int, in
     while pieces:
         parts = difference(pieces, k)
         loads = [sum(pieces[i] for i in p) for p in parts]
-        over = sum(max(0, x - window) for x in loads)
-        if over <= sum(max(0, window - x) for x in loads):
+        if cuts or max(loads) <= window:
             break
         k += 1
     else:
@@ -155,7 +160,7 @@ def sequences(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = No
                 ids = enc.encode(text.as_py()) + end
                 kept.append((doc, ids))
                 held += len(ids) // 4
-                if held >= group_tokens:
+                if held >= group_tokens or len(kept) >= GROUP_DOCS:
                     yield flush()
         if kept:
             yield flush()
