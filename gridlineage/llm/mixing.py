@@ -182,7 +182,9 @@ def take(docs: DataFrame, sources: Column | None = None) -> DataFrame:
     sources = F.array(F.col("source").cast("string")) if sources is None else sources
     facts = cut(_facts(docs.select("doc_id", "text", "source"), sources).select("_size", "_pattern", "_key", "_id"), "facts")
     rows, _, _ = plan(facts)
-    chosen = _facts(docs, sources).join(small(rows), "_pattern").withColumn("_taken", _taken().cast("long")).where("_taken > 0")
+    # the table's own columns travel in a struct, so that none can clash with a name used here
+    whole = docs.select(F.struct("*").alias("_doc"), "doc_id", F.col("text").cast("string").alias("text"), sources.alias("_sources"))
+    chosen = _facts(whole, F.col("_sources")).join(small(rows), "_pattern").withColumn("_taken", _taken().cast("long")).where("_taken > 0")
     each = chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
     left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
     blank = r"[\x20\x09-\x0D]"
@@ -190,6 +192,8 @@ def take(docs: DataFrame, sources: Column | None = None) -> DataFrame:
     short = F.regexp_replace(F.expr("left(text, length(text) - length(_tail))"), blank + r"+\z", "")
     part = left < F.col("_size")
     each = each.withColumn("_tail", F.when(part, tail)).withColumn("text", F.when(part, short).otherwise(F.col("text")))
+    own = lambda c: F.col("_doc").getField(c)
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        each = each.withColumn("n_chars", F.when(part, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return each.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("_tail").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own("n_chars"))
+    return each.select(*(new.get(c, own(c)).alias(c) for c in docs.columns))

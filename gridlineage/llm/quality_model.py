@@ -6,8 +6,8 @@ document.  Both are scaled to the target's size and smoothed by the same PRIOR c
 bucket, so that an n-gram the sample could have missed weighs little.  A document's log
 importance weight is the sum of the log ratios of its n-grams; adding seeded Gumbel noise
 and keeping the k largest keys samples k documents in proportion to their weights without
-replacement.  Without a given k, k is the number of documents whose key reaches the
-KEEP-quantile of labelled good ones; with one, the k-th key is found by counting.
+replacement.  Without a given k, k is calibrated: the number of documents whose key reaches
+the KEEP-quantile of labelled good ones.  The k-th key is found by counting.
 
 Defined cases: a null or empty text has weight 0 and only its noise; equal texts have equal
 weights, equal (doc_id, text) equal keys; without labelled good documents everything stays;
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlineage.llm.common import cut
+from gridlineage.llm.common import cut, fresh
 
 LABELLED, BUCKET_BITS, PRIOR, KEEP, SEED = 20_000, 17, 20.0, 0.001, 11
 
@@ -177,7 +177,9 @@ def model(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int =
         return fitted, scored, float("-inf")
     known = docs.sparkSession.createDataFrame([(i,) for i in good], "doc_id long")
     least = scored.join(F.broadcast(known), "doc_id").agg(F.percentile("gumbel_key", F.lit(KEEP))).first()[0]  # over the bounded sample
-    return fitted, scored, float("-inf") if least is None else float(least)
+    if least is None:
+        return fitted, scored, float("-inf")
+    return fitted, scored, kth_largest(scored, "gumbel_key", scored.where(F.col("gumbel_key") >= F.lit(float(least))).count())
 
 
 def classify(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
@@ -197,5 +199,5 @@ def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = S
             yield b.select(list(range(len(names)))).filter(pa.array(key >= least))
         _HASHES.clear()
 
-    both = docs.select("*", F.col("doc_id").cast("long").alias("_id_"), F.col("text").cast("string").alias("_text_"))
+    both = docs.select("*", F.col("doc_id").cast("long").alias(fresh(docs, "_id_")), F.col("text").cast("string").alias(fresh(docs, "_text_")))
     return both.mapInArrow(run, docs.schema)
