@@ -27,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlineage.llm.common import NULL_ID, components, cut, id_bounds, partitions, range_of, small
+from gridlineage.llm.common import NULL_ID, components, cut, id_bounds, range_of, ranges, small
 
 SLOTS, GRAM, SEED = 128, 4, 5
 #: The walk's random bits repeat after PERIOD steps; characters fall in CLASSES classes.
-PERIOD, CLASSES = 1 << 8, 64
+PERIOD, CLASSES = 1 << 12, 64
 ODD = np.arange(1, 2 * GRAM, 2, dtype=np.uint64)
-BANDS = 32
-#: Verified neighbours that one bucket compares at once; a larger one is banded again by more slots.
+#: Bands of 6 slots: a pair of likeness 0.8 shares one with a chance of 0.998.
+BANDS = 21
+#: Prints that one bucket compares at once; a larger one is compared in blocks, each pair of blocks a task of its own.
 BUCKET = 4096
 
 
@@ -58,11 +59,14 @@ class Walk:
             if j < PERIOD:
                 self.dwell[j] = wait
         # two characters at once: the sum of both dwells by step and pair of classes
-        second = (np.arange(PERIOD)[:, None] + self.dwell) % PERIOD
-        pairs = self.dwell[:, :, None] + self.dwell[second]
-        if pairs.max() > 255:
-            raise ValueError("choose another seed")
-        self.pairs = pairs.astype(np.uint8).tobytes()
+        rows = []
+        for start in range(0, PERIOD, 256):  # by blocks, to bound what it takes
+            first = self.dwell[start : start + 256]
+            pairs = first[:, :, None] + self.dwell[(np.arange(start, start + 256)[:, None] + first) % PERIOD]
+            if pairs.max() > 255:
+                raise ValueError("choose another seed")
+            rows.append(pairs.astype(np.uint8).tobytes())
+        self.pairs = b"".join(rows)
         self.mixed = _mix(np.arange(1, 65_537, dtype=np.uint64))
         self.seed, self.upto = seed, 0
         self.low = np.full(SLOTS, 2**64 - 1, dtype=np.uint64)
@@ -105,13 +109,13 @@ class Walk:
         """The step at which each character is left, starting at step j."""
         first, table, start = codes[: len(codes) // 2 * 2 : 2], self.pairs, j
         both = (first.astype(np.uint16) << 6 | codes[1::2]).tolist()
-        even = np.array([j := j + table[(j & 255) << 12 | c] for c in both], dtype=np.int64)
+        even = np.array([j := j + table[(j & 4095) << 12 | c] for c in both], dtype=np.int64)
         begins = np.concatenate([[start], even[:-1]]) if len(even) else even
         out = np.empty(len(codes), dtype=np.int64)
         out[1::2] = even
-        out[: 2 * len(even) : 2] = begins + self.dwell[begins & 255, first]
+        out[: 2 * len(even) : 2] = begins + self.dwell[begins & 4095, first]
         if len(codes) % 2:
-            out[-1] = j + self.dwell[j & 255, codes[-1]]
+            out[-1] = j + self.dwell[j & 4095, codes[-1]]
         return out
 
     def sample(self, mixed: np.ndarray, left: np.ndarray) -> bytes:
@@ -158,7 +162,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> a row each of SCHEMA: its fingerprint, its edited text's, and likenesses to that and the next document's."""
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = partitions(docs.sparkSession)
+    n = ranges(docs)
     placed = docs.withColumn("part", range_of(F.col("doc_id"), id_bounds(docs, n)))
     # the first document of each range goes to the range before it too, as the next one of that range's last
     order = F.coalesce("doc_id", F.lit(NULL_ID))
@@ -215,6 +219,9 @@ def ARROW() -> pa.Schema:
 def near_groups(docs: DataFrame, least: float = 0.8, bands: int = BANDS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fingerprint (hex), component_id: documents linked by likeness of at least least.
 
+    Rows that repeat a doc_id are rows of their own; null texts share the empty walk's print; a null doc_id
+    never names a component unless all its rows have null; an empty table gives no row.
+
     Bit-sampled banding: fingerprints equal in all slots of one of the bands are candidates, and
     each is verified.  Only distinct fingerprints are banded.  A bucket emits a spanning forest
     of its verified links; one above BUCKET members is compared in blocks of BUCKET, each pair of
@@ -230,8 +237,9 @@ def near_groups(docs: DataFrame, least: float = 0.8, bands: int = BANDS) -> Data
     distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp")), "edit-distinct")
     banded = distinct.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
     banded = banded.select("node", "fp", F.xxhash64("band", F.expr(f"substring(fp, band * {width} + 1, {width})")).alias("key"))
+    # keys are counted without the prints, which only those of shared keys need
     sizes = cut(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "edit-sizes")
-    held = banded.join(sizes, "key")
+    held = banded.join(small(sizes), "key")
     blocks = F.ceil(F.col("n") / BUCKET).cast("int")
     mine = F.when(F.col("n") <= BUCKET, F.lit(0)).otherwise(F.pmod(F.hash("fp"), blocks))
     # block i meets every block j: the row goes to each pair (min, max) that holds its own block

@@ -8,8 +8,9 @@ frame.  The dictionary is trained once, on the serialized ids of about SAMPLE do
 (drawn by a hash of doc_id, none above SAMPLE_BYTES), and stored beside the files.
 
 Defined cases: a null or empty text has the end id alone; a null doc_id sorts first and is
-kept as null; rows that repeat a doc_id are ordered by their text; an empty table gives no
-file; other columns are ignored.
+kept as null, for which the smallest long stands in the index; rows that repeat a doc_id are
+ordered by their number of ids, then their frame; an empty table gives no file; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlineage.llm.common import NULL_ID, id_bounds, new_path, partitions, range_of, sample, storage, write_whole
+from gridlineage.llm.common import NULL_ID, id_bounds, new_path, range_of, ranges, sample, storage, write_whole
 from gridlineage.llm.tokens import END_ID, encoder
 
 MAGIC = b"TOKZ0001"
@@ -61,7 +62,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, files: int
     dictionary = train([own.encode(t) + END for t in sorted(r["text"] for r in some)])
     digest = hashlib.sha256(dictionary).digest()
     write_whole(f"{path}/dictionary.zdict", lambda out: out.write(dictionary))
-    n = files or partitions(spark)
+    n = files or ranges(docs)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, (press, _) = encoder(vocabulary), _zstd(dictionary)
