@@ -21,6 +21,11 @@ def op2_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_prints.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def edit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of op2's method: documents grouped by banding and verification of their edit fingerprints."""
+    return edit_prints.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_groups(table(spark, sf_dir, "documents"))
@@ -72,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_files, op2_edit_prints, op3_simhash, op4_mixing, op5_url_filter, op6_packing, op7_quality, op8_warc, op9_text_rules, op10_secrets, pipeline]
+    own = [op1_token_files, op2_edit_prints, edit_groups, op3_simhash, op4_mixing, op5_url_filter, op6_packing, op7_quality, op8_warc, op9_text_rules, op10_secrets, pipeline]
     return {f.__name__: f for f in own}
 
 

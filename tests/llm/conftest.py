@@ -34,7 +34,7 @@ def odd(spark):
     cols = "doc_id long, text string, lang string, source string, n_chars long"
     from pyspark.sql import functions as F
 
-    clash = {c: F.lit("x") for c in ("size", "key", "fp", "component_id", "file", "part", "a", "b", "n", "host", "node", "root")}
+    clash = {c: F.lit("x") for c in ("size", "key", "fp", "component_id", "file", "part", "a", "b", "n", "host", "node", "root", "_id_", "_text_", "_size", "_key", "_pattern", "_id", "_tail", "gone_id", "mark")}
     return spark.createDataFrame(rows, cols).withColumns(clash)
 
 

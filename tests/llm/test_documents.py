@@ -117,7 +117,7 @@ def test_masked_forest_equals_forest():
 
 
 def test_simhash_defined_cases(odd, none):
-    got = [tuple(r) for r in simhash.near_groups(odd).collect()]
+    got = [tuple(r) for r in simhash.near_groups(odd).drop("mark").collect()]
     zero = [r for r in got if r[1] == 0]
     assert sorted(r[0] for r in zero) == [3, 4, 5] and {r[2] for r in zero} == {3}
     assert [r[2] for r in got if r[0] == 2] == [1, 1]
@@ -169,6 +169,27 @@ def test_differencing_is_near_equal():
     assert max(sums) - min(sums) < 20 and sum(sums) == sum(sizes)
 
 
+def test_the_count_rises_where_pieces_stay_whole():
+    sizes = [60, 60, 60]
+    assert len(packing.pack(sizes, 100)) == 2
+    whole = packing.pack(sizes, 100, cuts=False)
+    assert sorted(p for w in whole for p in w) == [(d, 0, n) for d, n in enumerate(sizes)] and len(whole) == 3
+    assert max(sum(n for _, _, n in w) for w in whole) <= 100
+    rng = random.Random(5)
+    sizes = [rng.randint(1, 200) for _ in range(200)]
+    whole = packing.pack(sizes, 64, cuts=False)
+    assert max(sum(n for _, _, n in w) for w in whole) <= 64 and sum(n for w in whole for _, _, n in w) == sum(sizes)
+
+
+def test_many_tiny_pieces_take_little_room():
+    import tracemalloc
+
+    tracemalloc.start()
+    windows = packing.pack([40] * 20_000)
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20 and len(windows) == -(-800_000 // 4096)
+    tracemalloc.stop()
+
+
 def test_mixing_targets_and_flow(spark, docs, odd, none):
     assert mixing.targets({"a": 10, "b": 1000, None: 5}, 1015) == {"a": 30.0, "b": 970.0, None: 15.0}
     # two sources overlap; the shared pattern is used where it spares repeats
@@ -435,6 +456,22 @@ def test_log_weights_against_plain_counts(spark, docs):
     assert sum(sum(n.values()) for n in grams.values()) == sum(max(0, 2 * k - 1) for k in (sum(len(quality_model._HASHES[0][w]) // 4 for w in t.lower().encode().split()) for t in texts.values()))
 
 
+def test_recall_of_edit_groups_against_all_pairs(spark, docs, odd, none):
+    got = {r["doc_id"]: r for r in edit_prints.near_groups(docs).collect()}
+    ids = sorted(got)
+    prints = np.stack([np.frombuffer(bytes.fromhex(got[d]["fingerprint"]), dtype=np.uint8) for d in ids])
+    near = [(prints == p).sum(axis=1) >= 0.8 * edit_prints.SLOTS for p in prints]
+    label = brute_components(ids, near)
+    linked = [(i, j) for i in range(len(ids)) for j in np.flatnonzero(near[i]) if i < j]
+    assert len(linked) > 10
+    found = sum(got[ids[i]]["component_id"] == got[ids[j]]["component_id"] for i, j in linked)
+    assert found >= 0.98 * len(linked)
+    assert all(got[d]["component_id"] >= l for d, l in zip(ids, label))  # nothing is linked that all pairs don't link
+    odd_groups = [(r["doc_id"], r["component_id"]) for r in edit_prints.near_groups(odd).collect()]
+    assert len(odd_groups) == odd.count() and {c for d, c in odd_groups if d in (3, 4)} == {3} and (None, None) in odd_groups
+    assert edit_prints.near_groups(none).count() == 0
+
+
 def test_edit_groups_in_blocks(spark, monkeypatch):
     rng = random.Random(9)
     base = "".join(rng.choice("abcdefgh ") for _ in range(900))
