@@ -6,6 +6,7 @@ it in its key.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridlineage.functions import address, formula, text
 from gridlineage.operators import diff as compare
-from gridlineage.operators import edges, graph, grid, labels, series
+from gridlineage.operators import edges, graph, grid, labels, names, series
 from gridlineage.sources import xlsx
 
 
@@ -30,6 +31,7 @@ class Extract:
     families: DataFrame
     table_candidates: DataFrame
     names: DataFrame
+    tables: DataFrame
     validations: DataFrame
     comments: DataFrame
 
@@ -43,10 +45,11 @@ class Extract:
 
 
 def extract(spark: SparkSession, path: str) -> Extract:
-    """Tables of every workbook under path."""
-    sheets = xlsx.read(spark, path, "sheets")
+    """Tables of every workbook under path; workbooks are named by their place under it."""
+    read = lambda part: _placed(xlsx.read(spark, path, part), path)
+    sheets, defined, tables = (graph.keep(read(part)) for part in ("sheets", "names", "tables"))  # small, and read by several steps
     to_r1c1 = formula.udf(formula.to_r1c1, "string")
-    raw = xlsx.read(spark, path, "cells").join(F.broadcast(sheets.select("workbook", "sheet_id", "sheet_name")), ["workbook", "sheet_id"])
+    raw = read("cells").join(sheets.select("workbook", "sheet_id", "sheet_name"), ["workbook", "sheet_id"])
     cells = raw.select(
         "workbook", "sheet_id", "sheet_name", "row", "col", "a1", "formula_a1", "value", "data_type",
         F.concat_ws(":", "workbook", address.pack(F.col("sheet_id"), F.col("row"), F.col("col"))).alias("cell"),
@@ -54,23 +57,71 @@ def extract(spark: SparkSession, path: str) -> Extract:
         text.canonical_a1(F.col("formula_a1")).alias("canonical"),
     )
     cells = graph.keep(cells)  # parsed once, then read by every step
-    found = cell_edges(cells, sheets)
+    found = graph.keep(cell_edges(cells, sheets, defined, tables))
     bindings, members = group(cells, found)
     binding_edges = collapse(cells, found, members)
     tops = bindings.where("binding_type = 'formula'").join(cells.select("workbook", "sheet_id", F.col("row").alias("r1"), F.col("col").alias("c1"), "canonical"), ["workbook", "sheet_id", "r1", "c1"])
     families = series.families(tops.withColumn("sheet", F.concat_ws("#", "workbook", "sheet_id")), "sheet", "canonical", ["r1", "c1"], "binding_id")
     columns = bindings.where("c1 = c2").select(F.concat_ws("#", "workbook", "sheet_id").alias("sheet"), "r1", "r2", F.col("c1").alias("col"), F.when(F.col("binding_type") == "constant", "input").otherwise("calc").alias("class"))
-    return Extract(sheets, cells, found, bindings, members, binding_edges, families, series.table_candidates(columns), xlsx.read(spark, path, "names"), xlsx.read(spark, path, "validations"), xlsx.read(spark, path, "comments"))
+    return Extract(sheets, cells, found, bindings, members, binding_edges, families, series.table_candidates(columns), defined, tables, read("validations"), read("comments"))
 
 
-def cell_edges(cells: DataFrame, sheets: DataFrame) -> DataFrame:
-    """(workbook, from_cell, kind, target, to_sheet_id, r1, c1, r2, c2) of every formula; sheet names are matched without case."""
-    read = formula.udf(formula.edges, formula.EDGE)
-    e = cells.where("formula_a1 IS NOT NULL").select("workbook", F.col("cell").alias("from_cell"), F.inline(read("formula_a1", "row", "col", "sheet_name")))
-    known = F.broadcast(sheets.select("workbook", F.lower("sheet_name").alias("_s"), F.col("sheet_id").alias("to_sheet_id")))
-    joined = e.withColumn("_s", F.when(F.col("kind").isin("cell", "range"), F.lower("target"))).join(known, ["workbook", "_s"], "left").drop("_s")
-    lost = F.col("kind").isin("cell", "range") & F.col("to_sheet_id").isNull()
-    return joined.withColumn("target", F.when(lost, F.concat(F.lit("UNRESOLVED:"), "target")).otherwise(F.col("target"))).withColumn("kind", F.when(lost, "external").otherwise(F.col("kind")))
+def _placed(table: DataFrame, path: str) -> DataFrame:
+    """table with workbook as its place under path; the file's name where path is the workbook itself."""
+    root = re.sub(r"^[a-z0-9]+:/+", "/", path).rstrip("/")
+    whole = F.regexp_replace("workbook", r"^[a-z0-9]+:/+", "/")
+    under = F.when(whole.startswith(root + "/"), F.substring(whole, len(root) + 2, 1 << 20)).otherwise(F.substring_index(whole, "/", -1))
+    return table.withColumn("workbook", under)
+
+
+def cell_edges(cells: DataFrame, sheets: DataFrame, defined: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
+    """(workbook, from_cell, kind, target, to_sheet_id, r1, c1, r2, c2) of every formula; sheet names are matched without case.
+
+    Defined names and table references give the edges of what they stand for, references across sheets one edge a sheet.  What isn't
+    found is kind external with an UNRESOLVED: target; a formula that can't be read is one edge of kind unparsed.
+    """
+    read = formula.udf(formula.edges_or_mark, formula.EDGE)
+    at = ["workbook", "from_cell", "sheet_name", "row"]
+    box = ["r1", "c1", "r2", "c2"]
+    e = cells.where("formula_a1 IS NOT NULL").select("workbook", F.col("cell").alias("from_cell"), "sheet_name", "row", F.inline(read("formula_a1", "row", "col", "sheet_name")))
+    e = graph.keep(e)  # formulas are parsed once
+    unresolved = F.concat(F.lit("UNRESOLVED:"), "target")
+    plain, found = e.where("kind <> 'name'"), None
+    named, tabled = (e.where((F.col("kind") == "name") & (F.col("target").contains("[") if t else ~F.col("target").contains("["))) for t in (False, True))
+    if defined is not None:
+        uses = named.select("workbook", F.col("from_cell").alias("id"), "sheet_name", F.substring_index("target", "!", -1).alias("name"), F.when(F.col("target").contains("!"), F.regexp_replace(F.regexp_extract("target", "^(.*)!", 1), "^'|'$", "")).otherwise(F.col("sheet_name")).alias("sheet"))
+        stored = defined.select("workbook", "name", "scope", F.array_join("destinations", "\n").alias("target"), "is_external")
+        meant = names.resolve(uses.select("workbook", "id", "sheet", "name").distinct(), stored, ("workbook",))
+        each = meant.select("workbook", F.col("id").alias("from_cell"), F.explode(F.split("target", "\n")).alias("text"))
+        known = each.where("NOT startswith(text, 'UNRESOLVED:')").select("text").distinct().select("text", F.inline(read(F.concat(F.lit("="), "text"), F.lit(1), F.lit(1), F.lit(""))))
+        plain = plain.unionByName(each.join(known, "text").withColumns({"sheet_name": F.lit(""), "row": F.lit(0)}).select(*at, "kind", "target", *box))
+        lost = each.where("startswith(text, 'UNRESOLVED:')").select("workbook", "from_cell", F.lit("external").alias("kind"), F.col("text").alias("target"), F.lit(None).cast("int").alias("to_sheet_id"), *(F.lit(0).alias(c) for c in box))
+        found = lost
+    else:
+        plain = plain.unionByName(named)
+    if tables is not None:
+        ends = address.parse_a1(F.col("ref"))
+        rects = tables.select("workbook", "name", "sheet_id", *(ends[c].cast("int").alias(c) for c in box), "header_rows", "totals_rows", "columns")
+        held = names.structured(tabled.select("workbook", F.col("from_cell").alias("id"), F.col("target").alias("ref"), "row"), rects, ("workbook",))
+        one = (F.col("r1") == F.col("r2")) & (F.col("c1") == F.col("c2"))
+        held = held.join(sheets.select("workbook", "sheet_id", "sheet_name"), ["workbook", "sheet_id"]).select("workbook", F.col("id").alias("from_cell"), F.when(one, "cell").otherwise("range").alias("kind"), F.col("sheet_name").alias("target"), F.col("sheet_id").alias("to_sheet_id"), *box, "ref")
+        lost = tabled.join(held.select("workbook", "from_cell", F.col("ref").alias("target")), ["workbook", "from_cell", "target"], "left_anti").select("workbook", "from_cell", F.lit("external").alias("kind"), unresolved.alias("target"), F.lit(None).cast("int").alias("to_sheet_id"), *box)
+        held = held.drop("ref").unionByName(lost)
+        found = held if found is None else found.unionByName(held)
+    else:
+        plain = plain.unionByName(tabled)
+    placed = F.col("kind").isin("cell", "range")
+    known = sheets.select("workbook", F.lower("sheet_name").alias("_s"), F.col("sheet_id").alias("to_sheet_id"))
+    joined = plain.withColumn("_s", F.when(placed, F.lower("target"))).join(known, ["workbook", "_s"], "left").drop("_s")
+    across = joined.where(placed & F.col("to_sheet_id").isNull() & F.col("target").contains(":"))
+    spans = across.select("workbook", "from_cell", "kind", "target", *box, F.substring_index("target", ":", 1).alias("first"), F.substring_index("target", ":", -1).alias("last"))
+    sheet_of = names.three_d(spans, sheets, ("workbook",)).withColumnRenamed("sheet_id", "to_sheet_id")
+    gone = placed & F.col("to_sheet_id").isNull()
+    rest = joined.join(sheet_of.select("workbook", "from_cell", "target").distinct(), ["workbook", "from_cell", "target"], "left_anti")
+    rest = rest.withColumn("target", F.when(gone, unresolved).otherwise(F.col("target"))).withColumn("kind", F.when(gone, "external").otherwise(F.col("kind")))
+    columns = ["workbook", "from_cell", "kind", "target", "to_sheet_id", *box]
+    out = rest.select(*columns).unionByName(sheet_of.select(*columns))
+    return (out if found is None else out.unionByName(found.select(*columns))).distinct()
 
 
 def group(cells: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -133,33 +184,47 @@ def markdown(documented: DataFrame) -> DataFrame:
 
 
 def diff(a: Extract, b: Extract) -> DataFrame:
-    """Changes from a to b in their total order: type, key, details; workbooks are matched by place in the corpus, sheets by name.
+    """Changes from a to b in their total order: workbook, type, key, details; workbooks are matched by place in the corpus, or as the only ones, sheets by name.
 
     Cells that kept formula and value don't show; a recalculated value that only one side has cached isn't a change.
     """
+    books = [x.sheets.select("workbook").distinct().limit(2).count() for x in (a, b)]
+    # one workbook each: they are versions of each other, whatever their names
+    book = (F.lit("") if books == [1, 1] else F.col("workbook")).alias("workbook")
+
     def cells(x: Extract) -> DataFrame:
-        return x.cells.select(F.concat_ws("!", "sheet_name", "a1").alias("key"), F.struct("formula_a1", "value").alias("v"))
+        return x.cells.select(book, F.concat_ws("!", "sheet_name", "a1").alias("key"), F.struct("formula_a1", "value").alias("v"))
 
     close = (F.col("_a.formula_a1").eqNullSafe(F.col("_b.formula_a1"))) & (
         F.col("_a.value").eqNullSafe(F.col("_b.value")) | text.numbers_close(F.col("_a.value"), F.col("_b.value")) | (F.col("_a.formula_a1").isNotNull() & (F.col("_a.value").isNull() != F.col("_b.value").isNull()))
     )
-    c = compare.keyed(cells(a), cells(b), ["key"], "v", close)
+    keys = ["workbook", "key"]
+    c = compare.keyed(cells(a), cells(b), keys, "v", close)
     kind = text.change_kind(F.col("old.formula_a1"), F.col("new.formula_a1"))
-    c = c.select(F.concat(F.lit("CELL_"), "change").alias("type"), "key", F.to_json(F.struct("old", "new", kind.alias("kind"))).alias("details"))
+    c = c.select("workbook", F.concat(F.lit("CELL_"), "change").alias("type"), "key", F.to_json(F.struct("old", "new", kind.alias("kind"))).alias("details"))
 
     def sheets(x: Extract) -> DataFrame:
-        return x.sheets.select(F.col("sheet_name").alias("key"), F.lit("").alias("v")).distinct()
+        return x.sheets.select(book, F.col("sheet_name").alias("key"), F.lit("").alias("v")).distinct()
 
     def named(x: Extract) -> DataFrame:
-        return x.names.select(F.concat_ws("!", "scope", "name").alias("key"), F.array_join("destinations", ",").alias("v"))
+        return x.names.select(book, F.concat_ws("!", "scope", "name").alias("key"), F.array_join("destinations", ",").alias("v"))
+
+    def tabled(x: Extract) -> DataFrame:
+        return x.tables.select(book, F.col("name").alias("key"), F.concat_ws("!", "sheet_id", "ref", F.array_join("columns", ",")).alias("v"))
+
+    where = lambda x: x.bindings.join(x.sheets.select("workbook", "sheet_id", "sheet_name"), ["workbook", "sheet_id"]).select("workbook", "binding_id", F.concat_ws("!", "sheet_name", "address_a1").alias("key"), "binding_type")
 
     def bound(x: Extract) -> DataFrame:
-        return x.bindings.join(x.sheets.select("workbook", "sheet_id", "sheet_name"), ["workbook", "sheet_id"]).select(F.concat_ws("!", "sheet_name", "address_a1").alias("key"), F.col("binding_type").alias("v"))
+        return where(x).select(book, "key", F.col("binding_type").alias("v"))
+
+    def linked(x: Extract) -> DataFrame:
+        src, dst = (where(x).select(book, F.col("binding_id").alias(f"{end}_binding"), F.col("key").alias(end)) for end in ("from", "to"))
+        return x.binding_edges.join(src, "from_binding").join(dst.drop("workbook"), "to_binding").select("workbook", F.concat_ws(" -> ", "from", "to").alias("key"), F.concat_ws(":", "kind", "edge_count").alias("v"))
 
     out = c
-    for name, table in (("SHEET", sheets), ("NAME", named), ("BINDING", bound)):
-        d = compare.keyed(table(a), table(b), ["key"], "v")
-        out = out.unionByName(d.select(F.concat(F.lit(f"{name}_"), "change").alias("type"), "key", F.to_json(F.struct("old", "new")).alias("details")))
+    for name, table in (("SHEET", sheets), ("NAME", named), ("TABLE", tabled), ("BINDING", bound), ("EDGE", linked)):
+        d = compare.keyed(table(a), table(b), keys, "v")
+        out = out.unionByName(d.select("workbook", F.concat(F.lit(f"{name}_"), "change").alias("type"), "key", F.to_json(F.struct("old", "new")).alias("details")))
     return compare.in_order(out)
 
 

@@ -15,23 +15,23 @@ from gridlineage.functions.address import MAX_COL, MAX_ROW
 # Functions whose result can't be read from the formula's text alone.
 OPAQUE = ("INDIRECT", "OFFSET", "GETPIVOTDATA", "CELL", "INFO")
 TRANSPARENT = ("INDEX", "XLOOKUP", "CHOOSE")
-# Binding powers of the infix operators; & binds less than comparisons.
-POWERS = {"&": 1, "=": 2, "<>": 2, "<": 2, ">": 2, "<=": 2, ">=": 2, "+": 3, "-": 3, "*": 4, "/": 4, "^": 6, ":": 9}
+# Binding powers of the infix operators; & binds less than comparisons, a blank between references intersects them.
+POWERS = {"&": 1, "=": 2, "<>": 2, "<": 2, ">": 2, "<=": 2, ">=": 2, "+": 3, "-": 3, "*": 4, "/": 4, "^": 6, " ": 8, ":": 9}
 
 _CELL = r"\$?[A-Za-z]{1,3}\$?[0-9]{1,7}"
-_SHEET = r"(?:'(?:[^']|'')*'|\[[^\]]+\][A-Za-z0-9_.]*|[A-Za-z_][A-Za-z0-9_.]*(?::[A-Za-z_][A-Za-z0-9_.]*)?)!"
+_SHEET = r"(?:'(?:[^']|'')*'|\[[^\]]+\][A-Za-z0-9_.]*|[^\W\d][\w.]*(?::[^\W\d][\w.]*)?)!"
 _TOKEN = re.compile(
     rf"""(?P<space>\s+)
     |(?P<string>"(?:[^"]|"")*")
     |(?P<error>\#(?:REF!|N/A|VALUE!|DIV/0!|NAME\?|NULL!|NUM!))
-    |(?P<range>(?:{_SHEET})?{_CELL}:{_CELL}(?![A-Za-z0-9_(]))
-    |(?P<cell>(?:{_SHEET})?{_CELL}(?![A-Za-z0-9_(.!]))
-    |(?P<cols>(?:{_SHEET})?\$?[A-Za-z]{{1,3}}:\$?[A-Za-z]{{1,3}}(?![A-Za-z0-9_(!]))
+    |(?P<range>(?:{_SHEET})?{_CELL}:{_CELL}(?![\w(!]))
+    |(?P<cell>(?:{_SHEET})?{_CELL}(?![\w(.!]))
+    |(?P<cols>(?:{_SHEET})?\$?[A-Za-z]{{1,3}}:\$?[A-Za-z]{{1,3}}(?![\w(!]))
     |(?P<rows>(?:{_SHEET})?\$?[0-9]{{1,7}}:\$?[0-9]{{1,7}}(?![0-9]))
     |(?P<number>(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)
-    |(?P<structured>[A-Za-z_][A-Za-z0-9_.]*\[(?:[^\[\]]|\[[^\[\]]*\])*\])
-    |(?P<function>[A-Za-z_][A-Za-z0-9_.]*(?=\())
-    |(?P<name>(?:{_SHEET})?[A-Za-z_\\][A-Za-z0-9_.\\]*)
+    |(?P<structured>[^\W\d][\w.]*\[(?:[^\[\]]|\[[^\[\]]*\])*\])
+    |(?P<function>[^\W\d][\w.]*(?=\())
+    |(?P<name>(?:{_SHEET})?(?:[^\W\d]|\\)[\w.\\]*)
     |(?P<op><>|<=|>=|[-+*/^&=<>%(),;{{}}:@\#])""",
     re.X,
 )
@@ -76,7 +76,7 @@ def tokens(formula: str) -> list[Token]:
         kind, word = m.lastgroup, m[0]
         if kind in ("cell", "range") and not all(map(_is_cell, word.rpartition("!")[2].split(":"))):
             kind = "name"
-            word = re.compile(rf"(?:{_SHEET})?[A-Za-z0-9_.$]+").match(text, at)[0]
+            word = re.compile(rf"(?:{_SHEET})?[\w.$]+").match(text, at)[0]
         if kind != "space":
             out.append(Token(kind, word, at))
         at += len(word)
@@ -101,6 +101,7 @@ REFS = ("cell", "range", "cols", "rows", "structured", "name")
 def parse(formula: str) -> Node:
     """Syntax tree by operator precedence; ^ joins to the right, % follows its operand."""
     todo = tokens(formula)
+    body = formula[1:] if formula.startswith("=") else formula
     at = 0
 
     def peek() -> str | None:
@@ -129,6 +130,28 @@ def parse(formula: str) -> Node:
         at += 1
         return tuple(args)
 
+    def rows() -> Node:
+        """An array; of several rows, each is an array of its own."""
+        nonlocal at
+        out: list[list[Node]] = [[]]
+        while peek() != "}":
+            out[-1].append(expression(0))
+            if peek() == ";":
+                out.append([])
+            if peek() in (",", ";"):
+                at += 1
+            elif peek() != "}":
+                raise ValueError("an array doesn't end")
+        at += 1
+        return Node("array", "{}", tuple(out[0])) if len(out) == 1 else Node("array", "{}", tuple(Node("array", ";", tuple(r)) for r in out))
+
+    def crossed(left: Node) -> bool:
+        """Whether a blank stands between two references, which intersects them."""
+        t = todo[at] if at < len(todo) else None
+        if t is None or not (t.kind in REFS or t.kind == "function" or t.text == "(") or not body[t.start - 1 : t.start].isspace():
+            return False
+        return left.kind in ("ref", "call") or left.text in (":", " ", "()")
+
     def operand() -> Node:
         nonlocal at
         if at >= len(todo):
@@ -149,14 +172,22 @@ def parse(formula: str) -> Node:
             take(")")
             return Node("unary", "()", (inner,))
         if t.text == "{":
-            return Node("array", "{}", arguments("}"))
+            return rows()
         raise ValueError(f"{t.text} isn't expected here")
 
     def expression(least: int) -> Node:
         nonlocal at
         left = operand()
-        while (op := peek()) is not None:
-            if op in ("%", "#"):
+        while at < len(todo):
+            op = " " if crossed(left) else peek()
+            if op == " ":
+                if POWERS[op] < least:
+                    break
+                left = Node("binary", op, (left, expression(POWERS[op] + 1)))
+            elif op == "(" and left.kind == "call":  # a LAMBDA that is called at once
+                at += 1
+                left = Node("call", "", (left, *arguments(")")))
+            elif op in ("%", "#"):
                 at += 1
                 left = Node("unary", op, (left,))
             elif op in POWERS and POWERS[op] >= max(least, 1):
@@ -180,9 +211,10 @@ def write(node: Node, ref: Callable[[str], str] = str) -> str:
         return node.text
     args = [write(a, ref) for a in node.args]
     if node.kind == "call":
-        return f"{node.text}({','.join(args)})"
+        return f"{node.text}({','.join(args)})" if node.text else f"{args[0]}({','.join(args[1:])})"
     if node.kind == "array":
-        return "{" + ",".join(args) + "}"
+        rows = node.args and all(a.kind == "array" and a.text == ";" for a in node.args)
+        return ",".join(args) if node.text == ";" else "{" + (";" if rows else ",").join(args) + "}"
     if node.kind == "binary":
         return f"{args[0]}{node.text}{args[1]}"
     if node.text == "()":
@@ -201,6 +233,16 @@ def references(formula: str) -> list[tuple[str, str]]:
     return [(t.kind, t.text) for t in tokens(formula) if t.kind in REFS and t.text.upper() not in ("TRUE", "FALSE")]
 
 
+def bound_names(tree: Node) -> set[str]:
+    """Names that LET and LAMBDA bind in a tree, in lower case."""
+    bound: set[str] = set()
+    for node in walk(tree):
+        if node.kind == "call" and node.text in ("LET", "LAMBDA", "_XLFN.LET", "_XLFN.LAMBDA"):
+            names = node.args[:-1:2] if node.text.endswith("LET") else node.args[:-1]
+            bound |= {a.text.lower() for a in names if a.kind == "ref"}
+    return bound
+
+
 def functions(formula: str) -> list[str]:
     return sorted({t.text.upper() for t in tokens(formula) if t.kind == "function"})
 
@@ -349,7 +391,7 @@ def edges(formula: str, row: int, col: int, sheet: str) -> list[tuple[str, str,
         elif token.kind == "rows":
             ys, xs = [int(p.strip("$")) for p in local.split(":")], [1, MAX_COL]
         else:
-            return add("name", text)
+            return None if text.lower() in bound else add("name", text)
         box = (min(ys), min(xs), max(ys), max(xs))
         add("cell" if box[:2] == box[2:] else "range", name or sheet, box)
 
@@ -360,17 +402,37 @@ def edges(formula: str, row: int, col: int, sheet: str) -> list[tuple[str, str,
             add("dynamic", f"DYNAMIC:{node.text}")
         if node.kind == "ref":
             refer(node.text)
+        if node.kind == "binary" and node.text == ":" and (whole := _joined(*node.args)):
+            return refer(whole)
         for a in node.args:
             visit(a)
 
-    visit(parse(formula))
+    tree = parse(formula)
+    bound = bound_names(tree)
+    visit(tree)
     return list(found)
 
 
+def _joined(first: Node, last: Node) -> str | None:
+    """The range of two cells of one sheet, each of which may name it."""
+    if first.kind != "ref" or last.kind != "ref":
+        return None
+    (sheet, a), (other, b) = _split(first.text), _split(last.text)
+    return f"{sheet}{a}:{b}" if other.lower() in ("", sheet.lower()) and _is_cell(a) and _is_cell(b) else None
+
+
+def edges_or_mark(formula: str, row: int, col: int, sheet: str) -> list[tuple[str, str, int, int, int, int]]:
+    """edges, or one of kind unparsed where the formula can't be read, so that it's counted rather than lost."""
+    try:
+        return edges(formula, row, col, sheet)
+    except (ValueError, RecursionError):
+        return [("unparsed", "UNPARSED", 0, 0, 0, 0)]
+
+
 def explain(formula: str, names: dict[str, str] | None = None) -> str:
     """A formula in words, references by their names."""
     # Words of operators and common functions.
-    words = {"+": "plus", "-": "minus", "*": "times", "/": "divided by", "^": "to the power of", "&": "joined with", "=": "equals", "<>": "differs from", "<": "is less than", ">": "is more than", "<=": "is at most", ">=": "is at least", ":": "to"}
+    words = {"+": "plus", "-": "minus", "*": "times", "/": "divided by", "^": "to the power of", "&": "joined with", "=": "equals", "<>": "differs from", "<": "is less than", ">": "is more than", "<=": "is at most", ">=": "is at least", ":": "to", " ": "crossed with"}
     calls = {"SUM": "the sum of", "AVERAGE": "the average of", "MIN": "the least of", "MAX": "the largest of", "COUNT": "the count of"}
 
     def say(n: Node) -> str:
@@ -406,7 +468,7 @@ def udf(function: Callable, kind: str):
             return None
         try:
             return function(*args)
-        except ValueError:
+        except (ValueError, RecursionError):  # the latter of nesting beyond Python's
             return None
 
     return F.udf(safe, kind, useArrow=True)
@@ -418,12 +480,8 @@ EDGE = "array<struct<kind:string,target:string,r1:int,c1:int,r2:int,c2:int>>"
 def masked(formula: str) -> str:
     """The formula with string literals, and names bound by LET and LAMBDA, blanked out; its length stays."""
     out = re.sub(r'"(?:[^"]|"")*"', lambda m: '"' + " " * (len(m[0]) - 2) + '"', formula)
-    bound: set[str] = set()
     try:
-        for node in walk(parse(formula)):
-            if node.kind == "call" and node.text in ("LET", "LAMBDA", "_XLFN.LET", "_XLFN.LAMBDA"):
-                names = node.args[:-1:2] if node.text.endswith("LET") else node.args[:-1]
-                bound |= {a.text for a in names if a.kind == "ref"}
+        bound = bound_names(parse(formula))
     except ValueError:
         return out
     for name in bound:

@@ -116,7 +116,8 @@ def axis_edits(a: DataFrame, b: DataFrame) -> DataFrame:
 def in_order(changes: DataFrame) -> DataFrame:
     """Changes in their total order: tier, type, key, details."""
     tier = F.array_position(F.array(*map(F.lit, TIERS)), F.split("type", "_")[0])
-    return changes.withColumn("tier", tier).orderBy("tier", "type", "key", "details")
+    first = ["workbook"] if "workbook" in changes.columns else []
+    return changes.withColumn("tier", tier).orderBy("tier", "type", "key", *first, "details")
 
 
 def summary(changes: DataFrame) -> DataFrame:

@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a bucket of the range join; a rectangle is sent to each bucket that it touches.
-ROWS = 4096
-
 
 def islands(rows: DataFrame, by: list[str], at: str) -> DataFrame:
     """Runs of consecutive numbers: (by, first, last, n)."""
@@ -26,14 +23,18 @@ def rectangles(cells: DataFrame, by: list[str], row: str = "row", col: str = "co
 def in_rectangles(cells: DataFrame, rects: DataFrame, sheet: str = "sheet_id") -> DataFrame:
     """Range join: cells (sheet, row, col, ...) with the rectangles (sheet, r1, c1, r2, c2, ...) that hold them.
 
-    An equi-join on sheet and row bucket; the rest is a filter.  Rectangles are clipped to the used rows of their sheet first, so a
-    whole column isn't sent to buckets without cells.
+    An equi-join on sheet, level and row bucket; the rest is a filter.  Rectangles are clipped to the used rows of their sheet.  One of
+    up to 2**k rows is of level k, where buckets have 2**k rows: it's sent to the one or two that it touches, and a cell to its bucket
+    of each level that its sheet's rectangles have.  So a bucket holds no more cells a column than twice its rectangles' rows.
     """
     used = cells.groupBy(sheet).agg(F.min("row").alias("_lo"), F.max("row").alias("_hi"))
     clipped = rects.join(used, sheet).where("r1 <= _hi AND r2 >= _lo")
     first, last = F.greatest("r1", "_lo"), F.least("r2", "_hi")
-    spread = clipped.withColumn("_b", F.explode(F.sequence(F.floor(first / ROWS), F.floor(last / ROWS)))).drop("_lo", "_hi")
-    return cells.withColumn("_b", F.floor(F.col("row") / ROWS)).join(spread, [sheet, "_b"]).where("row BETWEEN r1 AND r2 AND col BETWEEN c1 AND c2").drop("_b")
+    leveled = clipped.withColumns({"_f": first.cast("long"), "_l": last.cast("long")}).withColumn("_k", F.ceil(F.log2(F.col("_l") - F.col("_f") + 1)).cast("int"))
+    spread = leveled.withColumn("_b", F.explode(F.expr("sequence(shiftright(_f, _k), shiftright(_l, _k))"))).drop("_lo", "_hi", "_f", "_l")
+    levels = leveled.groupBy(sheet).agg(F.collect_set("_k").alias("_ks"))
+    placed = cells.join(levels, sheet).withColumn("_k", F.explode("_ks")).withColumn("_b", F.expr("shiftright(CAST(row AS BIGINT), _k)")).drop("_ks")
+    return placed.join(spread, [sheet, "_k", "_b"]).where("row BETWEEN r1 AND r2 AND col BETWEEN c1 AND c2").drop("_k", "_b")
 
 
 def nearest(targets: DataFrame, texts: DataFrame, keys: list[str], at: str, most: int = 7) -> DataFrame:

@@ -60,6 +60,7 @@ class Workbook:
         self.book = self._xml("xl/workbook.xml")
         rels = self._relations("xl/workbook.xml")
         self.sheets: list[tuple[int, str, str]] = []
+        self.tabs = [s.attrib["name"] for s in _all(self.book, "sheet")]  # chart sheets too: scopes count them
         for s in _all(self.book, "sheet"):
             path = rels.get(next((v for k, v in s.attrib.items() if _name(k) == "id"), ""), ("", ""))
             if path[0].endswith("/worksheet"):
@@ -130,7 +131,7 @@ class Workbook:
         for n in _all(self.book, "definedName"):
             text = (n.text or "").strip()
             local = n.attrib.get("localSheetId")
-            scope = self.sheets[int(local)][1] if local is not None and int(local) < len(self.sheets) else None
+            scope = self.tabs[int(local)] if local is not None and int(local) < len(self.tabs) else None
             parts = [p.strip() for p in re.findall(r"(?:'(?:[^']|'')*'|[^,'(]|\([^)]*\))+", text)]
             external = "[" in text.split("!")[0]
             dynamic = "(" in re.sub(r"'(?:[^']|'')*'", "", text) or "!" not in text

@@ -93,3 +93,27 @@ def test_macro_procedures():
     assert [(p["name"], p["kind"], p["is_public"], p["compile_branch"]) for p in got] == [("Rate", "function", False, "Win64"), ("Go", "sub", True, "Not (Win64)"), ("P", "property_get", True, None)]
     assert got[0]["parameters"] == ["x As Double", "y"] and got[0]["return_type"] == "Double" and (got[0]["line_start"], got[0]["line_end"]) == (3, 6)
     assert vba.canonical_body('X = 1 : Y = "A: B" \' c\nRem no\n  z  =  X') == 'x = 1\ny = "A: B"\nz = x'
+
+
+@pytest.mark.parametrize(
+    "text, written, found",
+    [
+        ("=é1+A1", "é1+A1", [("name", "é1", 0, 0, 0, 0), ("cell", "S", 1, 1, 1, 1)]),
+        ("=SUM(A1:B2 B1:C3)", "SUM(A1:B2 B1:C3)", [("range", "S", 1, 1, 2, 2), ("range", "S", 1, 2, 3, 3)]),
+        ("=LAMBDA(x,x+A1)(3)", "LAMBDA(x,x+A1)(3)", [("cell", "S", 1, 1, 1, 1)]),
+        ("=SUM(T!A1:T!B2)", "SUM(T!A1:T!B2)", [("range", "T", 1, 1, 2, 2)]),
+        ("=SUM({1,2;3,4},A1)", "SUM({1,2;3,4},A1)", [("cell", "S", 1, 1, 1, 1)]),
+        ("=S1:S3!A1", "S1:S3!A1", [("cell", "S1:S3", 1, 1, 1, 1)]),
+        ("=Größe!A1", "Größe!A1", [("cell", "Größe", 1, 1, 1, 1)]),
+        ("=LET(rate,A1,rate+other)", "LET(rate,A1,rate+other)", [("cell", "S", 1, 1, 1, 1), ("name", "other", 0, 0, 0, 0)]),
+        ("=IF( A1 , B1, (C1) )", "IF(A1,B1,(C1))", [("cell", "S", 1, k, 1, k) for k in (1, 2, 3)]),
+    ],
+)
+def test_forms_of_references(text, written, found):
+    assert formula.write(formula.parse(text)) == written
+    assert formula.edges(text, 1, 1, "S") == found
+
+
+def test_what_cannot_be_read_is_marked():
+    assert formula.edges_or_mark("=A1+(", 1, 1, "S") == [("unparsed", "UNPARSED", 0, 0, 0, 0)]
+    assert formula.edges_or_mark("=" + "(" * 5000 + "A1" + ")" * 5000, 1, 1, "S")[0][0] == "unparsed"

@@ -90,3 +90,28 @@ def test_decompression_of_copies():
     body = bytes([0b00010000]) + b"abcd" + struct.pack("<H", token)
     data = b"\x01" + struct.pack("<H", 0xB000 | (len(body) - 1)) + body
     assert vba_project.decompress(data) == b"abcdabcdabcd"
+
+
+def test_range_join_of_all_heights(spark):
+    import random
+
+    from gridlineage.operators import grid
+
+    rng = random.Random(3)
+    cells = [(s, rng.randint(1, 3000), rng.randint(1, 5)) for s in (1, 2) for _ in range(400)]
+    rects = [(s, k, r, 1, r + h - 1, rng.randint(1, 5)) for k, h in enumerate([1, 2, 3, 4, 5, 7, 8, 9, 64, 100, 1024, 3000, 1 << 20] * 3) for s in (1, 2) for r in [rng.randint(1, 2500)]]
+    got = grid.in_rectangles(spark.createDataFrame(cells, "sheet_id int, row int, col int"), spark.createDataFrame(rects, "sheet_id int, id int, r1 int, c1 int, r2 int, c2 int"))
+    want = sorted((s, y, x, k) for s, y, x in cells for t, k, r1, c1, r2, c2 in rects if s == t and r1 <= y <= r2 and c1 <= x <= c2)
+    assert sorted((r["sheet_id"], r["row"], r["col"], r["id"]) for r in got.collect()) == want
+
+
+def test_components_of_cycles_by_colouring(spark):
+    from gridlineage.operators import graph
+
+    edges = [(k, k % 5 + 1) for k in range(1, 6)] + [(10, 11), (11, 12), (12, 10), (12, 13), (13, 14), (14, 13), (5, 10), (20, 20), (30, 31), (31, 32), (14, 40), (41, 1)]
+    got = {r["node"]: r["cycle"] for r in graph.cycles(spark.createDataFrame(edges, "src int, dst int")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 10: 10, 11: 10, 12: 10, 13: 13, 14: 13, 20: 20}
+    chain = spark.range(40).selectExpr("cast(id AS int) AS src", "cast(id + 1 AS int) AS dst")
+    nodes = spark.range(41).selectExpr("cast(id AS int) AS node")
+    assert {r["node"]: r["level"] for r in graph.levels(chain, nodes).collect()} == {k: 40 - k for k in range(41)}
+    assert graph.reachable(chain, nodes.where("node = 3")).count() == 37
