@@ -53,7 +53,7 @@ class WordEncoder:
     ``cache_words`` bounds each of the two generations of the word cache, and with it the memory.
     """
 
-    def __init__(self, vocabulary: str | None = None, cache_words: int = 150_000):
+    def __init__(self, vocabulary: str | None = None, cache_words: int = 220_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
@@ -70,22 +70,28 @@ class WordEncoder:
 
     def encode_word(self, word: str) -> bytes:
         if word.isalpha():
-            return self._part(word)
+            return self._ids(word)
         head = word.rstrip(",.;:!?")  # a tail of symbols is one piece of its own
         if head.isalpha():
-            return self._part(head) + self._part(word[len(head) :])
+            return self.words[head.encode()] + self._part(word[len(head) :])
         return b"".join([self._part(p) for p in self.pieces(word)])
 
     def _part(self, part: str) -> bytes:
+        """Ids of a piece; those of letters are kept as words are, the few others in a cache of their own."""
+        if part.isalpha():
+            return self.words[part.encode()]
         ids = self.parts.get(part)
         if ids is None:
-            spelled = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.alphabet)
-            ids = pack("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-            if len(self.parts) >= self.cache_words:
+            ids = self._ids(part)
+            if len(self.parts) >= self.cache_words // 10:
                 self.parts.clear()
             self.parts[part] = ids
         return ids
 
+    def _ids(self, part: str) -> bytes:
+        spelled = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.alphabet)
+        return pack("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text (null: empty) as little-endian unsigned 32-bit bytes, without an end id."""
         if not text:
