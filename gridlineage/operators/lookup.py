@@ -18,24 +18,25 @@ def match_exact(values: DataFrame, array: DataFrame) -> DataFrame:
     return values.join(first, F.col("value") == F.col("v"), "left").select("value", "pos")
 
 
-def match_approximate(values: DataFrame, array: DataFrame, order: int) -> DataFrame:
+def match_approximate(values: DataFrame, array: DataFrame, order: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(value, pos) of a scan that stops at the first element beyond the value (above it for order 1, below for -1).
 
     The scan's stop for a value is the first element beyond it, which is a running maximum of the array.  Running maxima only
     grow, so values and maxima in one descending order give each value's stop: the least place among the maxima passed so far.
-    One lookup array is one ordered scan, bounded by the rows or columns of a sheet.
+    One lookup array is one ordered scan, bounded by the rows or columns of a sheet; `by` names the columns that tell arrays apart, in
+    both tables, and each is scanned on its own.
     """
     from pyspark.sql.window import Window
 
     sign = 1 if order > 0 else -1
-    before = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    a = array.select("pos", (F.col("v") * sign).alias("v")).withColumn("top", F.max("v").over(before)).withColumn("prior", F.lag("pos").over(Window.orderBy("pos")))
-    records = a.where("top IS NULL OR v > top").select(F.col("v").alias("k"), F.lit(1).alias("is_record"), F.lit(None).cast("double").alias("value"), F.struct("pos", "prior").alias("at"))
-    end = a.agg(F.max("pos").alias("pos")).select(F.lit(float("inf")).alias("k"), F.lit(1).alias("is_record"), F.lit(None).cast("double").alias("value"), F.struct((F.col("pos") + 1).alias("pos"), F.col("pos").alias("prior")).alias("at"))
-    asked = values.select((F.col("value") * sign).alias("k"), F.lit(0).alias("is_record"), "value", F.lit(None).cast(records.schema["at"].dataType).alias("at"))
-    passed = Window.orderBy(F.desc("k"), "is_record").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    a = array.select(*by, "pos", (F.col("v") * sign).alias("v")).withColumn("top", F.max("v").over(before)).withColumn("prior", F.lag("pos").over(Window.partitionBy(*by).orderBy("pos")))
+    records = a.where("top IS NULL OR v > top").select(*by, F.col("v").alias("k"), F.lit(1).alias("is_record"), F.lit(None).cast("double").alias("value"), F.struct("pos", "prior").alias("at"))
+    end = a.groupBy(*by).agg(F.max("pos").alias("pos")).select(*by, F.lit(float("inf")).alias("k"), F.lit(1).alias("is_record"), F.lit(None).cast("double").alias("value"), F.struct((F.col("pos") + 1).alias("pos"), F.col("pos").alias("prior")).alias("at"))
+    asked = values.select(*by, (F.col("value") * sign).alias("k"), F.lit(0).alias("is_record"), "value", F.lit(None).cast(records.schema["at"].dataType).alias("at"))
+    passed = Window.partitionBy(*by).orderBy(F.desc("k"), "is_record").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = records.unionByName(end).unionByName(asked).withColumn("stop", F.min("at").over(passed))
-    return found.where("is_record = 0").select("value", F.col("stop.prior").alias("pos"))
+    return found.where("is_record = 0").select(*by, "value", F.col("stop.prior").alias("pos"))
 
 
 def _box(status: Column, r1: Column, c1: Column, r2: Column, c2: Column, known: Column) -> Column:

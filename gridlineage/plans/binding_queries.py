@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 from gridlineage.operators import grouping, names, overlay
 from gridlineage.plans.catalog import query
 
-_CELLS = "SELECT DISTINCT l_partkey % 60 AS r, l_suppkey % 25 AS c FROM lineitem WHERE l_quantity < 26"
+_CELLS = "SELECT DISTINCT l_partkey % 240 AS r, l_suppkey % 100 AS c FROM lineitem"
 
 
 @query(f"""WITH c AS ({_CELLS}), x AS (SELECT s_suppkey, s_nationkey AS r1, s_suppkey % 20 AS c1, s_nationkey + s_suppkey % 3 AS r2, s_suppkey % 20 + s_suppkey % 2 AS c2 FROM supplier),
 g AS (SELECT r1, c1, r2, c2, min(r) AS a, min(c) AS b, max(r) AS d, max(c) AS e, count(*) AS n, max((r * c) % 11 = 10) AS f FROM (SELECT DISTINCT r1, c1, r2, c2 FROM x) JOIN c ON r BETWEEN r1 AND r2 AND c BETWEEN c1 AND c2 GROUP BY ALL)
 SELECT DISTINCT a AS r1, b AS c1, d AS r2, e AS c2 FROM g WHERE NOT f AND n = (d - a + 1) * (e - b + 1)""")
 def constant_ranges(t):
-    cells = t.lineitem.where("l_quantity < 26").select(F.lit(1).alias("sheet_id"), (F.col("l_partkey") % 60).alias("row"), (F.col("l_suppkey") % 25).alias("col")).distinct().withColumn("has_formula", F.expr("(row * col) % 11 = 10"))
+    cells = t.lineitem.select(F.lit(1).alias("sheet_id"), (F.col("l_partkey") % 240).alias("row"), (F.col("l_suppkey") % 100).alias("col")).distinct().withColumn("has_formula", F.expr("(row * col) % 11 = 10"))
     n, s = F.col("s_nationkey"), F.col("s_suppkey")
     rects = t.supplier.select(F.lit(1).alias("sheet_id"), n.cast("long").alias("r1"), (s % 20).alias("c1"), (n + s % 3).alias("r2"), (s % 20 + s % 2).alias("c2"))
     return grouping.constant_ranges(rects, cells).drop("sheet_id")
@@ -50,10 +50,10 @@ def anchor_merge(t):
     return grouping.anchor_merge(a, v, e)
 
 
-@query("""WITH s AS (SELECT DISTINCT o_orderstatus AS sig, o_orderkey // 5 * 5 AS first, o_orderkey // 5 * 5 + 4 AS last FROM orders WHERE o_custkey % 4 > 0), g AS (SELECT *, first // 5 - row_number() OVER (PARTITION BY sig ORDER BY first) AS g FROM s) SELECT sig, min(first) AS first, max(last) AS last, count(*) AS parts FROM g GROUP BY sig, g""")
+@query("""WITH s AS (SELECT DISTINCT o_orderstatus AS sig, o_orderkey // 5 * 5 AS first, o_orderkey // 5 * 5 + 4 AS last FROM orders), g AS (SELECT *, first // 5 - row_number() OVER (PARTITION BY sig ORDER BY first) AS g FROM s) SELECT sig, min(first) AS first, max(last) AS last, count(*) AS parts FROM g GROUP BY sig, g""")
 def segment_merge(t):
     first = F.floor(F.col("o_orderkey") / 5) * 5
-    return grouping.merge_segments(t.orders.where("o_custkey % 4 > 0").select(F.col("o_orderstatus").alias("sig"), first.alias("first"), (first + 4).alias("last")).distinct(), ["sig"])
+    return grouping.merge_segments(t.orders.select(F.col("o_orderstatus").alias("sig"), first.alias("first"), (first + 4).alias("last")).distinct(), ["sig"])
 
 
 @query("""SELECT p_partkey, round(CASE WHEN p_size > 10 THEN 0.4 ELSE 0 END + CASE WHEN p_partkey % 2 = 0 THEN 0.2 ELSE 0 END + 0.2 * least(p_size / 40.0, 1.0) + CASE WHEN p_partkey % 3 = 0 THEN 0.1 ELSE 0 END + 0.1, 6)::DOUBLE AS score FROM part""")

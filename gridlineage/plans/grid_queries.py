@@ -227,13 +227,13 @@ def islands_runs(t):
     return grid.islands(t.orders.select("o_orderstatus", "o_orderkey"), ["o_orderstatus"], "o_orderkey")
 
 
-_TILES = "SELECT DISTINCT l_returnflag AS sig, l_suppkey % 60 AS \"row\", l_partkey % 40 AS col FROM lineitem WHERE l_quantity < 4"
+_TILES = "SELECT DISTINCT l_returnflag || CAST(l_quantity AS INT) AS sig, l_suppkey % 60 AS \"row\", l_partkey % 40 AS col FROM lineitem"
 
 
 @query(f"""WITH c AS ({_TILES}), a AS (SELECT *, col - row_number() OVER (PARTITION BY sig, "row" ORDER BY col) AS g FROM c), r AS (SELECT sig, "row", min(col) AS c1, max(col) AS c2 FROM a GROUP BY sig, "row", g),
 d AS (SELECT *, "row" - row_number() OVER (PARTITION BY sig, c1, c2 ORDER BY "row") AS h FROM r) SELECT sig, min("row") AS r1, c1, max("row") AS r2, c2 FROM d GROUP BY sig, c1, c2, h""")
 def rectangles(t):
-    c = t.lineitem.where("l_quantity < 4").select(F.col("l_returnflag").alias("sig"), (F.col("l_suppkey") % 60).alias("row"), (F.col("l_partkey") % 40).alias("col")).distinct()
+    c = t.lineitem.select(F.concat("l_returnflag", F.col("l_quantity").cast("int").cast("string")).alias("sig"), (F.col("l_suppkey") % 60).alias("row"), (F.col("l_partkey") % 40).alias("col")).distinct()
     return grid.rectangles(c, ["sig"])
 
 
@@ -282,12 +282,12 @@ def dominant_formula(t):
     return grid.mode_first(t.lineitem, ["l_suppkey"], "l_returnflag", "l_orderkey")
 
 
-@query("""WITH h AS (SELECT o_custkey % 40 AS line, o_orderkey % 300 AS at, min(o_orderpriority) AS text FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2), b AS (SELECT DISTINCT o_custkey % 40 AS line, o_orderkey % 300 AS at FROM orders WHERE o_orderkey % 3 = 1)
+@query("""WITH h AS (SELECT o_custkey % 40 AS line, o_orderkey % 300 AS at, min(o_orderpriority) AS text FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2), b AS (SELECT DISTINCT o_custkey % 40 AS line, o_orderkey % 300 AS at FROM orders WHERE o_orderkey % 3 <> 0)
 SELECT b.line, b.at, h.text, CAST(b.at - h.at AS INT) AS distance FROM b JOIN h ON h.line = b.line AND b.at - h.at BETWEEN 1 AND 7 QUALIFY row_number() OVER (PARTITION BY b.line, b.at ORDER BY b.at - h.at) = 1""")
 def nearest_header(t):
     o = t.orders.select((F.col("o_custkey") % 40).alias("line"), (F.col("o_orderkey") % 300).alias("at"), F.col("o_orderpriority").alias("text"), (F.col("o_orderkey") % 3).alias("k"))
     texts = o.where("k = 0").groupBy("line", "at").agg(F.min("text").alias("text"))
-    return grid.nearest(o.where("k = 1").select("line", "at").distinct(), texts, ["line"], "at")
+    return grid.nearest(o.where("k <> 0").select("line", "at").distinct(), texts, ["line"], "at")
 
 
 @query("""WITH b AS (SELECT p_partkey AS id, p_partkey // 4 AS r1, p_size AS c1, p_partkey // 4 + p_size % 9 AS r2, p_size + p_partkey % 3 AS c2 FROM part)

@@ -115,3 +115,21 @@ def test_components_of_cycles_by_colouring(spark):
     nodes = spark.range(41).selectExpr("cast(id AS int) AS node")
     assert {r["node"]: r["level"] for r in graph.levels(chain, nodes).collect()} == {k: 40 - k for k in range(41)}
     assert graph.reachable(chain, nodes.where("node = 3")).count() == 37
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_approximate_match_keeps_arrays_apart(spark, order):
+    import random
+
+    from gridlineage.operators import lookup
+
+    rng = random.Random(order)
+    arrays = {k: [float(rng.randint(0, 20)) for _ in range(rng.randint(1, 12))] for k in "abc"}
+    array = spark.createDataFrame([(k, p, v) for k, vs in arrays.items() for p, v in enumerate(vs, 1)], "sheet string, pos int, v double")
+    values = spark.createDataFrame([(k, float(x)) for k in arrays for x in range(-1, 22)], "sheet string, value double")
+    want = {}
+    for k, vs in arrays.items():
+        for x in range(-1, 22):
+            stop = next((p for p, v in enumerate(vs) if (v > x if order > 0 else v < x)), len(vs))
+            want[k, float(x)] = stop or None
+    assert {(r["sheet"], r["value"]): r["pos"] for r in lookup.match_approximate(values, array, order, ("sheet",)).collect()} == want
