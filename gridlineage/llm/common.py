@@ -75,6 +75,19 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def release() -> None:
+    """Gives memory that this worker process has freed back to the system; idle workers would keep it beside those that run."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it has no such call
+        pass
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """The name, lengthened until no column of df has it in either case."""
     taken = {c.lower() for c in df.columns}

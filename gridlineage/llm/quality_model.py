@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlineage.llm.common import cut, fresh
+from gridlineage.llm.common import cut, fresh, release
 
 LABELLED, BUCKET_BITS, PRIOR, KEEP, SEED = 20_000, 17, 20.0, 0.001, 11
 
@@ -112,6 +112,7 @@ def fit(docs: DataFrame, good: list[int], bits: int = BUCKET_BITS, prior: float
                 if known[at : at + 512].any():
                     got[1] += np.bincount(np.concatenate([x for x, k in zip(some, known[at : at + 512]) if k]), minlength=size)
         _HASHES.clear()  # the next stage's caches need the room
+        release()
         at = np.flatnonzero(got[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(got[0][at]), pa.array(got[1][at])], names=["bucket", "raw", "target"])
 
@@ -140,6 +141,7 @@ def scores(docs: DataFrame, fitted: Fitted, seed: int = SEED) -> DataFrame:
             weight, key = _keys(fitted, b.column("doc_id"), b.column("text"), seed)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(weight), pa.array(key)], names=["doc_id", "log_weight", "gumbel_key"])
         _HASHES.clear()
+        release()
 
     return _texts(docs).mapInArrow(run, "doc_id long, log_weight double, gumbel_key double")
 
@@ -198,6 +200,7 @@ def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = S
             _, key = _keys(fitted, b.column(len(names)), b.column(len(names) + 1), seed)
             yield b.select(list(range(len(names)))).filter(pa.array(key >= least))
         _HASHES.clear()
+        release()
 
     both = docs.select("*", F.col("doc_id").cast("long").alias(fresh(docs, "_id_")), F.col("text").cast("string").alias(fresh(docs, "_text_")))
     return both.mapInArrow(run, docs.schema)
