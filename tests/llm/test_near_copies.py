@@ -71,7 +71,7 @@ def test_prefixes_meet_in_any_order(share):
         both = len(np.intersect1d(a, b))
         if 9 * both >= 4 * (len(a) + len(b)):
             assert len(np.intersect1d(*(near_copies.prefix(x, common, np.arange(1, len(common) + 1)) for x in (a, b))))
-            assert near_copies.candidates(np.array([len(a), len(b)]), np.stack([near_copies.sketch(a), near_copies.sketch(b)]))
+            assert near_copies.candidates(np.array([len(a), len(b)]), near_copies.unpacked([near_copies.sketch(a), near_copies.sketch(b)]))
             assert near_copies.true_links([a, b], common, np.arange(1, len(common) + 1)) == [(0, 1)]
 
 
@@ -79,11 +79,11 @@ def test_sketches_rule_out_what_shares_little():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    for n in (400, 3400, 13_000):
+    for n in (160, 290, 400, 3400, 13_000):
         sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for _ in range(60)]
-        sizes, counts = np.array([len(x) for x in sets]), np.stack([near_copies.sketch(x) for x in sets])
+        sizes, counts = np.array([len(x) for x in sets]), near_copies.unpacked([near_copies.sketch(x) for x in sets])
         # some pairs pass by chance, and are told apart by their exact overlaps
-        assert sum(len(near_copies.candidates(sizes[k : k + 2], counts[k : k + 2])) for k in range(59)) <= 12
+        assert sum(len(near_copies.candidates(sizes[k : k + 2], counts[k : k + 2])) for k in range(59)) <= 2
 
 
 def test_texts_under_a_repeated_id_are_kept_or_dropped_each(spark):
