@@ -11,10 +11,11 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridlineage.functions import address, formula, text
 from gridlineage.operators import diff as compare
-from gridlineage.operators import edges, graph, grid, labels, names, series
+from gridlineage.operators import edges, graph, grid, grouping, labels, names, series
 from gridlineage.sources import xlsx
 
 
@@ -125,21 +126,32 @@ def cell_edges(cells: DataFrame, sheets: DataFrame, defined: DataFrame | None =
 
 
 def group(cells: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bindings, members): rectangles of equal R1C1 formulas, and of constants that are alike in being read by ranges."""
+    """(bindings, members): rectangles of equal R1C1 formulas, and of constants that are alike in being read by ranges, without
+    those of placeholders or section headers that nothing reads."""
     sheet = ["workbook", "sheet_id"]
     ranges = found.where("kind = 'range'").select("workbook", F.col("to_sheet_id").alias("sheet_id"), "r1", "c1", "r2", "c2").distinct()
-    constants = cells.where("formula_a1 IS NULL AND value IS NOT NULL AND value <> ''").select(*sheet, "row", "col", "cell", "a1")
+    # texts that decide whether a binding is a variable; any other text is as good as x
+    telling = F.when(text.is_placeholder(F.col("value")) | text.is_section_header(F.col("value")) | (F.trim("value") == ""), F.col("value")).otherwise("x")
+    constants = cells.where("formula_a1 IS NULL AND value IS NOT NULL AND value <> ''").select(*sheet, "row", "col", "cell", "a1", (~F.col("data_type").isin("n", "b", "e")).alias("is_text"), telling.alias("telling"))
     key = F.concat_ws("#", "workbook", "sheet_id").alias("key")
     read = grid.in_rectangles(constants.select(key, "row", "col", "cell"), ranges.select(key, "r1", "c1", "r2", "c2"), "key").select("cell").distinct().withColumn("read", F.lit("read"))
     marked = constants.join(read, "cell", "left").withColumn("sig", F.concat(F.lit("constant:"), F.coalesce("read", F.lit(""))))
-    formulas = cells.where("formula_r1c1 IS NOT NULL").select(*sheet, "row", "col", "cell", "a1", F.concat(F.lit("formula:"), "formula_r1c1").alias("sig"))
+    formulas = cells.where("formula_r1c1 IS NOT NULL").select(*sheet, "row", "col", "cell", "a1", F.lit(False).alias("is_text"), F.lit("x").alias("telling"), F.concat(F.lit("formula:"), "formula_r1c1").alias("sig"))
     every = marked.drop("read").unionByName(formulas)
     rects = grid.rectangles(every.select(*sheet, "sig", "row", "col"), [*sheet, "sig"])
     ident = F.sha2(F.concat_ws("::", "workbook", "sheet_id", "sig", "r1", "c1", "r2", "c2"), 256)
     at = F.concat(address.a1(F.col("r1"), F.col("c1")), F.when((F.col("r1") < F.col("r2")) | (F.col("c1") < F.col("c2")), F.concat(F.lit(":"), address.a1(F.col("r2"), F.col("c2")))).otherwise(""))
     rects = graph.keep(rects.select(*sheet, "sig", "r1", "c1", "r2", "c2", ident.alias("binding_id"), at.alias("address_a1"), F.split("sig", ":")[0].alias("binding_type")))
-    held = grid.in_rectangles(every.select(F.concat_ws("#", *sheet, "sig").alias("key"), "row", "col", "cell"), rects.select(F.concat_ws("#", *sheet, "sig").alias("key"), "r1", "c1", "r2", "c2", "binding_id"), "key")
-    return rects.drop("sig"), graph.keep(held.select("cell", F.col("binding_id").alias("binding")))
+    held = grid.in_rectangles(every.select(F.concat_ws("#", *sheet, "sig").alias("key"), "row", "col", "cell", "is_text", "telling"), rects.select(F.concat_ws("#", *sheet, "sig").alias("key"), "r1", "c1", "r2", "c2", "binding_id"), "key")
+    held = graph.keep(held.select("cell", F.col("binding_id").alias("binding"), "is_text", "telling"))
+    # placeholders and section headers that no formula reads aren't variables; constants that ranges read were told apart above
+    exact = found.where("kind = 'cell'").select(F.concat_ws(":", "workbook", address.pack(F.col("to_sheet_id"), F.col("r1"), F.col("c1"))).alias("cell")).distinct()
+    unread = rects.where("sig = 'constant:'").select(F.col("binding_id").alias("binding"))
+    loose = held.join(unread, "binding", "left_semi")
+    noise = grouping.noise(loose.select(F.col("binding").alias("id"), F.col("telling").alias("value"), "is_text", F.lit(False).alias("has_formula")), loose.join(exact, "cell", "left_semi").select(F.col("binding").alias("id")))
+    noise = graph.keep(noise.select("id"))
+    rects = rects.join(noise.withColumnRenamed("id", "binding_id"), "binding_id", "left_anti")
+    return rects.drop("sig"), held.select("cell", "binding").join(noise.withColumnRenamed("id", "binding"), "binding", "left_anti")
 
 
 def collapse(cells: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
@@ -165,16 +177,28 @@ def document(x: Extract) -> DataFrame:
     chosen = labels.select_label(scored, "binding_id")
     links = graph.neighbours(x.binding_edges.select(F.col("from_binding").alias("src"), F.col("to_binding").alias("dst"))).withColumnRenamed("node", "binding_id")
     reads = x.binding_edges.groupBy(F.col("from_binding").alias("binding_id")).agg(F.array_sort(F.collect_list("to_binding")).alias("dependencies"))
-    d = b.join(x.sheets.select("workbook", "sheet_id", "sheet_name"), ["workbook", "sheet_id"]).join(chosen, "binding_id", "left").join(links, "binding_id", "left").join(reads, "binding_id", "left")
+    d = b.join(x.sheets.select("workbook", "sheet_id", "sheet_name"), ["workbook", "sheet_id"]).join(chosen, "binding_id", "left").join(links, "binding_id", "left").join(reads, "binding_id", "left").join(_samples(x), "binding_id", "left")
     is_formula = F.col("binding_type") == "formula"
     label = F.coalesce("label", F.concat_ws("!", "sheet_name", "address_a1"))
-    scores = labels.class_scores(label, is_formula, F.coalesce("n_dependents", F.lit(0)), F.coalesce("n_precedents", F.lit(0)))
+    scores = labels.class_scores(label, F.col("sheet_name"), is_formula, F.coalesce("is_link", F.lit(False)), F.coalesce("n_dependents", F.lit(0)), F.coalesce("n_precedents", F.lit(0)), F.col("values"))
     name, score = labels.classify(scores)
+    ruled = labels.hard_rule(name, F.col("sheet_name"), is_formula)
+    by_hand = F.lit(None).cast("struct<required:boolean,rationale:string>")
     rows, cols = F.col("r2") - F.col("r1") + 1, F.col("c2") - F.col("c1") + 1
-    out = d.select("workbook", "sheet_name", "address_a1", "binding_id", label.alias("label"), labels.hard_rule(name, F.col("sheet_name"), is_formula).alias("class"), F.round(score, 6).alias("confidence"), labels.entity_type(rows, cols, is_formula).alias("entity_type"), F.coalesce("dependencies", F.array().cast("array<string>")).alias("dependencies"))
+    out = d.select("workbook", "sheet_name", "address_a1", "binding_id", label.alias("label"), ruled.alias("class"), F.round(score, 6).alias("confidence"), labels.entity_type(rows, cols, is_formula).alias("entity_type"), F.coalesce("dependencies", F.array().cast("array<string>")).alias("dependencies"), labels.reconciliation(by_hand, ruled, F.col("formula")).alias("reconciliation"))
     return out.withColumn("spec", F.to_json(F.struct(*(c for c in out.columns if c != "workbook"))))
 
 
+def _samples(x: Extract, most: int = 5) -> DataFrame:
+    """(binding_id, values, formula, is_link): the first values of a binding, its first formula, and whether all its formulas are links."""
+    c = x.members.select("cell", F.col("binding").alias("binding_id")).join(x.cells.select("cell", "row", "col", "value", "data_type", "formula_a1"), "cell")
+    number = F.when(F.col("data_type").isin("n", "b"), F.col("value").try_cast("double"))
+    first = c.where("value IS NOT NULL").withColumn("_k", F.row_number().over(Window.partitionBy("binding_id").orderBy("row", "col"))).where(F.col("_k") <= most)
+    values = first.groupBy("binding_id").agg(F.collect_list(F.struct(number.alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))).alias("values"))
+    formulas = c.where("formula_a1 IS NOT NULL").groupBy("binding_id").agg(F.min_by("formula_a1", F.struct("row", "col")).alias("formula"), F.bool_and(labels.is_link(F.col("formula_a1"))).alias("is_link"))
+    return values.join(formulas, "binding_id", "full")
+
+
 def markdown(documented: DataFrame) -> DataFrame:
     """(workbook, sheet_name, page): a page of Markdown a sheet, its variables in order of address."""
     line = F.concat(F.lit("| "), "label", F.lit(" | "), "address_a1", F.lit(" | "), "class", F.lit(" | "), "entity_type", F.lit(" |"))

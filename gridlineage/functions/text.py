@@ -19,9 +19,32 @@ def is_section_header(text: Column) -> Column:
     return text.rlike(SECTION_HEADER)
 
 
+# Pattern of a header that names a scenario.
+SCENARIO_HEADER = r"(?i)%|base|shock|stress|flat|scenario|scen|\b(up|down)\b"
+
+
 def is_scenario_header(text: Column) -> Column:
     """A header that names a scenario: a per cent sign, or one of the scenario words."""
-    return text.rlike(r"(?i)%|base|shock|stress|flat|scenario|scen|\b(up|down)\b")
+    return text.rlike(SCENARIO_HEADER)
+
+
+def time_index(text: Column) -> Column:
+    """The whole number that a header stands for: all digits, a whole number as text, else its first word of one to four digits; null for scenarios."""
+    t = F.trim(text)
+    number = F.when(t.rlike(r"^[-+]?\d+(\.\d*)?([eE][-+]?\d+)?$"), t.try_cast("double"))
+    whole = F.when(F.abs(number - F.round(number)) < 1e-6, F.round(number).cast("long"))
+    first = F.nullif(F.regexp_extract(t, r"\b(\d{1,4})\b", 1), F.lit("")).cast("long")
+    return F.when(number.isNotNull(), whole).when(~is_scenario_header(t), first)
+
+
+def is_time_axis(indices: Column) -> Column:
+    """Whether an array of time indices, in order, is a continuous axis: at least five known, 70 % of all, rising, most steps 1 (80 % rounded down, 3 at least)."""
+    known = F.filter(indices, lambda n: n.isNotNull())
+    n = F.size(known)
+    steps = F.zip_with(F.slice(known, 2, F.greatest(n, F.lit(1))), F.slice(known, 1, F.greatest(n - 1, F.lit(0))), lambda b, a: b - a)
+    ones = F.size(F.filter(steps, lambda d: d == 1))
+    fits = (n >= 5) & (n / F.nullif(F.size(indices), F.lit(0)) >= 0.7) & F.forall(steps, lambda d: d > 0) & (ones >= F.greatest(F.lit(3), F.floor((n - 1) * 0.8)))
+    return F.coalesce(fits, F.lit(False))
 
 
 def function_names(formula: Column) -> Column:
@@ -41,19 +64,29 @@ def volatile_kind(name: Column) -> Column:
     )
 
 
+# A text literal, or a reference with its sheet: to a table, a rectangle, columns, rows, a cell.  No word bounds, so that LOG10 begins with a cell.
+_BRACKETS = r"[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*"
+_CELL = r"\$?[A-Za-z]{1,3}\$?\d{1,7}"
+_TABLE = rf"[A-Za-z_][\w.]*\[{_BRACKETS}\]|\[[@#][^\]]+\]"
+_LITERAL_OR_REFERENCE = r'(?U)"[^"]*(?:""[^"]*)*"|(?:(?:\'[^\']*\'|[A-Za-z_][\w.]*)!)?(?:' + rf"{_TABLE}|{_CELL}:{_CELL}|\$?[A-Za-z]{{1,3}}:\$?[A-Za-z]{{1,3}}|\$?\d{{1,7}}:\$?\d{{1,7}}|{_CELL})"
+
+
 def canonical_a1(formula: Column) -> Column:
-    """Family key: references by kind, strings masked, sheet names stripped, upper case, no white space; null without a call."""
-    f = F.regexp_replace(formula, '"(?:[^"]|"")*"', "\u0001")
-    f = F.regexp_replace(f, r"('(?:[^']|'')*'|[A-Za-z0-9_.]+)!", "")
-    f = F.upper(F.regexp_replace(f, r"\s+", ""))
-    cell = r"\$?[A-Z]{1,3}\$?[0-9]{1,7}"
-    f = F.regexp_replace(f, rf"\b?{cell}:{cell}", "\u0002")
-    f = F.regexp_replace(f, r"\$?\b[A-Z]{1,3}:\$?[A-Z]{1,3}\b", "\u0003")
-    f = F.regexp_replace(f, r"\$?\b[0-9]{1,7}:\$?[0-9]{1,7}\b", "\u0004")
-    f = F.regexp_replace(f, r"(\$[A-Z]{1,3}\$?|\b[A-Z]{1,3}\$?)[0-9]{1,7}\b", "CELL")
-    for mark, name in (("\u0001", "STR"), ("\u0002", "CELLRANGE"), ("\u0003", "COLRANGE"), ("\u0004", "ROWRANGE")):
-        f = F.replace(f, F.lit(mark), F.lit(name))
-    return F.when(F.contains(formula, F.lit("(")), f)
+    """Family key: literals and references by kind, without sheets, in upper case, one blank for white space; null without a parenthesis."""
+    body = F.regexp_replace(formula, "^=", "")
+    kind = lambda m: (
+        F.when(m.startswith('"'), "STR")
+        .when(m.endswith("]"), "CELLRANGE")
+        .when(m.rlike("[A-Za-z]$"), "COLRANGE")
+        .when(m.rlike(rf"(?U):{_CELL}$"), "CELLRANGE")
+        .when(m.rlike(r"(?U):\$?\d{1,7}$"), "ROWRANGE")
+        .otherwise("CELL")
+    )
+    between = F.split(body, _LITERAL_OR_REFERENCE)  # one more than there are matches
+    kinds = F.transform(F.regexp_extract_all(body, F.lit(_LITERAL_OR_REFERENCE), F.lit(0)), kind)
+    joined = F.array_join(F.zip_with(between, kinds, lambda text, k: F.concat(F.coalesce(text, F.lit("")), F.coalesce(k, F.lit("")))), "")
+    f = F.trim(F.regexp_replace(F.upper(joined), r"(?U)\s+", " "))
+    return F.when(F.contains(f, F.lit("(")), F.concat(F.when(formula.startswith("="), "=").otherwise(""), f))
 
 
 def change_kind(old: Column, new: Column) -> Column:

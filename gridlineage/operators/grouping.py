@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridlineage.functions.text import is_scenario_header
-from gridlineage.operators.grid import in_rectangles
+from gridlineage.functions.text import is_placeholder, is_scenario_header, is_section_header
+from gridlineage.operators.grid import every, in_rectangles
 
 
 def constant_ranges(rects: DataFrame, cells: DataFrame) -> DataFrame:
@@ -53,6 +53,21 @@ def row_cover(rects: DataFrame, by: list[str]) -> DataFrame:
     return marked.withColumn("_g", F.sum("_new").over(w)).groupBy(*by, "_g").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2")).drop("_g")
 
 
+def noise(cells: DataFrame, read: DataFrame) -> DataFrame:
+    """(id, reason) of constant bindings that aren't variables: empty; or, unless a formula reads a cell of them, placeholders alone
+    in more than one cell, or texts with a section header in 2 to 10 cells.  cells: id, value, is_text, has_formula; read: id.
+    """
+    text = F.when(F.trim("value") != "", F.col("is_text"))  # null for blanks, which don't count
+    mark = every(text & F.when(text.isNotNull(), is_placeholder(F.col("value"))))
+    head = every(text) & F.bool_or(is_section_header(F.col("value")))
+    gone = every((F.coalesce("value", F.lit("")) == "") & ~F.col("has_formula"))
+    facts = cells.groupBy("id").agg(F.count("*").alias("n"), gone.alias("empty"), mark.alias("placeholder"), F.coalesce(head, F.lit(False)).alias("header"))
+    used = read.select("id").distinct().withColumn("_read", F.lit(True))
+    free = F.col("_read").isNull()
+    reason = F.when(F.col("empty"), "empty").when(free & F.col("placeholder") & (F.col("n") > 1), "placeholder").when(free & F.col("header") & F.col("n").between(2, 10), "section_header")
+    return facts.join(used, "id", "left").select("id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def split_scenarios(blocks: DataFrame, headers: DataFrame) -> DataFrame:
     """Constant blocks of 2 to 20 columns under at least two distinct scenario headers, cut into columns; others stay whole.  headers: sheet, row, col, text."""
     n, rows = F.col("c2") - F.col("c1") + 1, F.col("r2") - F.col("r1") + 1

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridlineage.functions.text import is_numeric
+from gridlineage.functions.text import function_names, is_numeric
 
 # Base score of a label candidate by its type.
 BASE = {
@@ -57,51 +57,161 @@ def sheet_prefix(labels: DataFrame, sheet: str, label: str, least: float = 0.9)
     return best.select(sheet, F.col("b.prefix").alias("prefix"), F.round(share, 6).alias("share")).where(F.col("share") >= least)
 
 
+# Words in the names of sheets, by type; the first type with a word in the name holds.
+CALCULATION_NAMES = ("projection", "calculation", "engine", "model", "cashflow", "output")
+ASSUMPTION_NAMES = ("assumption", "parameter", "config", "mortality", "lapse", "rate", "table", "expense", "commission", "inflation", "interest", "tax", "premium")
+POLICYHOLDER_NAMES = ("input", "data", "policyholder", "policy")
+
+# Words in labels and sheet names that speak for a class, as regular expressions between word bounds.
+ASSUMPTION_LABELS = (
+    "mortality", "morbidity", "lapse", "surrender", "expense", "salary", "inflation", "discount", "yield", "interest rate", "bonus", "crediting rate", "profit.?sharing", "management action", "strategy",
+    "assumptions?", "rate", "factor", "percentage", "%", "stress", "scenario", "best.?estimate", "adverse", "optimistic", "pessimistic", "cso", "table",
+)
+POLICYHOLDER_LABELS = ("policy", "age", "date of birth", "dob", "sex", "gender", "premium", "sum assured", "product code", "duration")
+RESULT_LABELS = ("bel", "best estimate", "reserve", "liability", "scr", "capital", "pvfp", "embedded value", "profit", "total", "summary", "aggregat", "output", "result")
+RATE_LABELS = ("rate", "factor", "percentage", "%", "stress", "scenario")
+ASSUMPTION_SHEETS = ("assumptions?", "rates", "parameters", "tables?", "interest", "expenses?", r"discount\w*", "curve", r"scenario\w*")
+POLICYHOLDER_SHEETS = ("policyholder", "policy", "data")
+RESULT_SHEETS = ("results?", "outputs?", "report", "summary")
+
+# Functions whose use asks for a reconciliation, and those that only format or locate.
+CHECKED_FUNCTIONS = (
+    "SUM", "AVERAGE", "COUNT", "COUNTA", "COUNTIF", "COUNTIFS", "MIN", "MAX", "STDEV", "STDEVP", "VAR", "VARP", "PERCENTILE", "VLOOKUP", "HLOOKUP", "INDEX", "MATCH", "XLOOKUP", "LOOKUP", "NPV", "IRR", "PV", "FV", "PMT", "RATE",
+    "NPER", "IPMT", "PPMT", "IF", "IFS", "SWITCH", "CHOOSE", "DATE", "EDATE", "YEARFRAC", "DATEDIF", "EOMONTH", "NETWORKDAYS", "SUMIF", "SUMIFS", "AVERAGEIF", "AVERAGEIFS", "SUMPRODUCT",
+)
+HELPER_FUNCTIONS = ("TEXT", "CONCATENATE", "CONCAT", "TRIM", "UPPER", "LOWER", "LEFT", "RIGHT", "MID", "LEN", "SUBSTITUTE", "REPLACE", "ROW", "COLUMN", "CELL", "INDIRECT", "OFFSET", "ADDRESS", "VALUE", "N", "T")
+
+
 def sheet_type(name: Column) -> Column:
     """Class of a sheet by words of its name; calculation comes before assumption before policyholder."""
     n = F.lower(name)
-    return F.when(n.rlike("calc|projection|model"), "calculation").when(n.rlike("assum|param|rate"), "assumption").when(n.rlike("policy|member|input|data"), "policyholder").otherwise("unknown")
+    return F.when(n.rlike("|".join(CALCULATION_NAMES)), "calculation").when(n.rlike("|".join(ASSUMPTION_NAMES)), "assumption").when(n.rlike("|".join(POLICYHOLDER_NAMES)), "policyholder").otherwise("unknown")
+
+
+def words(patterns: tuple[str, ...]) -> str:
+    """One regular expression for any of the words, in either case."""
+    return rf"(?i)\b({'|'.join(patterns)})\b"
+
+
+def rates_prevail(values: Column) -> Column:
+    """Whether over half of the values (array of struct number, text) are numbers from 0 to 1; false for none."""
+    return _over_half(values, lambda v: F.coalesce(v["number"].between(0, 1), F.lit(False)))
+
+
+def inputs_prevail(values: Column) -> Column:
+    """Whether over half of the values look like data of a policy: codes of up to three letters or digits, whole numbers from 2 to 120, numbers above 1000."""
+    whole = lambda n: (n == F.floor(n)) & (n > 1) & (n <= 120)
+    return _over_half(values, lambda v: F.coalesce(v["text"].rlike(r"^[\p{L}\p{N}]{1,3}$"), whole(v["number"]) | (v["number"] > 1000), F.lit(False)))
+
+
+def _over_half(values: Column, fits) -> Column:
+    return F.coalesce((F.size(values) > 0) & (F.size(F.filter(values, fits)) / F.nullif(F.size(values), F.lit(0)) > 0.5), F.lit(False))
 
 
-def class_scores(label: Column, has_formula: Column, n_dependents: Column, n_precedents: Column) -> dict[str, Column]:
-    """Scores of the four classes, each at most 1."""
-    t = F.lower(label)
-    add = lambda *parts: F.least(F.lit(1.0), sum((F.when(c, w).otherwise(0.0) for c, w in parts), F.lit(0.0)))
+def class_scores(label: Column, sheet: Column, has_formula: Column, is_link: Column, n_consumers: Column, n_providers: Column, values: Column | None = None) -> dict[str, Column]:
+    """Scores of the four classes, the first named first where they are equal.
+
+    is_link: all formulas are references or numbers alone; n_consumers and n_providers: variables that read this one, and that it reads;
+    values: some of its values, as an array of struct (number, text).  Terms are added in a fixed order, because equal sums decide by it.
+    """
+    holds = lambda text, patterns: F.coalesce(text.rlike(words(patterns)), F.lit(False))
+    add = lambda *parts: sum((F.when(c, F.lit(float(w))).otherwise(0.0) for c, w in parts), F.lit(0.0))
+    none = F.lit(False)
+    link, rate = has_formula & is_link, holds(label, RATE_LABELS)
+    source, sink = n_providers == 0, n_consumers == 0
+    assumed, insured = holds(label, ASSUMPTION_LABELS), holds(label, POLICYHOLDER_LABELS)
+    data = add(
+        (insured, 0.6), (insured & rate, -0.25), (holds(sheet, POLICYHOLDER_SHEETS), 0.3), (source, 0.1), (none if values is None else inputs_prevail(values), 0.4),
+        (has_formula & ~source & link, -0.1), (has_formula & ~source & ~link, -0.5),
+    )
+    calculation = add((~link, 0.4), (link, 0.4 * 0.3), (~sink, 0.4), (~source, 0.2))
     return {
-        "assumption": add((t.rlike("rate|assum|factor|loading|discount"), 0.5), (~has_formula, 0.3), (n_dependents > 1, 0.2)),
-        "policyholder": add((t.rlike("age|sex|name|date|policy|id"), 0.5), (~has_formula, 0.3), (n_precedents == 0, 0.1)),
-        "calculation": add((has_formula, 0.4), (n_precedents > 0, 0.2), (n_dependents > 0, 0.2)),
-        "result": add((t.rlike("total|reserve|premium|result|summary"), 0.4), (has_formula, 0.2), (n_dependents == 0, 0.3)),
-    }
+        "Assumption": add(
+            (assumed, 0.6), (assumed & rate, 0.15), (holds(sheet, ASSUMPTION_SHEETS), 0.3), (source, 0.1), (~source & link, 0.05), (~has_formula & (n_consumers >= 5), 0.3),
+            (none if values is None else rates_prevail(values), 0.4),
+        ),
+        "Policyholder Data": F.greatest(F.lit(0.0), data),
+        "Calculation": F.when(~has_formula, 0.0).when(source, 0.1).otherwise(calculation),
+        "Result": add((holds(label, RESULT_LABELS), 0.6), (holds(sheet, RESULT_SHEETS), 0.2), (sink, 0.5), (has_formula, 0.3)),
+    }
 
 
 def classify(scores: dict[str, Column], least: float = 0.2) -> tuple[Column, Column]:
-    """(class, score): the largest score, the first of equals; Unclassified below the least."""
+    """(class, score): the largest score, the first of equals, at most 1; Unclassified below the least."""
     best = F.greatest(*scores.values())
     name = F.lit(None).cast("string")
     for k in reversed(list(scores)):
         name = F.when(scores[k] == best, k).otherwise(name)
-    return F.when(best < least, "Unclassified").otherwise(name), best
+    return F.when(best < least, "Unclassified").otherwise(name), F.least(F.lit(1.0), best)
 
 
 def hard_rule(proposed: Column, sheet: Column, has_formula: Column) -> Column:
     """A formula on a calculation sheet can't be an input of any class."""
-    return F.when((sheet_type(sheet) == "calculation") & has_formula & proposed.isin("assumption", "policyholder"), "calculation").otherwise(proposed)
+    return F.when((sheet_type(sheet) == "calculation") & has_formula & proposed.isin("Assumption", "Policyholder Data"), "Calculation").otherwise(proposed)
+
+
+def is_link(formula: Column) -> Column:
+    """A formula of references, sheet names and numbers alone."""
+    return formula.rlike(r"^=?[A-Za-z0-9\\.\s!$:]+$")
+
+
+def has_arithmetic(formula: Column) -> Column:
+    """Whether a formula has a sum, difference, product, quotient or power of two operands; signs, names and literals don't count."""
+    f = F.regexp_replace(formula, '"[^"]*(?:""[^"]*)*"|\'[^\']*(?:\'\'[^\']*)*\'!', "0")
+    f = F.regexp_replace(f, r"\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]", "")
+    f = F.regexp_replace(f, r"(?<![A-Za-z0-9_.$])(\d+\.?\d*|\.\d+)[eE][+-]?\d+", "0")
+    return f.rlike(r"[\p{L}\p{N}_.)}%#?]\s*[-+*/^]")
 
 
 def reconciliation(override: Column, role: Column, formula: Column) -> Column:
-    """Whether a variable must be reconciled, by the first rule that fits."""
+    """(required, rationale) of a variable by the first rule that fits: its override, its role, no formula, arithmetic, checked functions, helpers alone, its role."""
+    say = lambda required, why: F.struct(F.lit(required).alias("required"), (why if isinstance(why, Column) else F.lit(why)).alias("rationale"))
+    used = function_names(formula)
+    checked = F.array_intersect(used, F.array(*map(F.lit, CHECKED_FUNCTIONS)))
+    helpers = F.array(*map(F.lit, HELPER_FUNCTIONS))
+    named = lambda text, of: F.concat(F.lit(text + " ("), F.array_join(F.slice(F.array_sort(of), 1, 3), ", "), F.lit(")"))
+    # The rationales.
+    return (
+        F.when(override.isNotNull(), F.struct(override["required"].alias("required"), override["rationale"].alias("rationale")))
+        .when(role == "Result", say(True, "Key model output requiring verification"))
+        .when(role == "Helper", say(False, "Structural or formatting helper, not a calculation"))
+        .when(formula.isNull(), say(False, "Constant value, no calculation to verify"))
+        .when(has_arithmetic(formula), say(True, "Contains mathematical calculations"))
+        .when(F.size(checked) > 0, say(True, named("Uses actuarial formula pattern", checked)))
+        .when((F.size(used) > 0) & (F.size(F.array_except(used, helpers)) == 0), say(False, named("Formatting/structural helper functions only", used)))
+        .when(role == "Calculation", say(True, "Intermediate calculation in model flow"))
+        .when(role.isin("Policyholder Data", "Assumption"), say(False, "Input data, no calculation to verify"))
+        .otherwise(say(False, "No clear reconciliation requirement detected"))
+    )
+
+
+def generated_label(formula: Column, sources: Column) -> Column:
+    """A label from a formula and the labels of what it reads (array of struct label, score, in order); null where none can be made.
+
+    A sum or average of a range takes the first source's label, a net present value the second's, if its score is above 0.5; two cells
+    joined by an operator take both.  A null or Unlabelled source gives none.
+    """
+    known = lambda n: F.when(F.try_element_at(sources, F.lit(n))["label"] != "Unlabelled", F.try_element_at(sources, F.lit(n))["label"])
+    sure = lambda n: F.when((F.try_element_at(sources, F.lit(n))["score"] > 0.5) & (known(n) != ""), known(n))
+    pair = r"^=[A-Z]+[0-9]+\s*([+\-*/])\s*[A-Z]+[0-9]+$"
+    sign = F.regexp_extract(formula, pair, 1)
+    sign = F.when(sign == "*", "\u00d7").when(sign == "-", "\u2212").otherwise(sign)
+    both = F.when((F.size(sources) == 2) & (known(1) != "") & (known(2) != ""), F.concat_ws(" ", known(1), sign, known(2)))
+    total = r"(?i)^={}\([A-Z]+[0-9]+:[A-Z]+[0-9]+\)"
     return (
-        F.when(override.isNotNull(), override)
-        .when(role == "Result", "required")
-        .when(role == "Helper", "not_required")
-        .when(formula.isNull(), "not_required")
-        .when(formula.rlike(r"^=[A-Z0-9$+*/ -]+$"), "optional")
-        .when(formula.rlike(r"(NPV|PV|IRR|SUMPRODUCT)\("), "required")
-        .otherwise("optional")
+        F.when(formula.rlike(total.format("SUM")), F.concat(F.lit("Total "), sure(1)))
+        .when(formula.rlike(total.format("AVERAGE")), F.concat(F.lit("Average "), sure(1)))
+        .when(formula.rlike(r"(?i)^=NPV\("), F.coalesce(F.concat(F.lit("NPV of "), sure(2)), F.lit("Net Present Value")))
+        .when(formula.rlike(pair), both)
     )
 
 
+def wants_label(score: Column, kind: Column, name: Column) -> Column:
+    """Whether a label should be made: results below 0.95 or named by their sheet, calculations below 0.6 or named by their sheet below 0.95."""
+    by_sheet = kind == "sheet_name"
+    return F.coalesce(F.when(name == "Result", by_sheet | (score < 0.95)).when(name == "Calculation", (by_sheet & (score < 0.95)) | (score < 0.6)), F.lit(False))
+
+
 def weighted(parts: list[tuple[float, Column]]) -> Column:
     return sum((w * c for w, c in parts), F.lit(0.0))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlineage.functions.address import MAX_COL, MAX_ROW
+from gridlineage.functions.address import MAX_COL, MAX_ROW, a1, quote_sheet
 
 
 def match_exact(values: DataFrame, array: DataFrame) -> DataFrame:
@@ -100,6 +100,14 @@ def choose(which: Column, targets: Column) -> Column:
     return F.struct(status.alias("status"), picked.alias("targets"))
 
 
+def address(row: Column, col: Column, sheet: Column | None = None) -> Column:
+    """ADDRESS: struct of status and the cell's text, with its sheet if given; unresolved where a number isn't known or out of the sheet."""
+    at = a1(row.cast("int"), col.cast("int"))
+    known = F.coalesce(row.between(1, MAX_ROW) & col.between(1, MAX_COL), F.lit(False))
+    where = F.lit("") if sheet is None else F.when(F.coalesce(sheet, F.lit("")) != "", F.concat(quote_sheet(sheet), F.lit("!"))).otherwise("")
+    return F.struct(F.when(known, "resolved").otherwise("unresolved").alias("status"), F.when(known, F.concat(where, at)).alias("target"))
+
+
 def first_resolved(*tries: Column) -> Column:
     """A chain of strategies: the first that has an answer."""
     return F.coalesce(*tries)

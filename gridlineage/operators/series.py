@@ -21,6 +21,15 @@ def profile(values: DataFrame, by: list[str], order: list[str], value: str = "v"
     return out.where("n >= 3")
 
 
+def consecutive(values: DataFrame, by: list[str], order: list[str], value: str = "v", least: int = 5) -> DataFrame:
+    """(by, n): groups of at least `least` values that are all whole numbers, in order each one more than the one before."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    v = F.round(F.col(value).try_cast("double")).cast("long")
+    d = values.withColumn("_v", F.when(F.abs(F.col(value).try_cast("double") - v) <= 1e-9, v)).withColumn("_before", F.lag("_v").over(w)).withColumn("_k", F.row_number().over(w))
+    fits = F.col("_v").isNotNull() & ((F.col("_k") == 1) | (F.col("_v") - F.col("_before") == 1))
+    return d.groupBy(*by).agg(F.count("*").alias("n"), every(F.coalesce(fits, F.lit(False))).alias("_ok")).where(F.col("_ok") & (F.col("n") >= least)).drop("_ok")
+
+
 def month_steps(dates: DataFrame, by: list[str], order: list[str], date: str = "d") -> DataFrame:
     """(by, calendar_month_step): every date is a month after the last, by day of month or by end of month; pairwise or from the first."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -34,14 +34,73 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union)
 
 
-def retrieve(chunks: DataFrame, question: str, by: list[str], order: str, most: int, budget: int) -> DataFrame:
-    """The best chunks (tokens, chars) for a question within a token budget of four characters each; at least one of each group."""
-    asked = sorted(set(re.findall("[a-z]{3,}", question.lower())))
-    hit = F.size(F.array_intersect("tokens", F.array(*map(F.lit, asked))))
-    w = Window.partitionBy(*by).orderBy(F.desc("hit"), order)
-    top = chunks.withColumn("hit", hit).where("hit > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-    used = F.sum(F.floor((F.col("chars") + 3) / 4)).over(Window.partitionBy(*by).orderBy("rank"))
-    return top.withColumn("used", used).where((F.col("used") <= budget) | (F.col("rank") == 1)).withColumn("score", F.least(F.lit(1.0), F.col("hit") / len(asked)))
+def retrieve(chunks: DataFrame, question: str, by: list[str], order: str, most: int = 5, budget: int = 4000) -> DataFrame:
+    """The best chunks for a question, with rank and score, within a token budget of four characters each; at least one of each group.
+
+    chunks: name, identifiers, comments (arrays of lower-case tokens), chars, procedure.  A word of the question counts 3 in the name, 2
+    among identifiers, 1 in comments; the score is their sum to that of all words in the name.  Where there are more chunks than `most`,
+    those after the third whose procedure is among the first three gain 0.1.
+    """
+    asked = sorted({w for w in re.split(r"[\s._-]+", question.lower()) if len(w) > 2})
+    if not asked:
+        return chunks.withColumns({"score": F.lit(0.0), "rank": F.lit(0)}).where("false")
+    words = F.array(*map(F.lit, asked))
+    in_name = F.split(F.lower("name"), r"[\s._]+")
+    shared = lambda a: F.size(F.array_intersect(F.coalesce(a, F.array().cast("array<string>")), words))
+    raw = shared(in_name) * 3 + shared(F.col("identifiers")) * 2 + shared(F.col("comments"))
+    w = Window.partitionBy(*by)
+    hit = chunks.withColumn("_raw", raw).where("_raw > 0").withColumn("score", F.least(F.lit(1.0), F.col("_raw") / (3.0 * len(asked))))
+    first = hit.withColumn("_first", F.row_number().over(w.orderBy(F.desc("score"), order)))
+    beside = F.array_contains(F.collect_set(F.when(F.col("_first") <= 3, F.col("procedure"))).over(w), F.col("procedure"))
+    near = (F.count("*").over(w) > most) & (F.col("_first") > 3) & beside
+    again = first.withColumn("_near", F.col("score") + F.when(near, 0.1).otherwise(0.0))
+    ranked = again.withColumn("rank", F.row_number().over(w.orderBy(F.desc("_near"), "_first")))
+    used = F.sum("chars").over(w.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = ranked.where(F.col("rank") <= most).withColumn("_used", used).where((F.col("_used") <= 4 * budget) | (F.col("rank") == 1))
+    return kept.drop("_raw", "_first", "_near", "_used")
+
+
+# Names that run by themselves, and the events of controls and of workbooks and sheets outside their own modules.
+AUTO_NAMES = ("auto_open", "auto_close", "auto_exec", "auto_add", "auto_remove")
+CONTROL_EVENTS = (
+    "click", "change", "dblclick", "enter", "exit", "keydown", "keypress", "keyup", "mousedown", "mouseup", "mousemove", "afterupdate", "beforeupdate", "spindown", "spinup", "gotfocus", "lostfocus", "beforedragover", "beforedropordrop", "scroll", "error",
+)
+BOOK_EVENTS = (
+    "workbook_open", "workbook_beforesave", "workbook_beforeclose", "workbook_aftersave", "workbook_newsheet", "workbook_sheetchange", "workbook_activate", "workbook_deactivate", "worksheet_change", "worksheet_selectionchange",
+    "worksheet_beforedoubleclick", "worksheet_beforerightclick", "worksheet_activate", "worksheet_deactivate", "worksheet_calculate",
+)
+
+
+def module_kind(name: Column, source: Column) -> Column:
+    """standard, class, form or document, by a module's name and the attributes in its text."""
+    has = lambda text: F.coalesce(F.contains(source, F.lit(text)), F.lit(False))
+    # Class ids of workbooks and sheets.
+    book = has("0{00020819") | has("0{00020820")
+    low = F.lower(name)
+    return (
+        F.when(low.endswith(".frm"), "form")
+        .when(has("VB_PredeclaredId = True"), F.when(book, "document").otherwise("class"))
+        .when(has("VB_Creatable") | has("VB_Exposed") | low.endswith(".cls"), "class")
+        .otherwise("standard")
+    )
+
+
+def event_of(name: Column, kind: Column, module: Column) -> Column:
+    """(kind, control, event) of the event that runs a procedure, null for others; kind is the procedure's, module its module's kind."""
+    n = F.lower(name)
+    none = F.lit(None).cast("string")
+    event = lambda what, rest, control=none: F.struct(F.lit(what).alias("kind"), control.alias("control"), rest.alias("event"))
+    after = lambda head: F.replace(n, F.lit(head), F.lit(""))
+    last, control = F.substring_index(n, "_", -1), F.regexp_extract(n, "^(.*)_", 1)
+    return (
+        F.when(n.isin(*AUTO_NAMES), event("legacy_auto", after("auto_")))
+        .when(kind != "sub", None)
+        .when((module == "document") & n.startswith("workbook_"), event("workbook", after("workbook_")))
+        .when((module == "document") & n.startswith("worksheet_"), event("worksheet", after("worksheet_")))
+        .when(module.isin("class", "document") & n.startswith("application_"), event("application", after("application_")))
+        .when(module.isin("class", "document", "form") & F.contains(n, F.lit("_")) & last.isin(*CONTROL_EVENTS), event("control", last, control))
+        .when(n.isin(*BOOK_EVENTS), event("workbook_or_worksheet", n))
+    )
 
 
 def sheet_affinity(links: DataFrame) -> DataFrame:
@@ -69,15 +128,15 @@ def procedures(source: str) -> list[dict]:
         number += line.count("\x00")
         if m := re.match(r"\s*#(If|ElseIf)\s+(.*?)\s+Then", text, re.I):
             branches[-1:] = [] if m[1].lower() == "elseif" and branches else branches[-1:]
-            branches.append(m[2])
+            branches.append(m[2].strip())
         elif re.match(r"\s*#Else\b", text, re.I) and branches:
-            branches[-1] = f"Not ({branches[-1]})"
+            branches[-1] = branches[-1][1:] if branches[-1].startswith("!") else "!" + branches[-1]
         elif re.match(r"\s*#End\s+If", text, re.I) and branches:
             branches.pop()
         elif now is None and (m := _HEAD.match(text)):
             kind = re.sub(r"\s+", "_", m[2].lower())
             params = [p.strip() for p in (m[4] or "").split(",") if p.strip()]
-            now = {"name": m[3], "kind": kind, "is_public": (m[1] or "public").lower() == "public", "parameters": params, "return_type": m[5], "line_start": first, "compile_branch": " And ".join(branches) or None, "body": [text]}
+            now = {"name": m[3], "kind": kind, "is_public": (m[1] or "public").lower() == "public", "parameters": params, "return_type": m[5], "line_start": first, "compile_branch": "&".join(b.replace("::", "__") for b in branches) or None, "body": [text]}
         elif now is not None:
             now["body"].append(text)
             if _END.match(text):

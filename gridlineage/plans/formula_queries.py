@@ -25,7 +25,7 @@ def made(t):
     return t.orders.select("o_orderkey", "o_custkey", f.alias("f"))
 
 
-@query(f"""WITH m AS ({_MADE}) SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '=SUM(CELLRANGE)+CELL' WHEN 1 THEN '=IF(CELL=STR,CELL,COLRANGE)' WHEN 2 THEN '=INDEX(ROWRANGE,1)*2' WHEN 4 THEN '=OFFSET(CELL,1,0)+NOW()' WHEN 5 THEN '=VLOOKUP(CELL,COLRANGE,2,FALSE)' END AS canonical FROM m""")
+@query(f"""WITH m AS ({_MADE}) SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '=SUM(CELLRANGE)+CELL' WHEN 1 THEN '=IF(CELL=STR, CELL, COLRANGE)' WHEN 2 THEN '=INDEX(ROWRANGE,1)*2' WHEN 4 THEN '=OFFSET(CELL,1,0)+NOW()' WHEN 5 THEN '=VLOOKUP(CELL,COLRANGE,2,FALSE)' END AS canonical FROM m""")
 def canonical_formula(t):
     return made(t).select("o_orderkey", text.canonical_a1(F.col("f")).alias("canonical"))
 
@@ -186,3 +186,10 @@ CASE WHEN o_orderkey % 5 = 0 THEN 'conservative_fallback' WHEN o_orderkey % 5 <
 def choose_resolve(t):
     d = t.orders.select("o_orderkey", lookup.choose(F.when(F.col("o_orderkey") % 5 == 0, None).otherwise(F.col("o_orderkey") % 5).cast("int"), F.array("o_orderstatus", "o_orderpriority")).alias("d"))
     return d.select("o_orderkey", F.when(F.size("d.targets") > 0, F.array_join("d.targets", "|")).alias("target"), "d.status")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 OR o_orderkey % 9 = 0 THEN 'unresolved' ELSE 'resolved' END AS status, CASE WHEN o_custkey % 5 = 0 OR o_orderkey % 9 = 0 THEN NULL ELSE CASE o_orderkey % 3 WHEN 0 THEN 'Calc!' WHEN 1 THEN chr(39) || 'My s' || chr(39) || '!' ELSE '' END || chr(CAST(64 + o_custkey % 5 AS INT)) || o_orderkey % 9 END AS target FROM orders""")
+def address_resolve(t):
+    k = F.col("o_orderkey")
+    d = t.orders.select(k, lookup.address(k % 9, F.col("o_custkey") % 5, F.when(k % 3 == 0, "Calc").when(k % 3 == 1, "My s").when(k % 2 == 0, "")).alias("d"))
+    return d.select(k, "d.status", "d.target")

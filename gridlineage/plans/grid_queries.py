@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridlineage.functions import address, text
-from gridlineage.operators import edges, finalize, grid, views
+from gridlineage.operators import edges, finalize, grid, grouping, series, views
 from gridlineage.plans.catalog import query
 
 PART_GRID = """SELECT p_partkey + 1 AS "row", 1 AS col, p_name AS value FROM part
@@ -257,19 +257,19 @@ def placeholder_filter(t):
     return _celltext(t).groupBy("binding").agg(F.count("*").alias("n"), grid.every(text.is_placeholder(F.col("v"))).alias("ok")).where("ok").drop("ok")
 
 
-@query(f"""WITH c AS ({_CELLTEXT}) SELECT binding, count(*) AS n FROM c WHERE v IS NOT NULL GROUP BY binding HAVING bool_or(regexp_matches(v, '(?i)^\\s*(\\d+\\.\\s+\\S|[A-Z]\\.\\s+\\S|section\\s+\\S)')) AND count(*) BETWEEN 2 AND 10""")
-def section_header_filter(t):
-    c = _celltext(t).where("v IS NOT NULL")
-    return c.groupBy("binding").agg(F.count("*").alias("n"), F.bool_or(text.is_section_header(F.col("v"))).alias("ok")).where("ok AND n BETWEEN 2 AND 10").drop("ok")
+@query(f"""WITH c AS (SELECT conv_id AS id, CASE WHEN turn % 4 = 3 AND conv_id % 5 = 0 THEN ' ' WHEN conv_id % 9 = 2 THEN '' WHEN conv_id % 7 = 1 THEN turn || '. Part' WHEN conv_id % 3 = 0 THEN ' TBC ' ELSE text END AS v, conv_id % 14 <> 1 AS t FROM conversations),
+g AS (SELECT id, count(*) AS n, bool_and(coalesce(v, '') = '') AS e, bool_and(t AND lower(trim(v)) IN ('-', '–', '—', 'tbc', 'tbd', 'na', 'n/a', 'n.a.', 'n\\a')) FILTER (WHERE trim(v) <> '') AS p, bool_and(t) FILTER (WHERE trim(v) <> '') AND bool_or(regexp_matches(v, '(?i)^\\s*(\\d+\\.\\s+\\S|[A-Z]\\.\\s+\\S|section\\s+\\S)')) AS h FROM c GROUP BY id)
+SELECT * FROM (SELECT id, CASE WHEN e THEN 'empty' WHEN id % 4 > 0 AND p AND n > 1 THEN 'placeholder' WHEN id % 4 > 0 AND h AND n BETWEEN 2 AND 10 THEN 'section_header' END AS reason FROM g) WHERE reason IS NOT NULL""")
+def binding_noise(t):
+    k, turn = F.col("conv_id"), F.col("turn")
+    v = F.when((turn % 4 == 3) & (k % 5 == 0), " ").when(k % 9 == 2, "").when(k % 7 == 1, F.concat("turn", F.lit(". Part"))).when(k % 3 == 0, " TBC ").otherwise(F.col("text"))
+    cells = t.conversations.select(k.alias("id"), v.alias("value"), (k % 14 != 1).alias("is_text"), F.lit(False).alias("has_formula"))
+    return grouping.noise(cells, t.conversations.where("conv_id % 4 = 0").select(k.alias("id")))
 
 
-@query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS s FROM lineitem) SELECT l_orderkey, count(*) AS n FROM d GROUP BY l_orderkey HAVING count(*) >= 3 AND bool_and(s IS NULL OR s = 1)""")
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS s FROM lineitem) SELECT l_orderkey, count(*) AS n FROM d GROUP BY l_orderkey HAVING count(*) >= 5 AND bool_and(s IS NULL OR s = 1)""")
 def consecutive_int_index(t):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    d = t.lineitem.withColumn("s", F.col("l_linenumber") - F.lag("l_linenumber").over(w))
-    return d.groupBy("l_orderkey").agg(F.count("*").alias("n"), grid.every(F.col("s").isNull() | (F.col("s") == 1)).alias("ok")).where("ok AND n >= 3").drop("ok")
+    return series.consecutive(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], "l_linenumber")
 
 
 @query("""SELECT p_partkey, regexp_matches(p_name || ' ' || p_type, '(?i)%|base|shock|stress|flat|scenario|scen|\\b(up|down)\\b') AS scenario FROM part""")

@@ -43,46 +43,84 @@ def sheet_prefix(t):
     return labels.sheet_prefix(t.events.select((F.col("user_id") % 50).alias("sheet"), name.alias("label")), "sheet", "label", 0.3)
 
 
-@query("""SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name || p_type), 'calc|projection|model') THEN 'calculation' WHEN regexp_matches(lower(p_name || p_type), 'assum|param|rate') THEN 'assumption' WHEN regexp_matches(lower(p_name || p_type), 'policy|member|input|data') THEN 'policyholder' ELSE 'unknown' END AS kind FROM part""")
+_SHEET = "CASE WHEN regexp_matches(lower({0}), 'projection|calculation|engine|model|cashflow|output') THEN 'calculation' WHEN regexp_matches(lower({0}), 'assumption|parameter|config|mortality|lapse|rate|table|expense|commission|inflation|interest|tax|premium') THEN 'assumption' WHEN regexp_matches(lower({0}), 'input|data|policy') THEN 'policyholder' ELSE 'unknown' END"
+
+
+@query(f"""SELECT doc_id, {_SHEET.format('text')} AS kind FROM documents""")
 def sheet_type(t):
-    return t.part.select("p_partkey", labels.sheet_type(F.concat("p_name", "p_type")).alias("kind"))
+    return t.documents.select("doc_id", labels.sheet_type(F.col("text")).alias("kind"))
+
+
+_SHEETS = "['Projection', 'Mortality table', 'Policyholder data', 'Results', 'Scenarios', 'Sheet1', 'Discount curve']"
+_LABELS = "['Mortality rate', 'Policy number', 'Best estimate reserve', 'Age', 'Premium factor', 'Total cash', 'CSO', 'Notes', 'width', 'Sum assured']"
+_BASE = f"""SELECT doc_id, list_extract({_LABELS}, CAST(doc_id % 10 + 1 AS INT)) AS label, list_extract({_SHEETS}, CAST(doc_id % 7 + 1 AS INT)) AS sheet, doc_id % 3 > 0 AS f, doc_id % 5 = 1 AS link, doc_id % 8 AS consumers, doc_id % 4 AS providers,
+CAST((length(text) % 5 + length(text) % 7) AS DOUBLE) / 4 AS a, CAST(length(text) % 3000 AS DOUBLE) AS b, substr(text, 1, CAST(doc_id % 5 + 1 AS INT)) AS c FROM documents"""
+_RATES = "(CASE WHEN a BETWEEN 0 AND 1 THEN 1 ELSE 0 END + CASE WHEN b BETWEEN 0 AND 1 THEN 1 ELSE 0 END) / 3.0 > 0.5"
+_INPUTS = "({0} + {1} + CASE WHEN regexp_full_match(c, '[\\p{{L}}\\p{{N}}]{{1,3}}') THEN 1 ELSE 0 END) / 3.0 > 0.5".format(*(f"CASE WHEN ({x} = floor({x}) AND {x} > 1 AND {x} <= 120) OR {x} > 1000 THEN 1 ELSE 0 END" for x in "ab"))
+_HOLDS = "regexp_matches({0}, '(?i)\\b({1})\\b')"
+_RATE = _HOLDS.format("label", "rate|factor|percentage|%|stress|scenario")
+
+
+def _sum(*parts: tuple[str, float]) -> str:
+    return " + ".join(f"CASE WHEN {c} THEN {w}::DOUBLE ELSE 0::DOUBLE END" for c, w in parts)
 
 
-_CLASS = """SELECT doc_id, lower(text) AS t, doc_id % 2 = 0 AS f, doc_id % 4 AS d, doc_id % 3 AS p FROM documents"""
-_SCORES = """SELECT doc_id, least(1.0, CASE WHEN regexp_matches(t, 'rate|assum|factor|loading|discount') THEN 0.5 ELSE 0 END + CASE WHEN NOT f THEN 0.3 ELSE 0 END + CASE WHEN d > 1 THEN 0.2 ELSE 0 END) AS assumption,
-least(1.0, CASE WHEN regexp_matches(t, 'age|sex|name|date|policy|id') THEN 0.5 ELSE 0 END + CASE WHEN NOT f THEN 0.3 ELSE 0 END + CASE WHEN p = 0 THEN 0.1 ELSE 0 END) AS policyholder,
-least(1.0, CASE WHEN f THEN 0.4 ELSE 0 END + CASE WHEN p > 0 THEN 0.2 ELSE 0 END + CASE WHEN d > 0 THEN 0.2 ELSE 0 END) AS calculation,
-least(1.0, CASE WHEN regexp_matches(t, 'total|reserve|premium|result|summary') THEN 0.4 ELSE 0 END + CASE WHEN f THEN 0.2 ELSE 0 END + CASE WHEN d = 0 THEN 0.3 ELSE 0 END) AS result FROM (""" + _CLASS + ")"
+_SCORES = f"""SELECT doc_id, sheet, f, {_sum(('ka', 0.6), ('ka AND kr', 0.15), (_HOLDS.format('sheet', 'assumptions?|rates|parameters|tables?|interest|expenses?|discount[a-z]*|curve|scenario[a-z]*'), 0.3), ('providers = 0', 0.1), ('providers > 0 AND f AND link', 0.05), ('NOT f AND consumers >= 5', 0.3), ('vr', 0.4))} AS assumption,
+greatest(0::DOUBLE, {_sum(('kp', 0.6), ('kp AND kr', -0.25), (_HOLDS.format('sheet', 'policyholder|policy|data'), 0.3), ('providers = 0', 0.1), ('vi', 0.4), ('f AND providers > 0 AND link', -0.1), ('f AND providers > 0 AND NOT link', -0.5))}) AS policyholder,
+CASE WHEN NOT f THEN 0::DOUBLE WHEN providers = 0 THEN 0.1::DOUBLE ELSE {_sum(('NOT link', 0.4), ('link', 0.12), ('consumers > 0', 0.4), ('providers > 0', 0.2))} END AS calculation,
+{_sum((_HOLDS.format('label', 'bel|best estimate|reserve|liability|scr|capital|pvfp|embedded value|profit|total|summary|aggregat|output|result'), 0.6), (_HOLDS.format('sheet', 'results?|outputs?|report|summary'), 0.2), ('consumers = 0', 0.5), ('f', 0.3))} AS result
+FROM (SELECT *, {_RATE} AS kr, {_RATES} AS vr, {_INPUTS} AS vi,
+{_HOLDS.format('label', 'mortality|morbidity|lapse|surrender|expense|salary|inflation|discount|yield|interest rate|bonus|crediting rate|profit.?sharing|management action|strategy|assumptions?|rate|factor|percentage|%|stress|scenario|best.?estimate|adverse|optimistic|pessimistic|cso|table')} AS ka,
+{_HOLDS.format('label', 'policy|age|date of birth|dob|sex|gender|premium|sum assured|product code|duration')} AS kp FROM ({_BASE}))"""
 
 
-def _class(t):
-    k = F.col("doc_id")
-    return t.documents.select("doc_id", F.col("text").alias("t"), (k % 2 == 0).alias("f"), (k % 4).alias("d"), (k % 3).alias("p"))
+def _base(t):
+    k, n = F.col("doc_id"), F.length("text")
+    pick = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (k % by + 1).cast("int"))
+    label = pick(("Mortality rate", "Policy number", "Best estimate reserve", "Age", "Premium factor", "Total cash", "CSO", "Notes", "width", "Sum assured"), 10)
+    sheet = pick(("Projection", "Mortality table", "Policyholder data", "Results", "Scenarios", "Sheet1", "Discount curve"), 7)
+    value = lambda number, text: F.struct(number.cast("double").alias("number"), text.cast("string").alias("text"))
+    none = F.lit(None)
+    values = F.array(value((n % 5 + n % 7) / 4, none), value(n % 3000, none), value(none, F.substring("text", F.lit(1), (k % 5 + 1).cast("int"))))
+    d = t.documents.select(k, label.alias("label"), sheet.alias("sheet"), (k % 3 > 0).alias("f"), (k % 5 == 1).alias("link"), (k % 8).alias("consumers"), (k % 4).alias("providers"), values.alias("v"))
+    scores = labels.class_scores(*(F.col(c) for c in ("label", "sheet", "f", "link", "consumers", "providers", "v")))
+    return d.select("*", *(v.alias(c) for c, v in scores.items()))
 
 
-def _class_scores():
-    return {k: F.round(v, 6) for k, v in labels.class_scores(F.col("t"), F.col("f"), F.col("d"), F.col("p")).items()}
+_NAMES = ("Assumption", "Policyholder Data", "Calculation", "Result")
 
 
 @query(f"SELECT doc_id, round(assumption, 6)::DOUBLE AS assumption, round(policyholder, 6)::DOUBLE AS policyholder, round(calculation, 6)::DOUBLE AS calculation, round(result, 6)::DOUBLE AS result FROM ({_SCORES})")
 def classifier_scores(t):
-    return _class(t).select("doc_id", *(v.alias(k) for k, v in _class_scores().items()))
+    return _base(t).select("doc_id", *(F.round(F.col(f"`{k}`"), 6).alias(k.split()[0].lower()) for k in _NAMES))
 
 
-@query(f"""WITH s AS ({_SCORES}), b AS (SELECT *, greatest(assumption, policyholder, calculation, result) AS m FROM s), c AS (SELECT doc_id, CASE WHEN m < 0.2 THEN 'Unclassified' WHEN assumption = m THEN 'assumption' WHEN policyholder = m THEN 'policyholder' WHEN calculation = m THEN 'calculation' ELSE 'result' END AS class FROM b)
-SELECT doc_id, class, CASE WHEN doc_id % 5 = 0 AND doc_id % 2 = 0 AND class IN ('assumption', 'policyholder') THEN 'calculation' ELSE class END AS ruled FROM c""")
+@query(f"""WITH b AS (SELECT *, greatest(assumption, policyholder, calculation, result) AS m FROM ({_SCORES})), c AS (SELECT *, CASE WHEN m < 0.2 THEN 'Unclassified' WHEN assumption = m THEN 'Assumption' WHEN policyholder = m THEN 'Policyholder Data' WHEN calculation = m THEN 'Calculation' ELSE 'Result' END AS class FROM b)
+SELECT doc_id, class, round(least(1.0, m), 6)::DOUBLE AS confidence, CASE WHEN f AND sheet = 'Projection' AND class IN ('Assumption', 'Policyholder Data') THEN 'Calculation' ELSE class END AS ruled FROM c""")
 def hard_rules(t):
-    name, _ = labels.classify(_class_scores())
-    sheet = F.when(F.col("doc_id") % 5 == 0, "Calc 1").otherwise("Other")
-    return _class(t).withColumn("class", name).select("doc_id", "class", labels.hard_rule(F.col("class"), sheet, F.col("f")).alias("ruled"))
+    name, score = labels.classify({k: F.col(f"`{k}`") for k in _NAMES})
+    return _base(t).withColumn("class", name).withColumn("confidence", F.round(score, 6)).select("doc_id", "class", "confidence", labels.hard_rule(F.col("class"), F.col("sheet"), F.col("f")).alias("ruled"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'manual' WHEN c_mktsegment = 'BUILDING' THEN 'required' WHEN c_mktsegment = 'MACHINERY' THEN 'not_required' WHEN c_custkey % 4 = 0 THEN 'not_required' WHEN c_custkey % 4 = 1 THEN 'optional' WHEN c_custkey % 4 = 2 THEN 'required' ELSE 'optional' END AS flag FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN c_custkey % 2 = 0 WHEN c_mktsegment = 'BUILDING' THEN TRUE WHEN c_mktsegment = 'MACHINERY' THEN FALSE ELSE list_extract([FALSE, TRUE, TRUE, FALSE, c_mktsegment = 'HOUSEHOLD', TRUE], CAST(c_custkey % 6 + 1 AS INT)) END AS required,
+CASE WHEN c_custkey % 11 = 0 THEN 'by hand' WHEN c_mktsegment = 'BUILDING' THEN 'Key model output requiring verification' WHEN c_mktsegment = 'MACHINERY' THEN 'Structural or formatting helper, not a calculation' ELSE list_extract(['Constant value, no calculation to verify', 'Contains mathematical calculations', 'Uses actuarial formula pattern (IF, INDEX, MATCH)', 'Formatting/structural helper functions only (CONCAT, LEFT)',
+CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'Intermediate calculation in model flow' WHEN 'FURNITURE' THEN 'Input data, no calculation to verify' ELSE 'No clear reconciliation requirement detected' END, 'Contains mathematical calculations'], CAST(c_custkey % 6 + 1 AS INT)) END AS rationale FROM customer""")
 def reconciliation_flag(t):
     k, seg = F.col("c_custkey"), F.col("c_mktsegment")
-    role = F.when(seg == "BUILDING", "Result").when(seg == "MACHINERY", "Helper").otherwise("Other")
-    f = F.when(k % 4 == 0, None).when(k % 4 == 1, "=A1+B2").when(k % 4 == 2, "=NPV(A1,B2)").otherwise('=IF(A1="x",1,2)')
-    return t.customer.select("c_custkey", labels.reconciliation(F.when(k % 11 == 0, "manual"), role, f).alias("flag"))
+    role = F.when(seg == "BUILDING", "Result").when(seg == "MACHINERY", "Helper").when(seg == "HOUSEHOLD", "Calculation").when(seg == "FURNITURE", "Assumption").otherwise("Other")
+    formulas = (None, "=A1+B2", '=IF(A1="x-y",MATCH(B1,C:C,-1),INDEX(\'Q-1\'!A1:B2,1E-3))', '=CONCAT(LEFT(A1,2),"a*b")', "=-A1", "=CONCAT(A1,(B2)^2)")
+    f = F.element_at(F.array(*map(F.lit, formulas)), (k % 6 + 1).cast("int"))
+    by_hand = F.when(k % 11 == 0, F.struct((k % 2 == 0).alias("required"), F.lit("by hand").alias("rationale")))
+    return t.customer.select("c_custkey", labels.reconciliation(by_hand, role, f).alias("r")).select("c_custkey", "r.required", "r.rationale")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CASE WHEN p_size > 25 THEN 'Total ' || p_brand END WHEN 1 THEN CASE WHEN p_size > 25 THEN 'Average ' || p_brand END WHEN 2 THEN 'NPV of ' || p_type WHEN 3 THEN p_brand || ' ' || chr(215) || ' ' || p_type ELSE NULL END AS label,
+CASE WHEN p_size > 40 THEN p_size <= 47 OR p_partkey % 2 = 0 WHEN p_size > 20 THEN p_size < 30 OR (p_partkey % 2 = 0) ELSE FALSE END AS wanted FROM part""")
+def generated_label(t):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    formulas = F.array(*map(F.lit, ("=SUM(U7:U607)", "=average(A1:A9)/2", "=NPV(A1,B1:B9)", "=A1 * B1", "=A1*B1*C1")))
+    made = labels.generated_label(F.element_at(formulas, (k % 5 + 1).cast("int")), F.array(F.struct(F.col("p_brand").alias("label"), (size / 50).alias("score")), F.struct(F.col("p_type").alias("label"), F.lit(0.9).alias("score"))))
+    return t.part.select("p_partkey", made.alias("label"), labels.wants_label(size / 50, F.when(k % 2 == 0, "sheet_name").otherwise("scan_left"), F.when(size > 40, "Result").when(size > 20, "Calculation").otherwise("Assumption")).alias("wanted"))
 
 
 _NEAR = "CASE WHEN {0} >= 0.5 THEN 0.9 WHEN {0} >= 0.3 THEN 0.7 WHEN {0} >= 0.1 THEN 0.6 ELSE 0.4 END"

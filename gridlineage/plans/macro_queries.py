@@ -63,3 +63,15 @@ def header_context(t):
 @query("""SELECT l_suppkey AS sheet, greatest(1, min(l_partkey) - 7) AS r1, greatest(1, min(l_linenumber) - 7) AS c1, max(l_partkey) + 7 AS r2, max(l_linenumber) + 7 AS c2 FROM lineitem GROUP BY l_suppkey""")
 def evidence_regions(t):
     return labels.regions(t.lineitem.select(F.col("l_suppkey").alias("sheet"), F.col("l_partkey").alias("row"), F.col("l_linenumber").alias("col")), "sheet")
+
+
+@query("""SELECT s_suppkey, list_extract(['form', 'document', 'class', 'class', 'class', 'standard'], CAST(s_suppkey % 6 + 1 AS INT)) AS kind,
+list_extract(CASE s_nationkey % 5 WHEN 0 THEN ['legacy_auto::open', 'legacy_auto::open', 'legacy_auto::open', 'legacy_auto::open', 'legacy_auto::open', 'legacy_auto::open'] WHEN 1 THEN ['workbook_or_worksheet::workbook_open', 'workbook::open', 'workbook_or_worksheet::workbook_open', 'workbook_or_worksheet::workbook_open', 'workbook_or_worksheet::workbook_open', 'workbook_or_worksheet::workbook_open']
+WHEN 2 THEN ['control:my_button:click', 'control:my_button:click', 'control:my_button:click', 'control:my_button:click', 'control:my_button:click', NULL] WHEN 3 THEN [NULL, 'application::quit', 'application::quit', 'application::quit', 'application::quit', NULL] END, CAST(s_suppkey % 6 + 1 AS INT)) AS event FROM supplier""")
+def module_kinds(t):
+    pick = lambda by, *names: F.element_at(F.array(*map(F.lit, names)), (by + 1).cast("int"))
+    k, n = F.col("s_suppkey") % 6, F.col("s_nationkey") % 5
+    source = pick(k, "", "Attribute VB_Base = 0{00020820-0}\nAttribute VB_PredeclaredId = True", "Attribute VB_PredeclaredId = True", "Attribute VB_Exposed = False", "x", None)
+    kind = vba.module_kind(pick(k, "Ask.frm", "Sheet1.cls", "A", "B", "C.cls", "Module1"), source)
+    e = vba.event_of(pick(n, "Auto_Open", "Workbook_Open", "My_Button_Click", "Application_Quit", "Total"), F.lit("sub"), F.col("kind"))
+    return t.supplier.select("s_suppkey", "s_nationkey", kind.alias("kind")).select("s_suppkey", "kind", F.when(e.isNotNull(), F.concat(e["kind"], F.lit(":"), F.coalesce(e["control"], F.lit("")), F.lit(":"), e["event"])).alias("event"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gridlineage.functions import text
 from gridlineage.operators import series
 from gridlineage.plans.catalog import query
 
@@ -91,3 +92,13 @@ def table_candidates(t):
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
     v = t.supplier.select((n % 5).alias("sheet"), (k % 4 * 10).alias("r1"), (k % 4 * 10 + n % 12).alias("r2"), (k % 30).alias("col"), F.when(k % 4 == 1, "input").otherwise("calc").alias("class"))
     return series.table_candidates(v)
+
+
+@query("""WITH i AS (SELECT l_orderkey, list(CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_linenumber + CASE WHEN l_orderkey % 3 = 0 AND l_linenumber > 5 THEN 4 ELSE 0 END END ORDER BY l_linenumber, l_partkey) AS v FROM lineitem GROUP BY l_orderkey),
+n AS (SELECT l_orderkey, len(v) AS m, list_filter(v, lambda x: x IS NOT NULL) AS k FROM i), d AS (SELECT *, list_transform(range(2, len(k) + 1), lambda j: k[j] - k[j - 1]) AS s FROM n)
+SELECT l_orderkey, len(k) >= 5 AND len(k) / m >= 0.7 AND len(list_filter(s, lambda x: x <= 0)) = 0 AND len(list_filter(s, lambda x: x = 1)) >= greatest(3, floor((len(k) - 1) * 0.8)) AS axis FROM d""")
+def continuous_time_axis(t):
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    header = F.when(F.col("l_partkey") % 11 == 0, "Stress 2").when(n % 2 == 0, F.concat(F.lit("Year "), n + F.when((k % 3 == 0) & (n > 5), 4).otherwise(0))).otherwise((n + F.when((k % 3 == 0) & (n > 5), 4).otherwise(0)).cast("string"))
+    rows = t.lineitem.select(k, F.struct(n, "l_partkey", text.time_index(header).alias("i")).alias("s"))
+    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("s")).alias("s")).select("l_orderkey", text.is_time_axis(F.transform("s", lambda x: x["i"])).alias("axis"))

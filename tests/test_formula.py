@@ -90,7 +90,7 @@ def test_alignment_is_a_longest_common_subsequence(a, b):
 def test_macro_procedures():
     source = 'Option Explicit\n#If Win64 Then\nPrivate Function Rate(x As Double, _\n    y) As Double\n  Rate = x * y \' note\nEnd Function\n#Else\nSub Go()\nEnd Sub\n#End If\nProperty Get P() As Long\nP = 1\nEnd Property\n'
     got = vba.procedures(source)
-    assert [(p["name"], p["kind"], p["is_public"], p["compile_branch"]) for p in got] == [("Rate", "function", False, "Win64"), ("Go", "sub", True, "Not (Win64)"), ("P", "property_get", True, None)]
+    assert [(p["name"], p["kind"], p["is_public"], p["compile_branch"]) for p in got] == [("Rate", "function", False, "Win64"), ("Go", "sub", True, "!Win64"), ("P", "property_get", True, None)]
     assert got[0]["parameters"] == ["x As Double", "y"] and got[0]["return_type"] == "Double" and (got[0]["line_start"], got[0]["line_end"]) == (3, 6)
     assert vba.canonical_body('X = 1 : Y = "A: B" \' c\nRem no\n  z  =  X') == 'x = 1\ny = "A: B"\nz = x'
 
