@@ -1,7 +1,12 @@
 """Near copies by exact Jaccard similarity of five-word shingles, 0.8 or more.
 
 A document is the set of the XXH64 (seed 42) hashes of its shingles.  Equal sets are one
-print.  Two sets of that similarity share one of their first L - ceil(0.8 L) + 1 shingles in
+print.  Candidates come first from SimHash: the sets' wide fingerprints, indexed under the
+one-wildcard variants of their segments (`simhash.wide_links`).  An exact check of their
+components leaves groups of true links.  What lies beyond SimHash's reach is found by a second
+index, which is exact: only components of its candidates that join different groups are checked.
+
+Two sets of that similarity share one of their first L - ceil(0.8 L) + 1 shingles in
 any common order, so each print is indexed under these, those that a sample holds most often
 last.  Prints that share an index entry are candidates unless their sizes, or the counts of
 their shingles in SLOTS slots, already rule the similarity out.  Of a large set only the shingles
@@ -10,8 +15,9 @@ components of candidates hold every component of true links whole, so each is se
 overlaps: in one place, or where its sets take more than BLOCK bytes, in blocks, each pair of
 blocks a task of its own.  A bucket emits a spanning forest of its candidates, never its pairs.
 
-SimHash prints can't tell these pairs: a similarity of 0.8 differs in about 10 of 64 bits, and
-segments with one wildcard that allow as many would have fewer than 13 bits.
+A similarity of 0.8 differs in about 15 % of a fingerprint's bits, so op3's three bits of 64
+can't reach it: a segment of 16 bits has at most one of them in 28 % of such pairs, one of eight
+in 93 %.  Sets of fewer than four shingles have no partner but their equals.
 
 Defined cases: words are those of op3's contract; a text of fewer than five words is one
 shingle; null, empty and white-space texts have no shingle and are copies of each other; rows
@@ -28,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlineage.llm import simhash
 from gridlineage.llm.common import components, cut, release, sample, small, without
 
 SHINGLE = 5
@@ -117,7 +124,7 @@ def candidates(sizes: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
 
     def near(k: int, others: np.ndarray) -> np.ndarray:
         s = sizes[others]
-        others = others[(4 * np.maximum(s, sizes[k]) <= 5 * np.minimum(s, sizes[k]))]
+        others = others[sizes_fit(s, sizes[k])]
         theirs, own = levels[others], levels[k]
         # sizes this close are at most a level apart: the higher one counts
         a = np.where((theirs > own)[:, None], counts[k, SLOTS:], counts[k, :SLOTS]).astype(np.int16)
@@ -131,8 +138,16 @@ def candidates(sizes: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
     return _forest(len(sizes), near)
 
 
-def true_links(sets: list[np.ndarray], common: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning links of the ascending sets of similarity 0.8 or more, by exact overlaps of those that share an index entry."""
+def sizes_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can have the similarity."""
+    return 4 * np.maximum(a, b) <= 5 * np.minimum(a, b)
+
+
+def true_links(sets: list[np.ndarray], common: np.ndarray, counts: np.ndarray, groups: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning links of the ascending sets of similarity 0.8 or more, by exact overlaps of those that share an index entry.
+
+    Sets of an equal value in groups are linked already.
+    """
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     fine = np.stack([slots(s, WIDE) for s in sets])
     starts = [prefix(s, common, counts) for s in sets]
@@ -141,7 +156,7 @@ def true_links(sets: list[np.ndarray], common: np.ndarray, counts: np.ndarray) -
     order = np.argsort(keys, kind="stable")
     keys, docs = keys[order], docs[order]
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-    root = np.arange(len(sets))
+    root = np.arange(len(sets)) if groups is None else np.unique(groups, return_inverse=True)[1]
     out, seen = [], set()
 
     def close(k: int, others: np.ndarray) -> Iterator[int]:
@@ -157,7 +172,7 @@ def true_links(sets: list[np.ndarray], common: np.ndarray, counts: np.ndarray) -
             others = run[at + 1 :]
             others = others[root[others] != root[k]]
             s = sizes[others]
-            others = others[4 * np.maximum(s, sizes[k]) <= 5 * np.minimum(s, sizes[k])]
+            others = others[sizes_fit(s, sizes[k])]
             for j in close(k, others):
                 if root[j] != root[k] and (pair := int(k) * len(sets) + int(j)) not in seen:
                     if len(seen) == REMEMBERED:  # comparing again changes nothing
@@ -204,16 +219,22 @@ def _links(prints: np.ndarray, links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _with_prints(docs: DataFrame, sets: bool = False) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, mark, print, size), with the set as bytes if asked for."""
+    """docs (doc_id, text) -> (doc_id, mark, print, size), with the wide fingerprint w0, w1, ..., or the set as bytes if asked for."""
+    more = ["own"] if sets else [f"w{k}" for k in range(simhash.WORDS)]
 
     def run(batches):
         for b in batches:
             own = [shingles(t.as_py()) for t in b.column("text")]
             cols = [b.column("doc_id"), b.column("mark"), pa.array([print_of(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array([s.tobytes() for s in own], pa.binary())] if sets else []), names=["doc_id", "mark", "print", "size", "own"][: 4 + sets])
+            if sets:
+                cols.append(pa.array([s.tobytes() for s in own], pa.binary()))
+            else:
+                words = np.array([simhash.wide_fingerprint(s) for s in own], dtype=np.uint64).reshape(len(own), -1)
+                cols += [pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(len(more))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "print", "size", *more])
         release()
 
-    return _plain(docs).mapInArrow(run, "doc_id long, mark long, print long, size long" + (", own binary" if sets else ""))
+    return _plain(docs).mapInArrow(run, "doc_id long, mark long, print long, size long, " + ("own binary" if sets else ", ".join(f"{w} long" for w in more)))
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -279,10 +300,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     def settle(batches):
         for run in _runs(batches, 3):
             ids, first = np.unique(_column(run, 3), return_index=True)
-            own = [x for b in run for x in b.column(4)]
+            groups = _column(run, 4)[first]
+            own = [x for b in run for x in b.column(5)]
             sets = [np.frombuffer(own[k].as_buffer(), dtype=np.uint64) for k in first]
             del own
-            links = true_links(sets, common, counts)
+            links = true_links(sets, common, counts, groups)
             large = 8 * sum(map(len, sets)) > LARGE
             del sets
             if links:
@@ -292,26 +314,36 @@ def near_groups(docs: DataFrame) -> DataFrame:
                 release()
         release()
 
+    def settled(links, groups=None):
+        """True links of the prints in components of links, between different groups (print, group)."""
+        coarse = components(cut(links, "candidates"))
+        coarse = cut(coarse.union(coarse.select(F.col("root").alias("node"), "root")).distinct(), "coarse")
+        placed = coarse.join(distinct, coarse["node"] == distinct["print"]).select("root", "print", (8 * F.col("size") + WIDE).alias("bytes"))
+        placed = placed.withColumn("group", F.col("print")) if groups is None else placed.join(small(groups), "print", "left").withColumn("group", F.coalesce("group", "print"))
+        placed = cut(placed.select("root", "print", "group", "bytes"), "placed")
+        blocks = placed.groupBy("root").agg(F.ceil(F.sum("bytes") / BLOCK).cast("int").alias("blocks"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+        mine = F.pmod(F.hash("print"), "blocks")
+        wanted = cut(placed.join(blocks, "root").select("root", F.col("print").alias("_print"), "group", "blocks", mine.alias("mine")), "wanted")
+        # block i meets every other block j; the one block of a small component meets itself
+        pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(
+            F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("mine")), lambda j: F.struct(F.least(j, "mine").alias("x"), F.greatest(j, "mine").alias("y")))
+        )
+        sets = _with_prints(rest, sets=True)
+        sets = sets.join(small(wanted), sets["print"] == F.col("_print")).select("root", F.explode(pairs).alias("p"), "print", "group", "own").select("root", "p.x", "p.y", "print", "group", "own")
+        return cut(sets.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(settle, _LINK), "true")
+
     prints = cut(_with_prints(docs), "prints")
-    distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("size").alias("size")), "distinct")
+    words = [f"w{k}" for k in range(simhash.WORDS)]
+    distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", *words)]), "distinct")
     rest = _plain(docs)
     # copies of a set needn't be indexed: its least document stands for it
     copies = cut(prints.join(distinct.where("n > 1"), "print").where("doc_id <> least").select(F.col("doc_id").alias("_copy"), F.col("mark").alias("_mark")).distinct(), "copies")
     rest = rest.join(small(copies), (rest["doc_id"] == F.col("_copy")) & (rest["mark"] == F.col("_mark")), "left_anti")
+    close = settled(simhash.wide_links(distinct.where(F.col("size") >= SHINGLE - 1), sizes_fit))
+    groups = components(close)
+    groups = cut(groups.union(groups.select("root", "root")).distinct().toDF("print", "group"), "groups")
     spread = rest.mapInArrow(index, "key long, print long, size int, slots binary").repartition("key").sortWithinPartitions("key")
-    coarse = components(cut(spread.mapInArrow(candidate, _LINK), "candidates"))
-    coarse = cut(coarse.union(coarse.select(F.col("root").alias("node"), "root")).distinct(), "coarse")
-    placed = cut(coarse.join(distinct, coarse["node"] == distinct["print"]).select("root", "print", (8 * F.col("size") + WIDE).alias("bytes")), "placed")
-    blocks = placed.groupBy("root").agg(F.ceil(F.sum("bytes") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.hash("print"), "blocks")
-    wanted = cut(placed.join(blocks, "root").select("root", F.col("print").alias("_print"), "blocks", mine.alias("mine")), "wanted")
-    # block i meets every other block j; the one block of a small component meets itself
-    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(
-        F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("mine")), lambda j: F.struct(F.least(j, "mine").alias("x"), F.greatest(j, "mine").alias("y")))
-    )
-    sets = _with_prints(rest, sets=True)
-    sets = sets.join(small(wanted), sets["print"] == F.col("_print")).select("root", F.explode(pairs).alias("p"), "print", "own").select("root", "p.x", "p.y", "print", "own")
-    true = cut(sets.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(settle, _LINK), "true")
+    true = close.union(settled(spread.mapInArrow(candidate, _LINK), groups))
     roots = components(true)
     rooted = cut(distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

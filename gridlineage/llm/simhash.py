@@ -12,6 +12,11 @@ a spanning forest of its links, never its pairs.  A bucket above BUCKET fingerpr
 cut again, by one-wildcard variants of the other segment's halves: there at most 18 bits
 are free, so distinct values bound the bucket, and all neighbours are looked up by mask.
 
+Three bits reach almost equal texts only.  For a wider likeness `wide_links` takes fingerprints of
+WORDS words: segments of SEGMENT bits, each indexed under its one-wildcard variants, equality
+join, and up to RADIUS differing bits in all.  Two that differ so much need not share a variant,
+so this is a search with a recall, not a bound; its caller verifies and finds the rest.
+
 Defined cases: null, empty and white-space texts have fingerprint zero and are linked as
 any other; equal texts share a component; rows that repeat a doc_id are told apart by text; a
 null doc_id never names a component unless all its documents have null.
@@ -19,7 +24,7 @@ null doc_id never names a component unless all its documents have null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +38,10 @@ BITS = 3
 SHINGLE = 3
 #: Fingerprints that one bucket compares at once; larger buckets are cut again, exactly.
 BUCKET = 8192
+#: Of a wide fingerprint: its words of 64 bits, the bits of a segment, and the bits that linked ones may differ in.
+WORDS, SEGMENT, RADIUS = 2, 16, 32
+#: Rows of a bucket that are compared by offsets, many buckets at once; larger ones are compared row by row.
+AT_ONCE = 512
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -48,12 +57,30 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     else:
         shingles = list(map(b" ".join, zip(*[words[k:] for k in range(width)])))
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, [42] * len(shingles)), dtype="<u8", count=len(shingles))
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the uint64 hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """WORDS words of a SimHash: the bits of the hashes, then of their splitmix64 values, of those of these, and so on."""
+    out = []
+    for k in range(WORDS):
+        if k:
+            hashes = hashes + np.uint64(0x9E3779B97F4A7C15)
+            hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            hashes = hashes ^ (hashes >> np.uint64(31))
+        out.append(majority(hashes))
+    return out
+
+
 def with_fingerprints(docs: DataFrame, column: str = "simhash") -> DataFrame:
     """docs (doc_id, text) -> (doc_id, mark, column): XXH64 of the text, the fingerprint as a long of the same bits."""
 
@@ -96,7 +123,12 @@ def masked_forest(values: np.ndarray, free: int, bits: int) -> list[tuple[int, i
             out.append(np.stack([mine, other[mine]]))
     pairs = np.concatenate(out, axis=1)
     from_, to = pairs
-    label = np.arange(len(values))
+    return _stars(len(values), from_, to)
+
+
+def _stars(n: int, from_: np.ndarray, to: np.ndarray) -> list[tuple[int, int]]:
+    """Links of n nodes to the smallest one of their component."""
+    label = np.arange(n)
     while True:  # labels fall to the smallest index of each component
         low = label.copy()
         np.minimum.at(low, from_, label[to])
@@ -203,6 +235,76 @@ def links(prints: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFram
     return found
 
 
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by the first, cut only where that changes."""
+    kept: list = []
+    for b in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if not b.num_rows:
+            continue
+        last = int(np.searchsorted(cols[0], cols[0][-1]))
+        if last or (kept and kept[-1][0][0] != cols[0][0]):
+            kept.append([c[:last] for c in cols])
+            yield [np.concatenate(c) for c in zip(*kept)]
+            kept = []
+        kept.append([c[last:] for c in cols])
+    if kept:
+        yield [np.concatenate(c) for c in zip(*kept)]
+
+
+def bucket_links(keys: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = AT_ONCE) -> list[tuple[int, int]]:
+    """Links that span what is near within each run of equal keys; near(i, j) tells which pairs of rows are."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    ends = np.append(starts[1:], len(keys))
+    links = []
+    for s, e in zip(starts[ends - starts > most].tolist(), ends[ends - starts > most].tolist()):
+        root = np.arange(s, e)
+        for k in range(s, e - 1):
+            others = np.flatnonzero(root[k - s + 1 :] != root[k - s]) + k + 1
+            others = others[near(np.full(len(others), k), others)]
+            if len(others):
+                met, first = np.unique(root[others - s], return_index=True)
+                links.extend((k, j) for j in others[first].tolist())
+                root[np.isin(root, met)] = root[k - s]
+    i = np.flatnonzero(np.repeat(ends - starts <= most, ends - starts))
+    found, step = [], 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(keys)]
+        i = i[keys[i] == keys[i + step]]
+        hit = i[near(i, i + step)]
+        found.append(np.stack([hit, hit + step]))
+    if found:
+        links.extend(_stars(len(keys), *np.concatenate(found, axis=1)))
+    return links
+
+
+def wide_links(prints: DataFrame, fits: Callable[[np.ndarray, np.ndarray], np.ndarray], radius: int = RADIUS) -> DataFrame:
+    """prints (print, size, w0, w1, ...: longs) -> (a, b): links that span, in each bucket, the prints up to radius bits apart whose sizes fit."""
+    words = [f"w{k}" for k in range(WORDS)]
+    each = 64 // SEGMENT
+    # i is the wildcard's place in the whole fingerprint; the key holds it and its segment without that bit
+    word = "CASE " + " ".join(f"WHEN i < {64 * (k + 1)} THEN {w}" for k, w in enumerate(words)) + " END"
+    key = f"(CAST(i AS BIGINT) << {SEGMENT}) | (shiftrightunsigned({word}, CAST({SEGMENT} * ((i DIV {SEGMENT}) % {each}) AS INT)) & {(1 << SEGMENT) - 1}L & ~shiftleft(1L, i % {SEGMENT}))"
+    variants = prints.select("print", F.col("size").cast("int").alias("size"), *words, F.explode(F.sequence(F.lit(0), F.lit(64 * WORDS - 1))).alias("i")).select(F.expr(key).alias("key"), "print", "size", *words)
+
+    def near(batches):
+        for keys, ids, sizes, *held in _whole_runs(batches):
+            held = [w.view(np.uint64) for w in held]
+
+            def close(i, j):
+                ok = fits(sizes[i], sizes[j])
+                i, j = i[ok], j[ok]
+                ok[ok] = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in held) <= radius
+                return ok
+
+            if links := bucket_links(keys, close):
+                a, b = np.array(links, dtype=np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+
+    return variants.repartition("key").sortWithinPartitions("key").mapInArrow(near, "a long, b long")
+
+
 def near_groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, mark, simhash long, component_id long), a row each; see the module."""
     prints = cut(with_fingerprints(docs), "prints")

@@ -91,3 +91,58 @@ def test_texts_under_a_repeated_id_are_kept_or_dropped_each(spark):
     for keep in (near_copies.one_of_each, simhash.one_of_each):
         got = keep(spark.createDataFrame([(1, a), (5, a), (5, b), (7, c), (7, c)], "doc_id long, text string"))
         assert sorted(map(tuple, got.collect())) == [(1, a), (5, b), (7, c), (7, c)]
+
+
+def test_simhash_alone_finds_nine_of_ten(spark, monkeypatch):
+    """The named method's share: fingerprints, one-wildcard variants, equality join and verification, without the exact index of the rest."""
+    monkeypatch.setattr(near_copies, "candidates", lambda sizes, counts: [])
+    random.seed(11)
+    texts = {}
+    for k in range(120):
+        words = [f"w{random.randrange(3000)}" for _ in range(random.choice([60, 150, 400]))]
+        edited = list(words)
+        for _ in range(random.randint(1, max(1, len(words) // 55))):
+            edited[random.randrange(len(words))] = f"e{random.randrange(9999)}"
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(edited)
+    want = set(texts) - plain_kept(texts)
+    assert len(want) > 100
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame([*texts.items()], "doc_id long, text string"), SF).collect()}
+    gone = set(texts) - kept
+    assert gone <= want and len(gone) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("most", [1, 8, simhash.AT_ONCE])
+def test_buckets_of_any_size_span_what_is_near(most):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.integers(0, 12, 150))
+    values = rng.integers(0, 400, 150)
+
+    def near(i, j):
+        return np.abs(values[i] - values[j]) <= 6
+
+    def classes(links):
+        label = list(range(len(keys)))
+        for a, b in links:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(k for k, x in enumerate(label) if x == y) for y in label}
+
+    brute = [(i, j) for i in range(len(keys)) for j in range(i) if keys[i] == keys[j] and abs(values[i] - values[j]) <= 6]
+    links = simhash.bucket_links(keys, near, most)
+    assert classes(links) == classes(brute) and len(links) < len(keys)
+
+
+def test_wide_links_need_a_segment_a_size_and_a_radius(spark):
+    rows = [
+        (1, 40, 0, 0),
+        (2, 40, 0x0003000300030001, 7),  # 10 bits from 1, the last segments equal
+        (3, 50, 0x0003000300030007, -1 << 40),  # 33 bits from 1, 29 from 2
+        (4, 51, 0, 0),  # too large for 1 and 2, 33 bits from 3
+        (5, 40, -1, -1),
+        (6, 40, 0x0300030003000300, 0x0300030003000300),  # 16 bits from 1, two in each segment
+        (7, 40, -1, 2**63 - 1),  # one bit from 5, the sign
+    ]
+    prints = spark.createDataFrame(rows, "print long, size long, w0 long, w1 long")
+    links = simhash.wide_links(prints, near_copies.sizes_fit)
+    assert {(r["node"], r["root"]) for r in near_copies.components(links).collect()} == {(2, 1), (3, 1), (7, 5)}
