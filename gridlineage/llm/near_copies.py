@@ -339,7 +339,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     # copies of a set needn't be indexed: its least document stands for it
     copies = cut(prints.join(distinct.where("n > 1"), "print").where("doc_id <> least").select(F.col("doc_id").alias("_copy"), F.col("mark").alias("_mark")).distinct(), "copies")
     rest = rest.join(small(copies), (rest["doc_id"] == F.col("_copy")) & (rest["mark"] == F.col("_mark")), "left_anti")
-    close = settled(simhash.wide_links(distinct.where(F.col("size") >= SHINGLE - 1), sizes_fit))
+    close = settled(simhash.wide_links(distinct.where(F.col("size") >= SHINGLE - 1)))
     groups = components(close)
     groups = cut(groups.union(groups.select("root", "root")).distinct().toDF("print", "group"), "groups")
     spread = rest.mapInArrow(index, "key long, print long, size int, slots binary").repartition("key").sortWithinPartitions("key")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlineage.llm.common import components, cut, small, without
+from gridlineage.llm.common import components, cut, release, small, without
 
 BITS = 3
 SHINGLE = 3
@@ -252,26 +252,32 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
         yield [np.concatenate(c) for c in zip(*kept)]
 
 
-def bucket_links(keys: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = AT_ONCE) -> list[tuple[int, int]]:
-    """Links that span what is near within each run of equal keys; near(i, j) tells which pairs of rows are."""
+def bucket_links(keys: np.ndarray, sizes: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = AT_ONCE) -> list[tuple[int, int]]:
+    """Links that span what is near within each run of equal keys, of sizes up to 5/4 of the smaller; near(i, j) tells which pairs of rows are.
+
+    keys are below 2 ** 31; rows come sorted by key and size, so a row meets only those that follow it up to its reach.
+    """
+    rows = np.arange(len(keys))
+    sizes = sizes.astype(np.int64)
+    reach = np.searchsorted((keys << 32) | sizes, (keys << 32) | (5 * sizes // 4), side="right")
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     ends = np.append(starts[1:], len(keys))
+    hot = np.maximum.reduceat(reach - rows, starts) > most
     links = []
-    for s, e in zip(starts[ends - starts > most].tolist(), ends[ends - starts > most].tolist()):
+    for s, e in zip(starts[hot].tolist(), ends[hot].tolist()):
         root = np.arange(s, e)
         for k in range(s, e - 1):
-            others = np.flatnonzero(root[k - s + 1 :] != root[k - s]) + k + 1
+            others = np.flatnonzero(root[k - s + 1 : reach[k] - s] != root[k - s]) + k + 1
             others = others[near(np.full(len(others), k), others)]
             if len(others):
                 met, first = np.unique(root[others - s], return_index=True)
                 links.extend((k, j) for j in others[first].tolist())
                 root[np.isin(root, met)] = root[k - s]
-    i = np.flatnonzero(np.repeat(ends - starts <= most, ends - starts))
+    i = rows[~np.repeat(hot, ends - starts)]
     found, step = [], 0
     while len(i):
         step += 1
-        i = i[i + step < len(keys)]
-        i = i[keys[i] == keys[i + step]]
+        i = i[i + step < reach[i]]
         hit = i[near(i, i + step)]
         found.append(np.stack([hit, hit + step]))
     if found:
@@ -279,30 +285,24 @@ def bucket_links(keys: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.n
     return links
 
 
-def wide_links(prints: DataFrame, fits: Callable[[np.ndarray, np.ndarray], np.ndarray], radius: int = RADIUS) -> DataFrame:
-    """prints (print, size, w0, w1, ...: longs) -> (a, b): links that span, in each bucket, the prints up to radius bits apart whose sizes fit."""
+def wide_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """prints (print, size, w0, w1, ...: longs) -> (a, b): links that span, in each bucket, the prints up to radius bits apart, of sizes up to 5/4 of the smaller."""
     words = [f"w{k}" for k in range(WORDS)]
     each = 64 // SEGMENT
     # i is the wildcard's place in the whole fingerprint; the key holds it and its segment without that bit
     word = "CASE " + " ".join(f"WHEN i < {64 * (k + 1)} THEN {w}" for k, w in enumerate(words)) + " END"
     key = f"(CAST(i AS BIGINT) << {SEGMENT}) | (shiftrightunsigned({word}, CAST({SEGMENT} * ((i DIV {SEGMENT}) % {each}) AS INT)) & {(1 << SEGMENT) - 1}L & ~shiftleft(1L, i % {SEGMENT}))"
-    variants = prints.select("print", F.col("size").cast("int").alias("size"), *words, F.explode(F.sequence(F.lit(0), F.lit(64 * WORDS - 1))).alias("i")).select(F.expr(key).alias("key"), "print", "size", *words)
+    variants = prints.select("print", F.col("size").cast("int").alias("size"), *words, F.explode(F.sequence(F.lit(0), F.lit(64 * WORDS - 1))).alias("i")).select(F.expr(key).alias("key"), "size", "print", *words)
 
     def near(batches):
-        for keys, ids, sizes, *held in _whole_runs(batches):
+        for keys, sizes, ids, *held in _whole_runs(batches):
             held = [w.view(np.uint64) for w in held]
-
-            def close(i, j):
-                ok = fits(sizes[i], sizes[j])
-                i, j = i[ok], j[ok]
-                ok[ok] = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in held) <= radius
-                return ok
-
-            if links := bucket_links(keys, close):
+            if links := bucket_links(keys, sizes, lambda i, j: sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in held) <= radius):
                 a, b = np.array(links, dtype=np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+        release()
 
-    return variants.repartition("key").sortWithinPartitions("key").mapInArrow(near, "a long, b long")
+    return variants.repartition("key").sortWithinPartitions("key", "size").mapInArrow(near, "a long, b long")
 
 
 def near_groups(docs: DataFrame, bits: int = BITS) -> DataFrame:

@@ -116,8 +116,8 @@ def test_buckets_of_any_size_span_what_is_near(most):
     import numpy as np
 
     rng = np.random.default_rng(5)
-    keys = np.sort(rng.integers(0, 12, 150))
-    values = rng.integers(0, 400, 150)
+    keys, sizes = np.array(sorted(zip(rng.integers(0, 12, 150).tolist(), rng.integers(1, 12, 150).tolist()))).T
+    values = rng.integers(0, 80, 150)
 
     def near(i, j):
         return np.abs(values[i] - values[j]) <= 6
@@ -128,8 +128,9 @@ def test_buckets_of_any_size_span_what_is_near(most):
             label = [label[a] if x == label[b] else x for x in label]
         return {frozenset(k for k, x in enumerate(label) if x == y) for y in label}
 
-    brute = [(i, j) for i in range(len(keys)) for j in range(i) if keys[i] == keys[j] and abs(values[i] - values[j]) <= 6]
-    links = simhash.bucket_links(keys, near, most)
+    brute = [(i, j) for i in range(len(keys)) for j in range(i) if keys[i] == keys[j] and abs(values[i] - values[j]) <= 6 and near_copies.sizes_fit(sizes[i], sizes[j])]
+    assert 20 < len(brute)
+    links = simhash.bucket_links(keys, sizes, near, most)
     assert classes(links) == classes(brute) and len(links) < len(keys)
 
 
@@ -144,5 +145,5 @@ def test_wide_links_need_a_segment_a_size_and_a_radius(spark):
         (7, 40, -1, 2**63 - 1),  # one bit from 5, the sign
     ]
     prints = spark.createDataFrame(rows, "print long, size long, w0 long, w1 long")
-    links = simhash.wide_links(prints, near_copies.sizes_fit)
+    links = simhash.wide_links(prints)
     assert {(r["node"], r["root"]) for r in near_copies.components(links).collect()} == {(2, 1), (3, 1), (7, 5)}
