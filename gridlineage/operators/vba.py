@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridlineage.operators.graph import keep
+
 
 def bare(body: Column) -> Column:
     """Macro text without string literals, comments and line continuations."""
@@ -213,6 +215,42 @@ def value_pastes(body: str) -> list[tuple[str, str]]:
     return out
 
 
+def similar_pairs(x: DataFrame, y: DataFrame, key: tuple[str, str], least: float, few: int = 16) -> DataFrame:
+    """Rows of x (kind, ta) and y (kind_b, tb) of equal key and kind whose tokens' jaccard is at least `least`, as column s.
+
+    Exact without all pairs: two such sets share one of their rarest n - ceil(least * n) + 1 tokens, n those of either, so that only
+    rows which share one of those meet; where a side has but few rows of a key, all do.  Equal rows are one with their count, m.
+    """
+
+    def side(d: DataFrame, p: str, key: str, kind: str) -> DataFrame:
+        d = d.groupBy(*d.columns).agg(F.count("*").alias(f"m{p}")).where(f"size(t{p}) > 0")
+        own = F.xxhash64(key, kind, *(c for c in d.columns if c not in (key, kind, f"m{p}")))
+        return keep(d.withColumns({"_key": F.col(key), "_kind": F.col(kind), f"_i{p}": own}))
+
+    on = ["_key", "_kind"]
+    x, y = side(x, "a", key[0], "kind"), side(y, "b", key[1], "kind_b")
+    count = lambda d, name: d.groupBy(*on).agg(F.count("*").alias(name))
+    many = keep(count(x, "_na").join(count(y, "_nb").hint("merge"), on).where(F.least("_na", "_nb") > few).select(*on))
+
+    def words(d: DataFrame, p: str) -> DataFrame:
+        # a token is its hash: one that two share lets a pair meet, no more
+        return d.join(many, on, "left_semi").select(*on, F.col(f"_i{p}").alias("_i"), F.explode(F.transform(F.array_distinct(f"t{p}"), lambda w: F.xxhash64(w))).alias("_w"))
+
+    often = words(x, "a").unionByName(words(y, "b")).groupBy(*on, "_w").agg(F.count("*").alias("_n"))
+
+    def rare(d: DataFrame, p: str) -> DataFrame:
+        ranked = words(d, p).join(often.hint("merge"), [*on, "_w"]).groupBy(*on, "_i").agg(F.sort_array(F.collect_list(F.struct("_n", "_w"))).alias("_ws"))
+        n = F.size("_ws")
+        first = F.slice("_ws", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
+        return ranked.select(*on, F.col("_i").alias(f"_i{p}"), F.explode(first["_w"]).alias("_w"))
+
+    met = rare(x, "a").join(rare(y, "b").hint("merge"), [*on, "_w"]).select(*on, "_ia", "_ib").distinct()
+    blocked = met.join(x.hint("merge"), [*on, "_ia"]).join(y.hint("merge"), [*on, "_ib"])
+    direct = x.join(many, on, "left_anti").join(y.hint("merge"), on)
+    pairs = direct.unionByName(blocked).withColumn("s", jaccard(F.col("ta"), F.col("tb")))
+    return pairs.where(F.col("s") >= least).drop(*on, "_ia", "_ib")
+
+
 def match_procedures(a: DataFrame, b: DataFrame, same: float = 0.5, renamed: float = 0.7, floor: int = 20) -> DataFrame:
     """(module_a, name_a, module_b, name_b, step): procedures (module, name, kind, tokens) of two versions.
 
@@ -222,14 +260,14 @@ def match_procedures(a: DataFrame, b: DataFrame, same: float = 0.5, renamed: flo
     x = a.select(F.col("module").alias("module_a"), F.col("name").alias("name_a"), F.col("kind").alias("kind"), F.col("tokens").alias("ta"))
     y = b.select(F.col("module").alias("module_b"), F.col("name").alias("name_b"), F.col("kind").alias("kind_b"), F.col("tokens").alias("tb"))
     ka, kb = ["module_a", "name_a", "kind"], ["module_b", "name_b", "kind_b"]
-    out = x.join(y, (F.col("module_a") == F.col("module_b")) & (F.col("name_a") == F.col("name_b")) & (F.col("kind") == F.col("kind_b"))).select(*ka, *kb, F.lit(1).alias("step"))
+    out = x.join(y.hint("merge"), (F.col("module_a") == F.col("module_b")) & (F.col("name_a") == F.col("name_b")) & (F.col("kind") == F.col("kind_b"))).select(*ka, *kb, F.lit(1).alias("step"))
     for step, key, least in ((2, ("name_a", "name_b"), same), (3, ("module_a", "module_b"), renamed)):
-        free_a = x.join(out, ka, "left_anti")
-        free_b = y.join(out, kb, "left_anti")
-        pairs = free_a.join(free_b, (F.col(key[0]) == F.col(key[1])) & (F.col("kind") == F.col("kind_b"))).withColumn("s", jaccard(F.col("ta"), F.col("tb"))).where(F.col("s") >= least)
+        free_a = x.join(out.hint("merge"), ka, "left_anti")
+        free_b = y.join(out.hint("merge"), kb, "left_anti")
+        pairs = similar_pairs(free_a, free_b, key, least)
         if step == 3:
             pairs = pairs.where(F.least(F.size("ta"), F.size("tb")) >= floor)
-        once = lambda keys: F.count("*").over(Window.partitionBy(*keys))
+        once = lambda keys: F.sum(F.col("ma") * F.col("mb")).over(Window.partitionBy(*keys))
         found = pairs.withColumn("_a", once(ka)).withColumn("_b", once(kb)).where("_a = 1 AND _b = 1").select(*ka, *kb, F.lit(step).alias("step"))
-        out = out.unionByName(found)
+        out = out.unionByName(keep(found))
     return out.select("module_a", "name_a", "module_b", "name_b", "step")

@@ -133,3 +133,22 @@ def test_approximate_match_keeps_arrays_apart(spark, order):
             stop = next((p for p, v in enumerate(vs) if (v > x if order > 0 else v < x)), len(vs))
             want[k, float(x)] = stop or None
     assert {(r["sheet"], r["value"]): r["pos"] for r in lookup.match_approximate(values, array, order, ("sheet",)).collect()} == want
+
+
+def test_similar_pairs_are_those_of_all_pairs(spark):
+    import random
+
+    from gridlineage.operators import vba
+
+    rng = random.Random(4)
+    word = lambda: f"w{min(rng.randint(0, 60), rng.randint(0, 60))}"
+    base = [[word() for _ in range(rng.randint(0, 12))] for _ in range(30)]
+    near = lambda: [w if rng.random() < 0.9 else word() for w in rng.choice(base)]
+    x, y = ([(rng.choice("mn"), f"{side}{k // 2}", "sub", near()) for k in range(120)] for side in "ab")
+    x.append(x[0])
+    got = vba.similar_pairs(spark.createDataFrame(x, "module_a string, name_a string, kind string, ta array<string>"), spark.createDataFrame(y, "module_b string, name_b string, kind_b string, tb array<string>"), ("module_a", "module_b"), 0.7)
+    want = sorted((a[1], b[1], a[3], b[3]) for a in x for b in y if a[0] == b[0] and set(a[3]) | set(b[3]) and len(set(a[3]) & set(b[3])) / len(set(a[3]) | set(b[3])) >= 0.7)
+    assert sorted(p for r in got.collect() for p in [(r["name_a"], r["name_b"], r["ta"], r["tb"])] * (r["ma"] * r["mb"])) == want
+    # all pairs of one module would be 4e7
+    many = spark.range(6_400).selectExpr("'m' AS module", "concat('p', id) AS name", "'sub' AS kind", "transform(sequence(1, 30), i -> concat('t', id * 100 + i)) AS tokens")
+    assert vba.match_procedures(many, many.selectExpr("module", "concat('q', name) AS name", "kind", "tokens")).count() == 6_400
