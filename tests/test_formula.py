@@ -117,3 +117,43 @@ def test_forms_of_references(text, written, found):
 def test_what_cannot_be_read_is_marked():
     assert formula.edges_or_mark("=A1+(", 1, 1, "S") == [("unparsed", "UNPARSED", 0, 0, 0, 0)]
     assert formula.edges_or_mark("=" + "(" * 5000 + "A1" + ")" * 5000, 1, 1, "S")[0][0] == "unparsed"
+
+
+def test_alignment_of_long_axes_in_bounded_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(5)
+    once = [str(k) for k in range(4000)]
+    again = [str(rng.randint(0, 1500)) for _ in range(4000)]
+    for rows in (once, again):
+        kept = [x for x in rows if rng.random() < 0.9]
+        tracemalloc.start()
+        pairs = diff.align(rows, kept)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(pairs) == len(kept) and all(rows[i] == kept[j] for i, j in pairs)
+        assert peak < 4_000_000  # a table of both sides takes over 100 MB
+
+
+@given(st.lists(st.sampled_from("abcdef"), max_size=12), st.lists(st.sampled_from("abcdef"), max_size=12))
+def test_alignment_takes_the_places_of_the_whole_table(a, b):
+    rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            rows[i][j] = rows[i + 1][j + 1] + 1 if a[i] == b[j] else max(rows[i + 1][j], rows[i][j + 1])
+    want, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            want.append((i, j))
+            i, j = i + 1, j + 1
+        elif rows[i][j + 1] == rows[i][j]:
+            j += 1
+        else:
+            i += 1
+    assert diff._common(a, b) == want
+
+
+@given(st.permutations(range(9)))
+def test_rising_places_are_those_of_the_table(places):
+    assert [(i, places[i]) for i in diff._rising(places)] == diff._common(places, list(range(9)))
