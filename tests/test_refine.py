@@ -152,3 +152,13 @@ def test_similar_pairs_are_those_of_all_pairs(spark):
     # all pairs of one module would be 4e7
     many = spark.range(6_400).selectExpr("'m' AS module", "concat('p', id) AS name", "'sub' AS kind", "transform(sequence(1, 30), i -> concat('t', id * 100 + i)) AS tokens")
     assert vba.match_procedures(many, many.selectExpr("module", "concat('q', name) AS name", "kind", "tokens")).count() == 6_400
+
+
+def test_a_close_runner_up_hinders_no_rename_but_a_tie_does(spark):
+    from gridlineage.operators import diff
+
+    rows = [("a", "x", 1.0, 0.0), ("a", "y", 0.95, 0.0), ("b", "x", 0.95, 0.0), ("b", "y", 1.0, 0.0), ("c", "z", 0.9, 0.5), ("c", "w", 0.9, 0.2)]
+    scores = spark.createDataFrame(rows, "sheet_a string, sheet_b string, score double, cells double")
+    found = lambda **more: sorted((r["sheet_a"], r["sheet_b"]) for r in diff.mutual_best(scores, **more).collect())
+    assert found() == [("a", "x"), ("b", "y")]
+    assert found(second="cells") == [("a", "x"), ("b", "y"), ("c", "z")]
