@@ -162,3 +162,15 @@ def test_a_close_runner_up_hinders_no_rename_but_a_tie_does(spark):
     found = lambda **more: sorted((r["sheet_a"], r["sheet_b"]) for r in diff.mutual_best(scores, **more).collect())
     assert found() == [("a", "x"), ("b", "y")]
     assert found(second="cells") == [("a", "x"), ("b", "y"), ("c", "z")]
+
+
+def test_cycles_and_long_chains_in_few_rounds(spark, monkeypatch):
+    from gridlineage.operators import graph
+
+    kept, real = [], graph.keep
+    monkeypatch.setattr(graph, "keep", lambda d: kept.append(1) or real(d))
+    chain = [(k, k + 1) for k in range(100, 220)]
+    edges = [(1, 2), (2, 3), (3, 1), (3, 100), (220, 300), (300, 301), (301, 300)]
+    got = {r["node"]: r["cycle"] for r in graph.cycles(spark.createDataFrame(chain + edges, "src int, dst int")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 300: 300, 301: 300}
+    assert len(kept) < 60  # peeling takes a round of each two links
