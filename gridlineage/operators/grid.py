@@ -13,6 +13,19 @@ def islands(rows: DataFrame, by: list[str], at: str) -> DataFrame:
     return rows.withColumn("_g", step).groupBy(*by, "_g").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).drop("_g")
 
 
+def wide_islands(rows: DataFrame, by: list[str], at: str) -> DataFrame:
+    """islands of groups too large for one task: rows are numbered in spans of 2**16 places, after those of the spans before."""
+    span = F.shiftright(F.col(at).cast("long"), 16)
+    placed = rows.withColumn("_s", span)
+    before = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*by, "_s").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    counts = counts.select(F.struct(*by, "_s").alias("_k"), "_before")
+    numbered = placed.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_s").orderBy(at))).withColumn("_k", F.struct(*by, "_s"))
+    step = F.col(at) - F.col("_r") - F.col("_before")
+    joined = numbered.join(counts.withColumnRenamed("_k", "_c"), F.col("_k").eqNullSafe(F.col("_c")))
+    return joined.withColumn("_g", step).groupBy(*by, "_g").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).drop("_g")
+
+
 def rectangles(cells: DataFrame, by: list[str], row: str = "row", col: str = "col") -> DataFrame:
     """Maximal row-span rectangles of equal cells: runs along each row, then equal runs down the rows.  (by, r1, c1, r2, c2)"""
     runs = islands(cells, [*by, row], col).select(*by, row, F.col("first").alias("c1"), F.col("last").alias("c2"))

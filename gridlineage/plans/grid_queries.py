@@ -224,7 +224,7 @@ def edge_dynamic_upgrade(t):
 
 @query("""WITH g AS (SELECT o_orderstatus, o_orderkey, o_orderkey - row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS g FROM orders) SELECT o_orderstatus, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*) AS n FROM g GROUP BY o_orderstatus, g""")
 def islands_runs(t):
-    return grid.islands(t.orders.select("o_orderstatus", "o_orderkey"), ["o_orderstatus"], "o_orderkey")
+    return grid.wide_islands(t.orders.select("o_orderstatus", "o_orderkey"), ["o_orderstatus"], "o_orderkey")
 
 
 _TILES = "SELECT DISTINCT l_returnflag || CAST(l_quantity AS INT) AS sig, l_suppkey % 60 AS \"row\", l_partkey % 40 AS col FROM lineitem"

@@ -174,3 +174,13 @@ def test_cycles_and_long_chains_in_few_rounds(spark, monkeypatch):
     got = {r["node"]: r["cycle"] for r in graph.cycles(spark.createDataFrame(chain + edges, "src int, dst int")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 300: 300, 301: 300}
     assert len(kept) < 60  # peeling takes a round of each two links
+
+
+def test_islands_of_a_wide_group_span_by_span(spark):
+    from gridlineage.operators import grid
+
+    rows = [("a", k) for k in (1, 65535, 65536, 65537, 131071, 131072, 200000)] + [(None, k) for k in (-1, 0, 1)]
+    d = spark.createDataFrame(rows, "s string, k long")
+    want = {("a", 1, 1, 1), ("a", 65535, 65537, 3), ("a", 131071, 131072, 2), ("a", 200000, 200000, 1), (None, -1, 1, 3)}
+    got = grid.wide_islands(d, ["s"], "k")
+    assert {tuple(r) for r in got.collect()} == want
