@@ -80,9 +80,14 @@ def split_scenarios(blocks: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def merge_index_vectors(vectors: DataFrame, tables: DataFrame) -> DataFrame:
-    """(table_id, index_id): tables with the column of consecutive integers just left of them that has the same rows."""
+    """(table_id, index_id): tables with the column of consecutive integers just left of them that has the same rows.
+
+    Many may meet many, so that the pairs outgrow the input: tables are dealt over 512 tasks, whose number the input's size doesn't lower.
+    """
     v = vectors.select("sheet", F.col("id").alias("index_id"), "r1", "r2", (F.col("c2") + 1).alias("c1"))
-    return tables.select("sheet", F.col("id").alias("table_id"), "r1", "r2", "c1").join(v, ["sheet", "r1", "r2", "c1"]).select("table_id", "index_id")
+    on = ["sheet", "r1", "r2", "c1"]
+    t = tables.select("sheet", F.col("id").alias("table_id"), "r1", "r2", "c1")
+    return t.repartition(512, *on).join(v.repartition(512, *on).hint("merge"), on).select("table_id", "index_id")
 
 
 def anchor_merge(anchors: DataFrame, vectors: DataFrame, edges: DataFrame) -> DataFrame:
